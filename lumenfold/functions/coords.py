@@ -121,10 +121,10 @@ def take_pairs(values: Column, seq: Column) -> Column:
 
 def _fill_turn(turn: Column, boxes: Column, points: Column, take, as_box, as_point, strict: bool) -> Column:
     with_boxes = F.when(turn["boxes_seq"].isNull(), turn["value"]).otherwise(
-        fill(turn["value"], S.BOXES, F.transform(take(boxes, turn["boxes_seq"]), as_box), strict)
+        fill(turn["value"], S.BOXES, F.transform(take(boxes, turn["boxes_seq"]), lambda b: as_box(b)), strict)
     )
     done = F.when(turn["points_seq"].isNull(), with_boxes).otherwise(
-        fill(with_boxes, S.POINTS, F.transform(take(points, turn["points_seq"]), as_point), strict)
+        fill(with_boxes, S.POINTS, F.transform(take(points, turn["points_seq"]), lambda p: as_point(p)), strict)
     )
     touched = turn["boxes_seq"].isNotNull() | turn["points_seq"].isNotNull()
     return F.struct(

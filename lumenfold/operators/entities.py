@@ -18,46 +18,44 @@ def parse_phrases(sentence: Column) -> Column:
     tokens = words(sentence)
     n = F.size(tokens)
     every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    # One pass over the tokens: which open a phrase, which close one, word count so far.
+    # One pass finds the spans; everything else is read off token positions.
     state = F.struct(
-        F.lit(False).alias("inside"),
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<open:int,close:int,first:int>>").alias("spans"),
-        F.array().cast("array<string>").alias("words"),
-        F.lit(0).alias("opened"),
-        F.lit(0).alias("first"),
+        F.lit(False).alias("inside"), F.lit(0).alias("open"), F.array().cast("array<struct<open:int,close:int>>").alias("spans")
     )
 
     def step(s, i):
         tok = F.get(tokens, i)
         opens = ~s["inside"] & tok.startswith("[")
         closes = s["inside"] & tok.endswith("]")
-        word = F.when(closes, F.substring(tok, F.lit(1), F.length(tok) - 1)).otherwise(tok)
-        span = F.struct(s["opened"].alias("open"), i.alias("close"), s["first"].alias("first"))
+        span = F.struct(s["open"].alias("open"), i.alias("close"))
         return F.struct(
             F.when(opens, True).when(closes, False).otherwise(s["inside"]).alias("inside"),
-            s["at"].alias("at"),
+            F.when(opens, i).otherwise(s["open"]).alias("open"),
             F.when(closes, F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"),
-            F.when(opens, s["words"]).otherwise(F.concat(s["words"], F.array(word))).alias("words"),
-            F.when(opens, i).otherwise(s["opened"]).alias("opened"),
-            F.when(opens, F.size(s["words"])).otherwise(s["first"]).alias("first"),
         )
 
-    return F.aggregate(every, state, step, lambda s: _phrases(tokens, s))
+    return F.aggregate(every, state, step, lambda s: _phrases(tokens, every, s))
 
 
-def _phrases(tokens: Column, s: Column) -> Column:
-    def one(span):
+def _phrases(tokens: Column, every: Column, s: Column) -> Column:
+    closed = F.transform(s["spans"], lambda p: p["open"])
+    opens = F.when(s["inside"], F.concat(closed, F.array(s["open"]))).otherwise(closed)
+    closes = F.transform(s["spans"], lambda p: p["close"])
+    cut = lambda tok: F.substring(tok, F.lit(1), F.length(tok) - 1)
+    word = lambda i: F.when(F.array_contains(closes, i), cut(F.get(tokens, i))).otherwise(F.get(tokens, i))
+    said = F.transform(F.filter(every, lambda i: ~F.array_contains(opens, i)), word)
+
+    def one(span, k):
         parts = F.split(F.get(tokens, span["open"]), "/")
-        text = F.slice(s["words"], span["first"] + 1, span["close"] - span["open"])
+        text = F.transform(F.sequence(span["open"] + 1, span["close"]), word)
         return F.struct(
-            span["first"].alias("first_word_index"),
+            (span["open"] - k).alias("first_word_index"),
             F.array_join(text, " ").alias("phrase"),
             F.substring(parts[1], 4, 1 << 30).alias("phrase_id"),
             F.slice(parts, 3, 1 << 30).alias("phrase_type"),
         )
 
-    return F.struct(F.array_join(s["words"], " ").alias("sentence"), F.transform(s["spans"], one).alias("phrases"))
+    return F.struct(F.array_join(said, " ").alias("sentence"), F.transform(s["spans"], one).alias("phrases"))
 
 
 def flatten_sentences(sentences: DataFrame, objects: DataFrame) -> DataFrame:
