@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import box, box_sql, flat_items, flat_sql, load, order60, query, rank32, table, template_sql
 from lumenfold import schema as S
+from lumenfold.functions.binding import explode_items
 from lumenfold.operators import convert
 from lumenfold.operators.convert.gqa import ANSWER_FORMS, QUESTION_FORMS
 from lumenfold.operators.convert.vcr import PREDICTION_VERSIONS, RATIONALE_VERSIONS, VERSIONS
@@ -287,7 +288,7 @@ def _vcr_sql(version: str, predict: bool = False) -> str:
 def _long_items(items):
     from checks.base import show_boxes, show_seq
 
-    return items.select("row_id", "image", show_boxes(F.col("target.boxes")).alias("boxes"), F.posexplode("conversations").alias("turn", "t")).select(
+    return items.select("row_id", "image", show_boxes(F.col("target.boxes")).alias("boxes"), explode_items(F.col("conversations"), "turn", "t")).select(
         "row_id", "image", "boxes", "turn", F.col("t.from").alias("speaker"), F.col("t.value").alias("said"), show_seq(F.col("t.boxes_seq")).alias("seq"))
 
 

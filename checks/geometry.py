@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import box, load, query, show_seq
 from lumenfold import schema as S
+from lumenfold.functions.binding import explode_items
 from lumenfold.functions import coords, geometry
 
 CORNERS = ("x1", "y1", "x2", "y2")
@@ -104,7 +105,7 @@ def parse_boxes(spark, sf):
     w, h = F.col("width"), F.col("height")
     shown = coords.format_plain(F.array(geometry.norm_box(box("a"), w, h)))
     text = F.concat(F.lit("it is "), shown, F.lit(" or "), shown, F.lit(", not [1,2] or [12.0,1,1,1]."))
-    df = load(spark, sf, "records").select("row_id", F.posexplode(coords.parse_plain_boxes(text)).alias("n", "g"))
+    df = load(spark, sf, "records").select("row_id", explode_items(coords.parse_plain_boxes(text), "n", "g"))
     return df.select("row_id", "n", *[F.col("g")[0][i].alias(c) for i, c in enumerate(CORNERS)])
 
 
@@ -169,7 +170,7 @@ def fill_conversation(spark, sf):
     )
     df = load(spark, sf, "records")
     out = coords.fill_conversation(turns, aim, F.col("width"), F.col("height"))
-    return df.select("row_id", F.posexplode(out).alias("turn", "t")).select("row_id", "turn", "t.value", "t.raw_value")
+    return df.select("row_id", explode_items(out, "turn", "t")).select("row_id", "turn", "t.value", "t.raw_value")
 
 
 @query("E16", f"""select row_id, {plain("b", "(2*width)", "(2*height)")}||' then '||{plain('a')}||' at '||

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold import schema as S
 from lumenfold.functions import geometry as G
+from lumenfold.functions.binding import let, let2
 
 # Patterns of the plain notation: numbers with one integer digit (fixed values).
 _NUM = r"\d(?:\.\d*)?"
@@ -23,10 +24,17 @@ def _brackets(round_brackets: bool) -> tuple[str, str]:
     return ("(", ")") if round_brackets else ("[", "]")
 
 
+def _fixed(x: Column, digits: int) -> Column:
+    """Half-up with trailing zeros; a decimal cast does both and is much cheaper than a format string."""
+    if digits <= 6:
+        return x.cast(f"decimal(18,{digits})").cast("string")
+    return F.format_string(f"%.{digits}f", F.round(x, digits))
+
+
 def format_plain(coords: Column, digits: int = G.DIGITS, round_brackets: bool = False) -> Column:
     """`[x1,y1,x2,y2;...]` for a list of boxes, or of points."""
     left, right = _brackets(round_brackets)
-    one = lambda c: F.array_join(F.transform(c, lambda x: F.format_string(f"%.{digits}f", F.round(x, digits))), ",")
+    one = lambda c: F.array_join(F.transform(c, lambda x: _fixed(x, digits)), ",")
     return F.concat(F.lit(left), F.array_join(F.transform(coords, one), ";"), F.lit(right))
 
 
@@ -82,7 +90,7 @@ def parse_point_tokens(text: Column, bins: int = DEFAULT_BINS) -> Column:
 
 def single_box(groups: Column) -> Column:
     """The box, when a text holds exactly one group of exactly one box; null otherwise."""
-    return F.when((F.size(groups) == 1) & (F.size(groups[0]) == 1), F.get(F.get(groups, 0), 0))
+    return let(groups, lambda g: F.when((F.size(g) == 1) & (F.size(g[0]) == 1), F.get(F.get(g, 0), 0)))
 
 
 def fill(text: Column, placeholder: str, values: Column, strict: bool = True) -> Column:
@@ -90,41 +98,50 @@ def fill(text: Column, placeholder: str, values: Column, strict: bool = True) ->
 
     A count mismatch raises, or gives null with `strict=False` so that the row can be set aside.
     """
-    parts = F.split(text, rf"\Q{placeholder}\E", -1)
+    return let2(F.split(text, rf"\Q{placeholder}\E", -1), values, lambda p, v: _weave(p, v, placeholder, strict))
+
+
+def _weave(parts: Column, values: Column, placeholder: str, strict: bool) -> Column:
     joined = F.array_join(
         F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(values, i), F.lit("")))), ""
     )
     fits = F.size(parts) - 1 == F.size(values)
+    text = F.array_join(parts, placeholder)
     otherwise = F.raise_error(F.concat(F.lit("placeholder count does not match: "), text)) if strict else F.lit(None)
     return F.when(fits, joined).otherwise(otherwise.cast("string"))
 
 
 def take_all(values: Column, seq: Column) -> Column:
     """Index lists to values; a bad index raises."""
-    bad = lambda i: (i < 0) | (i >= F.size(values))
-    checked = lambda i: F.when(bad(i), F.raise_error(F.lit("index out of range")).cast("int")).otherwise(i)
-    return F.transform(seq, lambda group: F.transform(group, lambda i: F.get(values, checked(i))))
+
+    def checked(v, i):
+        bad = (i < 0) | (i >= F.size(v))
+        return F.get(v, F.when(bad, F.raise_error(F.lit("index out of range")).cast("int")).otherwise(i))
+
+    return let(values, lambda v: F.transform(seq, lambda group: F.transform(group, lambda i: checked(v, i))))
 
 
 def take_pairs(values: Column, seq: Column) -> Column:
     """As `take_all` over one list per image: an index is `struct<img,box>`."""
 
-    def checked(p):
-        inner = F.get(values, p["img"])
-        bad = (p["img"] < 0) | (p["img"] >= F.size(values)) | (p["box"] < 0) | (p["box"] >= F.size(inner))
+    def checked(v, p):
+        inner = F.get(v, p["img"])
+        bad = (p["img"] < 0) | (p["img"] >= F.size(v)) | (p["box"] < 0) | (p["box"] >= F.size(inner))
         return F.when(bad, F.raise_error(F.lit("index out of range")).cast("array<double>")).otherwise(
             F.get(inner, p["box"])
         )
 
-    return F.transform(seq, lambda group: F.transform(group, checked))
+    return let(values, lambda v: F.transform(seq, lambda group: F.transform(group, lambda p: checked(v, p))))
 
 
 def _fill_turn(turn: Column, boxes: Column, points: Column, take, as_box, as_point, strict: bool) -> Column:
-    with_boxes = F.when(turn["boxes_seq"].isNull(), turn["value"]).otherwise(
-        fill(turn["value"], S.BOXES, F.transform(take(boxes, turn["boxes_seq"]), lambda b: as_box(b)), strict)
-    )
-    done = F.when(turn["points_seq"].isNull(), with_boxes).otherwise(
-        fill(with_boxes, S.POINTS, F.transform(take(points, turn["points_seq"]), lambda p: as_point(p)), strict)
+    def filled(text, seq, mark, values, show):
+        shown = F.transform(take(values, seq), lambda v: show(v))
+        return F.when(seq.isNull(), text).otherwise(fill(text, mark, shown, strict))
+
+    done = let(
+        filled(turn["value"], turn["boxes_seq"], S.BOXES, boxes, as_box),
+        lambda text: filled(text, turn["points_seq"], S.POINTS, points, as_point),
     )
     touched = turn["boxes_seq"].isNotNull() | turn["points_seq"].isNotNull()
     return F.struct(
@@ -147,7 +164,8 @@ def fill_conversation(
     empty = F.array().cast(S.BOX_LIST)
     boxes = F.coalesce(F.transform(target["boxes"], lambda b: G.norm_box(b, w, h)), empty)
     points = F.coalesce(F.transform(target["points"], lambda p: G.norm_point(p, w, h)), empty)
-    return F.transform(turns, lambda t: _fill_turn(t, boxes, points, take_all, as_box, as_point, strict))
+    every = lambda b, p: F.transform(turns, lambda t: _fill_turn(t, b, p, take_all, as_box, as_point, strict))
+    return let2(boxes, points, every)
 
 
 def fill_multi_image(turns: Column, targets: Column, as_box=format_plain, as_point=format_plain, strict: bool = True):
@@ -156,4 +174,5 @@ def fill_multi_image(turns: Column, targets: Column, as_box=format_plain, as_poi
     points = F.transform(
         targets, lambda t: F.transform(t["points"], lambda p: G.norm_point(p, t["width"], t["height"]))
     )
-    return F.transform(turns, lambda t: _fill_turn(t, boxes, points, take_pairs, as_box, as_point, strict))
+    every = lambda b, p: F.transform(turns, lambda t: _fill_turn(t, b, p, take_pairs, as_box, as_point, strict))
+    return let2(boxes, points, every)

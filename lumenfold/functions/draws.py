@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenfold.functions.binding import let
+
 SPAN32 = 1 << 32
 SPAN60 = 1 << 60
 
@@ -55,21 +57,17 @@ def shuffled(values: Column, *key) -> Column:
 
 def falling_weight_index(n: Column, *key) -> Column:
     """Index into a ranked list of length n, drawn with weights n, n-1, ..., 1."""
-    total = n * (n + 1) / 2
-    r = F.pmod(rank32(*key), total.cast("bigint"))
-    below = F.filter(F.sequence(F.lit(0), n - 1), lambda k: ((k + 1) * n - k * (k + 1) / 2) <= r)
-    return F.size(below)
+    r = F.pmod(rank32(*key), (n * (n + 1) / 2).cast("bigint"))
+    upto = lambda k: (k + 1) * n - k * (k + 1) / 2
+    return let(r, lambda drawn: F.size(F.filter(F.sequence(F.lit(0), n - 1), lambda k: upto(k) <= drawn)))
 
 
 def weighted_choice(weights: Sequence[float], *key) -> Column:
     """Index 0..len-1 drawn by the given weights; thresholds are exact 32-bit integers."""
     if not weights or min(weights) < 0 or not sum(weights) > 0:
         raise ValueError(f"weights must be non-negative with a positive sum: {weights}")
-    r = rank32(*key)
-    acc = F.lit(0)
-    for t in cdf_thresholds(weights):
-        acc = acc + F.when(r >= F.lit(t), 1).otherwise(0)
-    return acc
+    cuts = F.array(*[F.lit(t).cast("bigint") for t in cdf_thresholds(weights)])
+    return let(rank32(*key), lambda r: F.size(F.filter(cuts, lambda t: r >= t)))
 
 
 def cdf_thresholds(weights: Sequence[float]) -> list[int]:
@@ -83,9 +81,6 @@ def random_word(low: int, high: int, *key) -> Column:
     if not 1 <= low <= high <= 16:
         raise ValueError("a word has 1 to 16 letters")
     size = (F.lit(low) + F.pmod(rank32(*key, "len"), F.lit(high - low + 1))).cast("int")
-    hexes = digest(*key, "word")
-    letters = F.transform(
-        F.sequence(F.lit(0), size - 1),
-        lambda i: F.chr(F.lit(97) + F.pmod(_hex(F.substring(hexes, i * 2 + 1, F.lit(2))), F.lit(26))),
-    )
-    return F.array_join(letters, "")
+    letter = lambda hexes, i: F.chr(F.lit(97) + F.pmod(_hex(F.substring(hexes, i * 2 + 1, F.lit(2))), F.lit(26)))
+    positions = F.sequence(F.lit(0), size - 1)
+    return let(digest(*key, "word"), lambda h: F.array_join(F.transform(positions, lambda i: letter(h, i)), ""))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenfold.functions.binding import let, let2
+
 DIGITS = 3
 
 
@@ -97,6 +99,10 @@ def area(box: Column) -> Column:
 
 def iou(a: Column, b: Column) -> Column:
     """Overlap of two boxes; null when both areas are 0."""
+    return let2(a, b, _overlap)
+
+
+def _overlap(a: Column, b: Column) -> Column:
     width = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0))
     height = F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), F.lit(0.0))
     inter = width * height
@@ -110,6 +116,5 @@ def first_seen(values: Column) -> Column:
 
 def positions_in(values: Column, groups: Column) -> Column:
     """For nested lists of elements, the 0-based index of each element in `values`."""
-    return F.transform(
-        groups, lambda g: F.transform(g, lambda v: (F.array_position(values, v) - 1).cast("int"))
-    )
+    find = lambda known, v: (F.array_position(known, v) - 1).cast("int")
+    return let(values, lambda known: F.transform(groups, lambda g: F.transform(g, lambda v: find(known, v))))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenfold import schema as S
 from lumenfold.functions import prompt_templates as T
+from lumenfold.functions.binding import let
 from lumenfold.functions.prompt_templates import PromptTemplate, get_template
 from lumenfold.functions.text import strip, swap
 
@@ -104,11 +105,10 @@ def to_messages(turns: Column, mode: str) -> Column:
 
 def empty_last(messages: Column) -> Column:
     """The last message blanked: what a model is asked to continue."""
-    last = F.size(messages) - 1
-    return F.transform(
-        messages,
-        lambda m, i: F.struct(m["role"].alias("role"), F.when(i == last, F.lit("")).otherwise(m["message"]).alias("message")),
+    blank = lambda m, at_end: F.struct(
+        m["role"].alias("role"), F.when(at_end, F.lit("")).otherwise(m["message"]).alias("message")
     )
+    return let(messages, lambda ms: F.transform(ms, lambda m, i: blank(m, i == F.size(ms) - 1)))
 
 
 def prompt_and_target(mode: str, messages: Column, support: bool = False) -> Column:
@@ -146,12 +146,23 @@ def loss_segments(prompt: Column, mode: str = "vicuna_v1.1", mask_on_mismatch: b
     """
     t = get_template(mode)
     cut = f"{t.sep}{t.roles[1]}: "
-    rounds = F.split(prompt, rf"\Q{t.sep2}\E", -1)
+    return let(F.split(prompt, rf"\Q{t.sep2}\E", -1), lambda rounds: _segments(rounds, t, cut, mask_on_mismatch))
+
+
+def _segments(rounds: Column, t: PromptTemplate, cut: str, mask_on_mismatch: bool) -> Column:
     parts = F.transform(rounds, lambda r: F.split(r, rf"\Q{cut}\E", -1))
     fine = F.transform(parts, lambda p: F.size(p) == 2)
     first_bad = F.array_position(fine, False)
     good = F.when(first_bad == 0, F.size(rounds)).otherwise(first_bad.cast("int") - 1)
+    return let(good, lambda n: _marked(rounds, parts, n, t, cut, mask_on_mismatch))
+
+
+def _marked(rounds: Column, parts: Column, good: Column, t: PromptTemplate, cut: str, mask_on_mismatch: bool) -> Column:
     rest = F.array_join(F.slice(rounds, good + 1, F.size(rounds)), t.sep2)
+    return let(rest, lambda r: _listed(rounds, parts, good, r, t, cut, mask_on_mismatch))
+
+
+def _listed(rounds, parts, good, rest, t: PromptTemplate, cut: str, mask_on_mismatch: bool) -> Column:
     whole = (F.lit(not mask_on_mismatch)) | (F.length(rest) == 0)
     mark = lambda i: F.when(i < F.size(rounds) - 1, F.lit(t.sep2)).otherwise(F.lit(""))
     kept = F.flatten(
@@ -184,13 +195,13 @@ def openai_messages(mode: str, messages: Column) -> Column:
 def chat_pairs(messages: Column, offset: int = 0) -> Column:
     """Question/answer pairs; the answer of an open question is null."""
     said = F.slice(messages, offset + 1, 1 << 30) if offset else messages
-    count = F.ceil(F.size(said) / 2).cast("int")
-    pair = lambda i: F.struct(
-        F.get(said, i * 2)["message"].alias("question"), F.get(said, i * 2 + 1)["message"].alias("answer")
-    )
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), pair)).otherwise(
-        F.array().cast("array<struct<question:string,answer:string>>")
+    pair = lambda ms, i: F.struct(
+        F.get(ms, i * 2)["message"].alias("question"), F.get(ms, i * 2 + 1)["message"].alias("answer")
     )
+    count = lambda ms: F.ceil(F.size(ms) / 2).cast("int")
+    none = F.array().cast("array<struct<question:string,answer:string>>")
+    pairs = lambda ms: F.transform(F.sequence(F.lit(0), count(ms) - 1), lambda i: pair(ms, i))
+    return let(said, lambda ms: F.when(count(ms) > 0, pairs(ms)).otherwise(none))
 
 
 def conversation_record(mode: str, messages: Column, conv_id=None, model_name=None) -> Column:

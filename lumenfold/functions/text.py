@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenfold import schema as S
+from lumenfold.functions.binding import let
 from lumenfold.functions.draws import pick
 
 _SPACE = r"[\s\x1c-\x1f]"
@@ -59,7 +60,7 @@ def scrub(text: Column) -> Column:
 
 def _single(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(strip(text), F.lit(pattern), F.lit(1))
-    return F.when(F.size(found) == 1, F.get(found, 0))
+    return let(found, lambda f: F.when(F.size(f) == 1, F.get(f, 0)))
 
 
 def extract_answer(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold import schema as S
+from lumenfold.functions.binding import let
 
 PROTECTED = [S.IM_PATCH, S.IM_END, S.IM_START]
 
@@ -21,6 +22,10 @@ def concat_episode(items: Column) -> Column:
     Middle items lose their last token, the first and last do not; only the last item's labels
     are trained on.
     """
+    return let(items, _concat_items)
+
+
+def _concat_items(items: Column) -> Column:
     last = F.size(items) - 1
 
     def joined(field: str) -> Column:
@@ -42,26 +47,34 @@ def kept_positions(tokens: Column, limit: int, protected: Sequence = PROTECTED)
     Linear in the row: positions are split once into protected and open ones. Fails when the
     protected tokens alone are too many.
     """
+    return let(tokens, lambda t: _kept(t, limit, protected))
+
+
+def _kept(tokens: Column, limit: int, protected: Sequence) -> Column:
     n = F.size(tokens)
     safe = F.array(*[F.lit(p) for p in protected])
     every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     is_safe = lambda i: F.array_contains(safe, F.get(tokens, i))
     held = F.filter(every, is_safe)
     open_ = F.filter(every, lambda i: ~is_safe(i))
-    room = F.lit(limit) - F.size(held)
-    cut = F.array_sort(F.concat(held, F.slice(open_, 1, F.greatest(room, F.lit(0)))))
     failed = F.raise_error(F.lit("protected tokens exceed the truncation size")).cast("array<int>")
-    return F.when(n <= limit, every).when(room < 0, failed).otherwise(cut)
+
+    def cut(h: Column) -> Column:
+        room = F.lit(limit) - F.size(h)
+        return F.when(room < 0, failed).otherwise(F.array_sort(F.concat(h, F.slice(open_, 1, F.greatest(room, F.lit(0))))))
+
+    return F.when(n <= limit, every).otherwise(let(held, cut))
 
 
 def at_positions(values: Column, positions: Column) -> Column:
-    return F.transform(positions, lambda i: F.get(values, i))
+    return let(values, lambda v: F.transform(positions, lambda i: F.get(v, i)))
 
 
 def truncate(sample: Column, limit: int, protected: Sequence = PROTECTED) -> Column:
     """Ids, mask and labels of a sample cut at the same positions."""
+    fields = ("input_ids", "attention_mask", "labels")
     keep = kept_positions(sample["input_ids"], limit, protected)
-    return F.struct(*[at_positions(sample[f], keep).alias(f) for f in ("input_ids", "attention_mask", "labels")])
+    return let(keep, lambda k: F.struct(*[at_positions(sample[f], k).alias(f) for f in fields]))
 
 
 def pad_batches(
@@ -97,6 +110,10 @@ def negatives_to_pad(ids: Column, pad: int) -> Column:
 
 def image_span_problem(tokens: Column, patches: int = 256, wrap: bool = True) -> Column:
     """Null for a sound row, else what is wrong with its image tokens. Rows without patches are sound."""
+    return let(tokens, lambda t: _span_problem(t, patches, wrap))
+
+
+def _span_problem(tokens: Column, patches: int, wrap: bool) -> Column:
     count = lambda piece: F.size(F.filter(tokens, lambda t: t == piece))
     n_patch = count(S.IM_PATCH)
     every = F.sequence(F.lit(0), F.size(tokens) - 1)
@@ -118,4 +135,4 @@ def image_span_problem(tokens: Column, patches: int = 256, wrap: bool = True) ->
 def reorder_images(images: Column, turns: Column) -> Column:
     """Images in the order the turns' `image_seq` lists name them."""
     order = F.flatten(F.transform(turns, lambda t: F.coalesce(t["image_seq"], F.array().cast("array<int>"))))
-    return F.transform(order, lambda i: F.element_at(images, i + 1))
+    return let(images, lambda all_: F.transform(order, lambda i: F.element_at(all_, i + 1)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold import schema as S
+from lumenfold.functions.binding import let
 from lumenfold.functions.geometry import first_seen, positions_in
 from lumenfold.functions.text import swap, template
 from lumenfold.operators.convert.base import item, seq, target, turn
@@ -66,8 +67,12 @@ def clevr(df: DataFrame, version: str, templates: Sequence[str], seed: int = 0)
             F.filter(marked, lambda m: m["keep"] & (F.size(m["ans"]) > 0)),
             lambda m: F.transform(m["ans"], lambda o: F.slice(df["objects"][o]["pixel_coords"], 1, 2)),
         )
-        points = first_seen(F.flatten(groups))
-        answer_seq = positions_in(points, groups)
+        placed = let(
+            groups,
+            lambda g: F.struct(first_seen(F.flatten(g)).alias("points"), positions_in(first_seen(F.flatten(g)), g).alias("seq")),
+        )
+        df = df.withColumn("_placed", placed)
+        points, answer_seq = F.col("_placed.points"), F.col("_placed.seq")
     asked = swap(template(templates, seed, df["row_id"]), S.QUESTION, df["question"])
     return item(
         df,

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold import schema as S
+from lumenfold.functions.binding import let, let2
 from lumenfold.functions.draws import chance
 from lumenfold.functions.geometry import first_seen, positions_in
 from lumenfold.functions.text import drop_markers, markers_to_boxes, strip, swap, template, words
@@ -27,7 +28,10 @@ _NO_BOXES = lambda: F.array().cast(S.BOX_LIST)
 
 
 def _box_of(objects: Column, rid: Column) -> Column:
-    o = objects[rid]
+    return let(objects[rid], lambda o: _corners(o, rid))
+
+
+def _corners(o: Column, rid: Column) -> Column:
     box = F.array(o["x"], o["y"], o["x"] + o["w"], o["y"] + o["h"]).cast("array<double>")
     missing = F.raise_error(F.concat(F.lit("object is not in the scene: "), rid)).cast("array<double>")
     return F.when(o.isNull(), missing).otherwise(box)
@@ -46,7 +50,8 @@ def semantic_with_boxes(text: Column) -> Column:
     groups = _semantic_groups(text)
     mark = F.transform(groups, lambda g: F.when(F.contains(g, F.lit("-")), F.lit("")).otherwise(F.lit(S.BOXES)))
     parts = F.split(text, ID_GROUP, -1)
-    return F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(mark, i), F.lit("")))), "")
+    join = lambda m: F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(m, i), F.lit(""))))
+    return F.array_join(let(mark, join), "")
 
 
 def semantic_ids(text: Column) -> Column:
@@ -58,8 +63,10 @@ def semantic_ids(text: Column) -> Column:
 def _spans(spans: Column) -> Column:
     """Map `a:b` or `a` to the index of the last word, with the ids."""
     def one(e):
-        ends = F.split(e["key"], ":").cast("array<int>")
-        last = F.when(F.size(ends) == 1, ends[0]).otherwise(F.get(ends, 1) - 1)
+        last = let(
+            F.split(e["key"], ":").cast("array<int>"),
+            lambda ends: F.when(F.size(ends) == 1, ends[0]).otherwise(F.get(ends, 1) - 1),
+        )
         return F.struct(last.alias("last"), F.split(e["value"], ",").alias("ids"))
 
     return F.transform(F.map_entries(spans), one)
@@ -67,8 +74,11 @@ def _spans(spans: Column) -> Column:
 
 def mark_spans(sentence: Column, spans: Column, join_with: str) -> Column:
     """A box placeholder after the last word of each span."""
-    parts = words(sentence)
     ends = F.transform(_spans(spans), lambda s: s["last"])
+    return let2(words(sentence), ends, lambda p, e: _mark_words(p, e, join_with))
+
+
+def _mark_words(parts: Column, ends: Column, join_with: str) -> Column:
     outside = F.exists(ends, lambda e: (e < 0) | (e >= F.size(parts)))
     marked = F.transform(
         parts, lambda w, i: F.concat(w, F.repeat(F.lit(S.BOXES), F.size(F.filter(ends, lambda e: e == i))))
@@ -89,28 +99,45 @@ def _full_sentence(df: DataFrame, join_with: str) -> Column:
     )
 
 
-def _answer(df: DataFrame, form: str, join_with: str) -> tuple[Column, Column, Column]:
-    """Text, boxes and box sequence of the answer."""
+def _answer(df: DataFrame, form: str, join_with: str) -> tuple[Column, Column]:
+    """Text of the answer, and the scene boxes of each of its placeholders."""
     short = F.concat(F.lit("The answer is "), df["answer"], F.lit("."))
     if form == "a":
-        return short, _NO_BOXES(), seq()
+        return short, _empty_groups()
     if form == "c":
-        return drop_markers(df["cot"]["value"]), _NO_BOXES(), seq()
+        return drop_markers(df["cot"]["value"]), _empty_groups()
     if form == "bc":
-        return markers_to_boxes(df["cot"]["value"]), df["cot"]["boxes"], df["cot"]["seq"]
+        return markers_to_boxes(df["cot"]["value"]), _empty_groups()
     if form == "s":
         bare = F.regexp_replace(df["semanticStr"], ID_GROUP, "")
-        return F.concat(bare, F.lit(". "), short), _NO_BOXES(), seq()
+        return F.concat(bare, F.lit(". "), short), _empty_groups()
     if form == "l":
-        return swap(_full_sentence(df, join_with), S.BOXES, ""), _NO_BOXES(), seq()
+        return swap(_full_sentence(df, join_with), S.BOXES, ""), _empty_groups()
     if form == "bs":
         text = F.concat(semantic_with_boxes(df["semanticStr"]), F.lit(". "), short)
-        groups = _boxes_of(df["objects"], semantic_ids(df["semanticStr"]))
-    else:
-        text = _full_sentence(df, join_with)
-        groups = _boxes_of(df["objects"], _span_ids(df["annotations"]["fullAnswer"]))
-    boxes = first_seen(F.flatten(groups))
-    return text, boxes, positions_in(boxes, groups)
+        return text, _boxes_of(df["objects"], semantic_ids(df["semanticStr"]))
+    return _full_sentence(df, join_with), _boxes_of(df["objects"], _span_ids(df["annotations"]["fullAnswer"]))
+
+
+def _empty_groups() -> Column:
+    return F.array().cast("array<array<array<double>>>")
+
+
+def _place(given: Column, answer_groups: Column, question_groups: Column) -> Column:
+    """`struct<answer_boxes,answer_seq,boxes,seq>`: box lists without and with the question's boxes."""
+    def extend(known: Column) -> Column:
+        fresh = first_seen(F.filter(F.flatten(question_groups), lambda b: ~F.array_contains(known, b)))
+        return let(
+            F.concat(known, fresh),
+            lambda more: F.struct(
+                known.alias("answer_boxes"),
+                positions_in(known, answer_groups).alias("answer_seq"),
+                more.alias("boxes"),
+                positions_in(more, question_groups).alias("seq"),
+            ),
+        )
+
+    return let(F.concat(given, first_seen(F.flatten(answer_groups))), extend)
 
 
 def gqa(
@@ -129,21 +156,25 @@ def gqa(
     qform, _, aform = version.partition("-")
     if qform not in QUESTION_FORMS or aform not in ANSWER_FORMS:
         raise ValueError(f"unknown version: {version}")
-    said, boxes, said_seq = _answer(df, aform, join_with)
-    asked, asked_seq, all_boxes = df["question"], seq(), boxes
+    said, answer_groups = _answer(df, aform, join_with)
+    given = df["cot"]["boxes"] if aform == "bc" else _NO_BOXES()
+    asked, question_groups, boxed = df["question"], _empty_groups(), F.lit(False)
     if qform != "q":
         spans = df["annotations"]["question"]
-        groups = _boxes_of(df["objects"], _span_ids(spans))
-        fresh = first_seen(F.filter(F.flatten(groups), lambda b: ~F.array_contains(boxes, b)))
-        more = F.concat(boxes, fresh)
+        question_groups = _boxes_of(df["objects"], _span_ids(spans))
         boxed = F.lit(True) if qform == "qb" else chance(box_prob, seed, df["row_id"], "boxed")
         asked = F.when(boxed, mark_spans(df["question"], spans, " ")).otherwise(df["question"])
-        asked_seq = F.when(boxed, positions_in(more, groups)).otherwise(seq())
-        all_boxes = F.when(boxed, more).otherwise(boxes)
     full = swap(template(templates, seed, df["row_id"]), S.QUESTION, asked)
+    placed = df.select(
+        "row_id", F.concat("imageId", F.lit(".jpg")).alias("image"), full.alias("_asked"), said.alias("_said"),
+        boxed.alias("_boxed"), _place(given, answer_groups, question_groups).alias("_p"),
+        (df["cot"]["seq"] if aform == "bc" else F.lit(None).cast(S.SEQ)).alias("_seq"),
+    )
+    asked_seq = F.when(F.col("_boxed"), F.col("_p.seq")).otherwise(seq())
+    said_seq = F.coalesce(F.col("_seq"), F.col("_p.answer_seq"))
     return item(
-        df,
-        F.concat("imageId", F.lit(".jpg")),
-        [turn("human", full, asked_seq), turn("gpt", said, said_seq)],
-        target(all_boxes),
+        placed,
+        F.col("image"),
+        [turn("human", F.col("_asked"), asked_seq), turn("gpt", F.col("_said"), said_seq)],
+        target(F.when(F.col("_boxed"), F.col("_p.boxes")).otherwise(F.col("_p.answer_boxes"))),
     )

@@ -55,13 +55,25 @@ def _pack(text: Column, boxes: Column) -> Column:
 
 
 def sentence_pack(json_text: str) -> str:
-    """SQL for a mixed sentence in JSON: its text with box placeholders, and the index lists."""
-    parts = f"cast(parse_json({json_text}) as array<variant>)"
-    is_list = "schema_of_variant(e) like 'ARRAY%'"
+    """SQL for a mixed sentence in JSON: its text with box placeholders, and the index lists.
+
+    Read as strings, a nested list is its JSON text and starts with a bracket. Only a sentence in
+    which some word itself starts with one needs typed values (variants) to tell them apart.
+    """
+    plain = (
+        f"transform(from_json({json_text}, 'array<string>', map('mode', 'FAILFAST')), w -> if(startswith(w, '['), "
+        f"named_struct('w', '{S.BOXES}', 'l', if(w = '[]', cast(array() as array<int>), "
+        f"cast(split(translate(w, '[] ', ''), ',') as array<int>))), named_struct('w', w, 'l', cast(null as array<int>))))"
+    )
+    typed = (
+        f"transform(cast(parse_json({json_text}) as array<variant>), e -> named_struct("
+        f"'w', if(try_variant_get(e, '$', 'array<int>') is null, cast(e as string), '{S.BOXES}'), "
+        f"'l', try_variant_get(e, '$', 'array<int>')))"
+    )
+    words = f"if(contains({json_text}, '\"['), {typed}, {plain})"
     return (
-        f"named_struct('text', array_join(transform({parts}, "
-        f"e -> if({is_list}, '{S.BOXES}', cast(e as string))), ' '), "
-        f"'seq', transform(filter({parts}, e -> {is_list}), e -> cast(e as array<int>)))"
+        f"transform(array({words}), ws -> named_struct('text', array_join(transform(ws, x -> x.w), ' '), "
+        f"'seq', filter(transform(ws, x -> x.l), l -> l is not null)))[0]"
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold import schema as S
+from lumenfold.functions.binding import let, let2
 from lumenfold.functions.text import words
 
 
@@ -15,7 +16,10 @@ def parse_phrases(sentence: Column) -> Column:
     Markup is `[/EN#id/type/type words]`; the opening token is no word, the closing bracket goes.
     A phrase opens at a token that starts with `[` and closes at the next token that ends with `]`.
     """
-    tokens = words(sentence)
+    return let(words(sentence), _parse)
+
+
+def _parse(tokens: Column) -> Column:
     n = F.size(tokens)
     every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     # One pass finds the spans; everything else is read off token positions.
@@ -41,6 +45,10 @@ def _phrases(tokens: Column, every: Column, s: Column) -> Column:
     closed = F.transform(s["spans"], lambda p: p["open"])
     opens = F.when(s["inside"], F.concat(closed, F.array(s["open"]))).otherwise(closed)
     closes = F.transform(s["spans"], lambda p: p["close"])
+    return let2(opens, closes, lambda o, c: _read_spans(tokens, every, s["spans"], o, c))
+
+
+def _read_spans(tokens: Column, every: Column, spans: Column, opens: Column, closes: Column) -> Column:
     cut = lambda tok: F.substring(tok, F.lit(1), F.length(tok) - 1)
     word = lambda i: F.when(F.array_contains(closes, i), cut(F.get(tokens, i))).otherwise(F.get(tokens, i))
     said = F.transform(F.filter(every, lambda i: ~F.array_contains(opens, i)), word)
@@ -55,7 +63,7 @@ def _phrases(tokens: Column, every: Column, s: Column) -> Column:
             F.slice(parts, 3, 1 << 30).alias("phrase_type"),
         )
 
-    return F.struct(F.array_join(said, " ").alias("sentence"), F.transform(s["spans"], one).alias("phrases"))
+    return F.struct(F.array_join(said, " ").alias("sentence"), F.transform(spans, one).alias("phrases"))
 
 
 def flatten_sentences(sentences: DataFrame, objects: DataFrame) -> DataFrame:
@@ -90,14 +98,11 @@ def flatten_sentences(sentences: DataFrame, objects: DataFrame) -> DataFrame:
     tokens = F.split("p.sentence", " ")
     first = F.transform("_known", lambda f: f["first_word_index"])
     last = F.transform("_known", lambda f: f["first_word_index"] + F.size(F.split(f["phrase"], " ")) - 1)
-    marked = F.transform(
-        tokens,
-        lambda w, i: F.concat(
-            F.when(F.array_contains(first, i), F.lit(S.PHRASE_START)).otherwise(F.lit("")),
-            w,
-            F.when(F.array_contains(last, i), F.lit(S.PHRASE_END)).otherwise(F.lit("")),
-        ),
+    tag = lambda at, i, mark: F.when(F.array_contains(at, i), F.lit(mark)).otherwise(F.lit(""))
+    wrap = lambda f, l: F.transform(
+        tokens, lambda w, i: F.concat(tag(f, i, S.PHRASE_START), w, tag(l, i, S.PHRASE_END))
     )
+    marked = let2(first, last, wrap)
     return df.select(
         "image_id", "sentence_no", boxes.cast("array<array<int>>").alias("boxes"),
         F.array_join(marked, " ").alias("sentence"), seq.cast(S.SEQ).alias("boxes_seq"),

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold import schema as S
+from lumenfold.functions.binding import explode_items as explode_array
+from lumenfold.functions.binding import let
 from lumenfold.functions.draws import falling_weight_index, pick, rank32, random_word, shuffled, weighted_choice
 from lumenfold.functions.prompts import render_by_mode
 from lumenfold.functions.text import template
@@ -88,7 +90,7 @@ def negative_draws(classes: DataFrame, n: int, seed: int = 0, epoch=0) -> DataFr
     label = F.lower(pick(F.col("neighbors"), *key, "label")["name"])
     return classes.select(
         "class_id",
-        F.posexplode(F.transform(slots(n), lambda s: pick(F.col("samples"), *key, "own", s))).alias("pos", "image"),
+        explode_array(F.transform(slots(n), lambda s: pick(F.col("samples"), *key, "own", s)), "pos", "image"),
         label.alias("label"),
     )
 
@@ -107,7 +109,10 @@ def _query_side(key: list) -> Column:
 
 
 def _weight_items(templates: Sequence[str], shot: Column, key: list) -> Column:
-    word = random_word(1, 10, *key)
+    return let(random_word(1, 10, *key), lambda word: _weight_list(templates, shot, key, word))
+
+
+def _weight_list(templates: Sequence[str], shot: Column, key: list, word: Column) -> Column:
     name = F.lower(F.col("nb")["name"])
     own = F.transform(slots(shot), lambda s: item(_own_image(key, s), SHOWN_QUESTION, there_is(word)))
     other = F.transform(slots(shot), lambda s: item(_neighbour_image(key, s), SHOWN_QUESTION, there_is(name)))
@@ -144,7 +149,10 @@ def two_way_random_shot(classes: DataFrame, templates: Sequence[str], shot: int,
 
 
 def _ref_items(key: list, legacy: bool) -> Column:
-    word = random_word(1, 10, *key)
+    return let(random_word(1, 10, *key), lambda word: _ref_list(key, word, legacy))
+
+
+def _ref_list(key: list, word: Column, legacy: bool) -> Column:
     own_side, shot = F.lit(0), F.col("_shot")
 
     def named(side: int):
@@ -155,7 +163,10 @@ def _ref_items(key: list, legacy: bool) -> Column:
 
         return F.transform(slots(shot), one)
 
-    mixed = shuffled(F.concat(named(0), named(1)), *key, "order")
+    return let(shuffled(F.concat(named(0), named(1)), *key, "order"), lambda mixed: _ref_shown(key, word, mixed, own_side, legacy))
+
+
+def _ref_shown(key: list, word: Column, mixed: Column, own_side: Column, legacy: bool) -> Column:
     support = F.transform(
         mixed,
         lambda x: item(
@@ -343,16 +354,16 @@ def prompts(episodes: DataFrame, modes: Sequence[str] = EPISODE_MODES) -> DataFr
         F.struct(F.lit("human").alias("from"), x["question"].alias("value")),
         F.struct(F.lit("gpt").alias("from"), x["answer"].alias("value")),
     )
-    last = F.size("items") - 1
 
-    def text(x, i):
+    def text(x, at_edge):
         full = render_by_mode(x["mode"], turns(x), modes)
-        return F.when((i == 0) | (i == last), full).otherwise(F.regexp_replace(full, r"</s>$", ""))
+        return let(full, lambda f: F.when(at_edge, f).otherwise(F.regexp_replace(f, r"</s>$", "")))
 
-    return episodes.withColumn("prompt", F.array_join(F.transform("items", text), ""))
+    every = lambda items: F.transform(items, lambda x, i: text(x, (i == 0) | (i == F.size(items) - 1)))
+    return episodes.withColumn("prompt", F.array_join(let(F.col("items"), every), ""))
 
 
 def explode_items(episodes: DataFrame) -> DataFrame:
     """Long form: one row per item with its position."""
     others = [c for c in episodes.columns if c != "items"]
-    return episodes.select(*others, F.posexplode("items").alias("pos", "item")).select(*others, "pos", "item.*")
+    return episodes.select(*others, explode_array(F.col("items"))).select(*others, "pos", "item.*")
