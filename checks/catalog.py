@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from checks import convert, geometry  # noqa: F401
+from checks import classes, convert, episodes, geometry, metrics, prompts  # noqa: F401
 from checks.base import OPERATORS, ORACLES, QUERIES
 
 __all__ = ["OPERATORS", "ORACLES", "QUERIES"]

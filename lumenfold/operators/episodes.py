@@ -78,7 +78,9 @@ def with_neighbour(classes: DataFrame, seed: int = 0, epoch=0) -> DataFrame:
     """
     index = falling_weight_index(F.size("neighbors"), *_key(seed, epoch), "neighbour").cast("int")
     drawn = classes.withColumn("nb", F.get("neighbors", index))
-    pool = first_per_class(classes).select(F.col("class_id").cast("string").alias("_nb_id"), F.col("samples").alias("nb_samples"))
+    # Records read from a file may repeat a class; built records (without row_id) do not.
+    known = first_per_class(classes) if "row_id" in classes.columns else classes
+    pool = known.select(F.col("class_id").cast("string").alias("_nb_id"), F.col("samples").alias("nb_samples"))
     joined = drawn.join(pool, drawn["nb"]["id"] == pool["_nb_id"], "left")
     missing = F.raise_error(F.concat(F.lit("neighbour is not a class: "), F.col("nb")["id"])).cast("array<string>")
     return joined.withColumn("nb_samples", F.when(F.col("_nb_id").isNull(), missing).otherwise(F.col("nb_samples"))).drop("_nb_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change plans, not results. Cluster defaults win where they are set.
 TUNING = {
@@ -36,3 +36,12 @@ def scratch_dir(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lumenfold-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for heavy row-wise work on an input with fewer splits than cores.
+
+    Inputs with enough splits, which is any large one, pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
