@@ -19,11 +19,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def number_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with `file` and the dense 0-based `line_no` in it.
+def number_lines(spark: SparkSession, path: str, per_file: bool = False) -> DataFrame:
+    """Text lines with `file` and a dense 0-based `line_no`.
 
-    Lines are numbered inside each file block; blocks are counted and their offsets joined back,
-    one small row per block.
+    A folder of part files counts as one file, its parts in name order; `per_file` starts over in
+    each. Lines are numbered inside each file block; blocks are counted and their offsets joined
+    back, one small row per block.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -32,7 +33,9 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"),
     )
     blocks = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # Without partitions the window sees one row per file block, never the lines.
+    order = Window.partitionBy("file").orderBy("_block") if per_file else Window.orderBy("file", "_block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return lines.join(offsets, ["file", "_block"]).select(
         "file", (F.col("_offset") + F.col("_id") - F.col("_first")).alias("line_no"), "value"
@@ -40,7 +43,7 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of one file with `row_id`, the line number the file's readers count by."""
+    """JSON lines with `row_id`, the line number that other files refer to."""
     parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
     return number_lines(spark, path).select(F.col("line_no").alias("row_id"), parsed.alias("r")).select("row_id", "r.*")
 
@@ -56,7 +59,7 @@ def entity_sentences(spark: SparkSession, path: str, id_pattern: str | None = No
     The image id is the file's base name, or group 1 of `id_pattern` on its path.
     """
     image = F.regexp_extract("file", id_pattern, 1) if id_pattern else base_name(F.col("file"))
-    lines = number_lines(spark, path).where(F.length("value") > 0)
+    lines = number_lines(spark, path, per_file=True).where(F.length("value") > 0)
     return lines.select(image.alias("image_id"), F.col("line_no").alias("sentence_no"), F.col("value").alias("sentence"))
 
 
@@ -96,7 +99,7 @@ def detection_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         whole.select(F.explode("neighbors").alias("category_id", "ids"))
         .select(F.col("category_id").cast("bigint").alias("category_id"), F.posexplode("ids").alias("pos", "neighbor_id"))
     )
-    expired = whole.select(F.explode(F.map_keys("expired_imgs")).cast("bigint").alias("image_id"))
+    expired = whole.select(F.explode(F.map_keys("expired_imgs")).alias("k")).select(F.col("k").cast("bigint").alias("image_id"))
     return {
         "images": rows("images"), "annotations": rows("annotations"), "categories": rows("categories"),
         "neighbors": neighbors, "expired": expired,
@@ -179,7 +182,7 @@ def val_list(spark: SparkSession, path: str, labels_path: str) -> DataFrame:
 def ranked_neighbours(spark: SparkSession, path: str) -> DataFrame:
     """Ranked-neighbour CSV in long form: `class_id, rank, neighbor_id`; the header line is skipped."""
     cells = F.transform(F.split("value", ","), lambda c: F.trim(c))
-    lines = number_lines(spark, path).where(F.col("line_no") > 0).select(cells.alias("c"))
+    lines = number_lines(spark, path, per_file=True).where(F.col("line_no") > 0).select(cells.alias("c"))
     return lines.select(
         F.col("c")[0].alias("class_id"), F.posexplode(F.slice("c", 2, 1 << 30)).alias("rank", "neighbor_id")
     )
