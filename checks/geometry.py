@@ -17,7 +17,7 @@ def _corners(df, expr, *keep):
 
 
 def norm(v: str, size: str) -> str:
-    return f"round(greatest(0.0,least({v}/{size},1.0)),3)"
+    return f"printf('%.3f',greatest(0.0,least({v}/{size},1.0)))::double"
 
 
 def plain(p: str, w: str = "width", h: str = "height") -> str:
@@ -119,7 +119,7 @@ def parse_points(spark, sf):
 
 
 def _bin(e: str) -> str:
-    return f"round({e}*1000)::bigint"
+    return f"round_even({e}*1000,0)::bigint"
 
 
 _TOKENS = "'<b_st>'||" + "||' '||".join(
@@ -131,7 +131,7 @@ _TOKENS = "'<b_st>'||" + "||' '||".join(
 def bin_tokens(spark, sf):
     w, h = F.col("width"), F.col("height")
     shown = coords.format_box_tokens(F.array(geometry.norm_box(box("a"), w, h)))
-    rounded = F.transform(geometry.norm_point(F.array(F.col("bx1"), F.col("by1")), w, h), lambda x: F.round(x, 3))
+    rounded = F.transform(geometry.norm_point(F.array(F.col("bx1"), F.col("by1")), w, h), lambda x: geometry.round_exact(x))
     points = coords.format_point_tokens(F.array(rounded))
     return load(spark, sf, "records").select(
         "row_id", shown.alias("shown"), coords.parse_box_tokens(shown)[0][0][2].alias("x2"),

@@ -42,7 +42,7 @@ def _boxes(spark, sf):
                      F.when(F.col("miss") == 9, F.lit("?")).otherwise(shown(t)).alias("target"))
 
 
-_n = lambda e: f"round(({e})/700,3)*1000"
+_n = lambda e: f"printf('%.3f',({e})/700)::double*1000"
 _IOU = f"""
 t as (select row_id, miss, {_n('tx1')} a1, {_n('ty1')} a2, {_n('tx2')} a3, {_n('ty2')} a4, {_n('tx1+dx')} b1, {_n('ty1+dy')} b2, {_n('tx2+dx')} b3, {_n('ty2+dy')} b4 from box_predictions),
 i as (select *, greatest(least(a3,b3)-greatest(a1,b1),0)*greatest(least(a4,b4)-greatest(a2,b2),0) x from t),

@@ -25,10 +25,8 @@ def _brackets(round_brackets: bool) -> tuple[str, str]:
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    """Half-up with trailing zeros; a decimal cast does both and is much cheaper than a format string."""
-    if digits <= 6:
-        return x.cast(f"decimal(18,{digits})").cast("string")
-    return F.format_string(f"%.{digits}f", F.round(x, digits))
+    """Rounded with trailing zeros; a decimal cast is much cheaper than a format string."""
+    return G.round_exact(x, digits).cast(f"decimal(18,{digits})").cast("string")
 
 
 def format_plain(coords: Column, digits: int = G.DIGITS, round_brackets: bool = False) -> Column:
@@ -57,7 +55,7 @@ def parse_plain_points(text: Column, round_brackets: bool = False) -> Column:
 
 
 def _format_tokens(coords: Column, kind: str, width: int, bins: int) -> Column:
-    token = lambda v: F.concat(F.lit("<bin_"), F.round(v * (bins - 1)).cast("bigint").cast("string"), F.lit(">"))
+    token = lambda v: F.concat(F.lit("<bin_"), F.rint(v * (bins - 1)).cast("bigint").cast("string"), F.lit(">"))
     one = lambda c: F.array_join(F.transform(F.slice(c, 1, width), token), " ")
     body = F.array_join(F.transform(coords, one), f"<{kind}_sep>")
     return F.concat(F.lit(f"<{kind}_st>"), body, F.lit(f"<{kind}_ed>"))

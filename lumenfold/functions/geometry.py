@@ -1,6 +1,7 @@
 """Boxes and points: scalar arithmetic per coordinate, arrays only at the record boundary.
 
-Rounding is half-up on both sides of every comparison; a box is `array<double>` x1,y1,x2,y2.
+A box is `array<double>` x1,y1,x2,y2. Rounding is that of Python's `round` and `%.3f`: by the exact
+binary value of the number, half to even only where that value is a true tie.
 """
 
 from __future__ import annotations
@@ -21,9 +22,28 @@ def clamp_unit(value: Column, size) -> Column:
     return F.greatest(F.lit(0.0), F.least(value / _num(size), F.lit(1.0)))
 
 
+def round_exact(x: Column, digits: int = DIGITS) -> Column:
+    """Round a number of moderate size to at most 6 places by its exact binary value.
+
+    Spark's `round` goes by the shortest decimal text, which differs for numbers like 0.5025 (just
+    below the tie in binary). Away from ties the scaled value decides. Near one, the distance to
+    the tie is computed without rounding error: the number is split into a 24-bit head and the
+    rest, so that both products are exact.
+    """
+    scale = 10**digits
+    scaled = x * scale
+    below = F.floor(scaled)
+    head = x.cast("float").cast("double")
+    over = (head * (2 * scale) - (below * 2 + 1)) + (x - head) * (2 * scale)
+    up = (over > 0) | ((over == 0) & (below % 2 != 0))
+    near = F.abs(scaled - below - 0.5) < 1e-6
+    whole = F.when(near, (below + F.when(up, 1).otherwise(0)).cast("double")).otherwise(F.rint(scaled))
+    return whole / scale
+
+
 def norm_coord(value: Column, size) -> Column:
     """Divide, clamp to 0..1, round to 3 places."""
-    return F.round(clamp_unit(value, size), DIGITS)
+    return round_exact(clamp_unit(value, size))
 
 
 def norm_box(box: Column, w, h) -> Column:

@@ -95,25 +95,28 @@ def vcr(
     version: str,
     templates: Sequence[str],
     seed: int = 0,
-    answer_label: Column | None = None,
-    rationale_label: Column | None = None,
 ) -> DataFrame:
     """Sentences are JSON text; a fifth box number (a probability) is dropped."""
     if version not in VERSIONS:
         raise ValueError(f"version must be one of {list(VERSIONS)}: {version}")
-    answer_at = df["answer_label"] if answer_label is None else answer_label
-    reason_at = df["rationale_label"] if rationale_label is None else rationale_label
-    # Parsed once per row into packs; the version then only picks and joins them.
-    parsed = df.select(
+    return _render(_parse(df), version, templates, seed)
+
+
+def _parse(df: DataFrame) -> DataFrame:
+    """Sentences to packs, once per record; a version then only picks and joins them."""
+    return df.select(
         "row_id",
         "img_fn",
         F.transform("boxes", lambda b: F.slice(b, 1, 4)).alias("boxes"),
-        answer_at.alias("_a"),
-        reason_at.alias("_r"),
+        F.col("answer_label").alias("_a"),
+        F.col("rationale_label").alias("_r"),
         F.expr(sentence_pack("question")).alias("_q"),
         F.expr(f"transform(answer_choices, s -> {sentence_pack('s')})").alias("_as"),
         F.expr(f"transform(rationale_choices, s -> {sentence_pack('s')})").alias("_rs"),
     )
+
+
+def _render(parsed: DataFrame, version: str, templates: Sequence[str], seed: int, note: str = "") -> DataFrame:
     part = {
         "question": F.col("_q"),
         "answers": _choices(F.col("_as")),
@@ -135,6 +138,8 @@ def vcr(
         value, boxes_seq = merged(pieces)
         if n == 0:
             value = swap(template(templates, seed, F.col("row_id")), S.QUESTION, value)
+        if note and n == len(VERSIONS[version]) - 1:
+            value = F.concat(value, F.lit(note))
         turns.append(turn("human" if n % 2 == 0 else "gpt", value, boxes_seq))
     return parsed.select(
         "row_id", F.col("img_fn").alias("image"), target(F.col("boxes")).alias("target"),
@@ -149,17 +154,8 @@ def vcr_pred(df: DataFrame, version: str, templates: Sequence[str], seed: int =
     """
     if version not in PREDICTION_VERSIONS:
         raise ValueError(f"version must be one of {PREDICTION_VERSIONS}: {version}")
-    forced = F.lit(0)
+    parsed = _parse(df).withColumns({"_a": F.lit(0), "_r": F.lit(0)})
     if version in RATIONALE_VERSIONS:
-        df = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_forced"))
-        df = df.withColumn("row_id", F.col("row_id") * 4 + F.col("_forced"))
-        forced = F.col("_forced")
-    out = vcr(df, version, templates, seed, forced, F.lit(0))
-    noted = F.transform(
-        "conversations",
-        lambda t, i: t.withField(
-            "value",
-            F.when(i == F.size("conversations") - 1, F.concat(t["value"], F.lit(PREDICTION_NOTE))).otherwise(t["value"]),
-        ),
-    )
-    return out.withColumn("conversations", noted)
+        parsed = parsed.drop("_a").select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_a"))
+        parsed = parsed.withColumn("row_id", F.col("row_id") * 4 + F.col("_a"))
+    return _render(parsed, version, templates, seed, PREDICTION_NOTE)

@@ -22,8 +22,16 @@ def tup(row):
     return None if row is None else [list(x) if isinstance(x, list) else x for x in row]
 
 
-def test_norm_box_clamps_and_rounds_half_up(one):
-    assert one(geometry.norm_box(F.array(*map(F.lit, [0.0625, -5.0, 2.0, 1.0])), F.lit(1), F.lit(4))) == [0.063, 0.0, 1.0, 0.25]
+def test_rounding_is_that_of_python(spark):
+    values = [k / 2000 for k in range(2001)] + [v / w for w in (333, 400, 480, 640) for v in range(0, w, 3)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", geometry.round_exact(F.col("x")).alias("r"))
+    assert all(r == round(x, 3) for x, r in df.collect())
+    shown = df.select("x", coords.format_plain(F.array(F.array("x"))).alias("s")).collect()
+    assert all(s == f"[{x:.3f}]" for x, s in shown)
+
+
+def test_norm_box_clamps_and_rounds(one):
+    assert one(geometry.norm_box(F.array(*map(F.lit, [0.0625, -5.0, 2.0, 1.0])), F.lit(1), F.lit(4))) == [0.062, 0.0, 1.0, 0.25]
 
 
 def test_norm_point_is_not_rounded(one):
