@@ -108,19 +108,26 @@ select 'categories', id, "name" from categories union all
 select 'neighbors', id, pos||':'||((id+pos*3)%27+1) from categories, range(8) p(pos) union all
 select 'expired', image_id, null from expired""", ["annotations", "categories", "detection_images", "expired"])
 def detection_json(spark, sf):
-    """The five tables go into one JSON object (as such files are), are read back and kept as Parquet."""
+    """JSON objects of 1000 images and annotations each, as such files are, read back and kept as Parquet."""
     cats, ann, images, neighbors, expired = detection(spark, sf)
     path = scratch_dir(spark)
-    whole = lambda df, *c: df.agg(F.collect_list(F.struct(*c)))
+
+    def chunked(df, key, value, name, as_map=False):
+        rows = df.groupBy(F.floor(F.col(key) / 1000).alias("chunk")).agg(F.collect_list(value).alias(name))
+        return rows.select("chunk", F.map_from_entries(name).alias(name)) if as_map else rows
+
+    text = lambda c: F.col(c).cast("string")
     nb = neighbors.groupBy("category_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "neighbor_id"))), lambda s: s["neighbor_id"]).alias("ids"))
-    one = (
-        whole(images, "id", "file_name", "width", "height").toDF("images")
-        .crossJoin(whole(ann, "id", "image_id", "category_id", "bbox").toDF("annotations"))
-        .crossJoin(whole(cats, "id", "name").toDF("categories"))
-        .crossJoin(nb.agg(F.map_from_entries(F.collect_list(F.struct(F.col("category_id").cast("string"), "ids")))).toDF("neighbors"))
-        .crossJoin(expired.agg(F.map_from_entries(F.collect_list(F.struct(F.col("image_id").cast("string"), F.lit("x"))))).toDF("expired_imgs"))
-    )
-    one.write.json(path)
+    parts = [
+        chunked(ann, "id", F.struct("id", "image_id", "category_id", "bbox"), "annotations"),
+        chunked(cats, "id", F.struct("id", "name"), "categories"),
+        chunked(nb, "category_id", F.struct(text("category_id"), "ids"), "neighbors", as_map=True),
+        chunked(expired, "image_id", F.struct(text("image_id"), F.lit("x")), "expired_imgs", as_map=True),
+    ]
+    objects = chunked(images, "id", F.struct("id", "file_name", "width", "height"), "images")
+    for part in parts:
+        objects = objects.join(part, "chunk", "full")
+    objects.drop("chunk").write.option("maxRecordsPerFile", 1).json(path)
     kept = sinks.write_tables(readers.detection_tables(spark, path), scratch_dir(spark))
     get = {name: spark.read.parquet(p) for name, p in kept.items()}
     rows = lambda name, key, value: get[name].select(F.lit(name).alias("table"), F.col(key).alias("key"), value.alias("value"))
@@ -152,13 +159,15 @@ def scenes_by_index(spark, sf):
 
 
 @query("A8", """
-with t as (select 'templates' as "set", item_id pos, text from benchmark) select * from t where pos<10""")
+with t as (select (item_id//20)::varchar as "set", item_id%20 pos, text from benchmark) select * from t where pos<10""")
 def template_table(spark, sf):
-    path = scratch_dir(spark) + "/templates.json"
-    texts = table(spark, sf, "benchmark").agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("t"))
-    texts.select(F.to_json(F.transform("t", lambda t: t["text"])).alias("value")).write.text(path)
-    out = readers.template_table(spark, path, 10)
-    return out.select(F.lit("templates").alias("set"), F.col("pos").cast("bigint").alias("pos"), "text")
+    """Sets of twenty texts, one JSON list each; the first ten of every set are kept."""
+    path = scratch_dir(spark)
+    df = table(spark, sf, "benchmark").withColumn("set", F.floor(F.col("item_id") / 20))
+    texts = df.groupBy("set").agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("t"))
+    texts.select("set", F.to_json(F.transform("t", lambda t: t["text"])).alias("value")).write.partitionBy("set").text(path)
+    out = readers.template_table(spark, path, 10, r"set=(\d+)/")
+    return out.select("set", F.col("pos").cast("bigint").alias("pos"), "text")
 
 
 @query("A9", """

@@ -97,10 +97,9 @@ def draw_plan(
     sized = spark.createDataFrame([(n, int(s)) for n, s in enumerate(sizes)], "source int, _size bigint")
     ranked = ranked.join(F.broadcast(sized), "source")  # one row per source of the mixture spec
     last = ranked.where(F.col("_taken") == F.col("_size") - 1)
-    stop = last.agg((F.min if stopping == FIRST else F.max)("mix_id").alias("_stop"))
-    return (
-        ranked.join(F.broadcast(stop), F.col("mix_id") <= F.col("_stop"))  # a single row
-        .select("mix_id", "source", (F.col("_taken") % F.col("_size")).alias("row_id"))
+    stop = last.agg((F.min if stopping == FIRST else F.max)("mix_id"))
+    return ranked.where(F.col("mix_id") <= stop.scalar()).select(
+        "mix_id", "source", (F.col("_taken") % F.col("_size")).alias("row_id")
     )
 
 
@@ -145,8 +144,8 @@ def subset(df: DataFrame, portion: float, shuffle: bool = True, seed: int = 42)
     if shuffle:
         hashed = df.withColumn("_h", order60(seed, F.col("row_id")))
         return first_by_hash(hashed, F.floor(F.col("n").cast("double") * portion), "_h").drop("_h")
-    size = df.agg(F.floor(F.count(F.lit(1)).cast("double") * portion).alias("_k"))
-    return df.join(F.broadcast(size), F.col("row_id") < F.col("_k")).drop("_k")  # a single row
+    size = df.agg(F.floor(F.count(F.lit(1)).cast("double") * portion))
+    return df.where(F.col("row_id") < size.scalar())
 
 
 def route(

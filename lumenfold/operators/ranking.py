@@ -62,19 +62,19 @@ def first_by_hash(df: DataFrame, count: Column, order: str) -> DataFrame:
     span = hash_range(F.col(order), CUT_RANGES)
     hashes = df.select(F.col(order).alias("_hash"), span.alias("_span"))
     spans = hashes.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"))
-    wanted = spans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).select(count.cast("bigint").alias("_k"))
+    wanted = spans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).select(count.cast("bigint").alias("_k")).scalar()
     # At most CUT_RANGES rows: the one unpartitioned window here has a fixed size.
     upto = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = (
-        spans.select("_span", "_n", F.sum("_n").over(upto).alias("_upto"))
-        .join(F.broadcast(wanted), (F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
+        spans.select("_span", "_n", F.sum("_n").over(upto).alias("_upto"), wanted.alias("_k"))
+        .where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
         .select("_span", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_take"))
     )
     inside = Window.partitionBy("_span").orderBy("_hash")
     last = (
-        hashes.join(F.broadcast(edge), "_span")
+        hashes.join(F.broadcast(edge), "_span")  # a single row
         .withColumn("_r", F.row_number().over(inside))
         .where(F.col("_r") == F.col("_take"))
         .select(F.col("_hash").alias("_last"))
     )
-    return df.join(F.broadcast(last), F.col(order) <= F.col("_last")).drop("_last")  # a single row
+    return df.where(F.col(order) <= last.scalar())

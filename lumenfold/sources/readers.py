@@ -88,10 +88,10 @@ def entity_objects(spark: SparkSession, path: str, id_pattern: str | None = None
 
 
 def detection_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """One detection JSON as five tables.
+    """Detection JSON as five tables.
 
-    Such a file is one object and so one task; `sinks.write_tables` turns it into Parquet once,
-    and everything else should read that.
+    Such a file is one object and so one task, several files are read side by side;
+    `sinks.write_tables` turns them into Parquet once, and everything else should read that.
     """
     whole = spark.read.schema(S.DETECTION).option("multiLine", True).json(path)
     rows = lambda name: whole.select(F.explode(name).alias("r")).select("r.*")
@@ -149,9 +149,16 @@ def load_templates(
     return texts[:max_dynamic_size] if max_dynamic_size is not None else texts
 
 
-def template_table(spark: SparkSession, path: str, max_dynamic_size: int | None = None) -> DataFrame:
-    """Template files as a table `set, pos, text`; repeats are kept, since they are weights."""
-    whole = spark.read.text(path, wholetext=True).select(base_name(F.col("_metadata.file_path")).alias("set"), "value")
+def template_table(
+    spark: SparkSession, path: str, max_dynamic_size: int | None = None, set_pattern: str | None = None
+) -> DataFrame:
+    """Template files as a table `set, pos, text`; repeats are kept, since they are weights.
+
+    A set is named by its file, or by group 1 of `set_pattern` on the path.
+    """
+    file = F.col("_metadata.file_path")
+    name = F.regexp_extract(file, set_pattern, 1) if set_pattern else base_name(file)
+    whole = spark.read.text(path, wholetext=True).select(name.alias("set"), "value")
     out = whole.select("set", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "text"))
     return out if max_dynamic_size is None else out.where(F.col("pos") < max_dynamic_size)
 
