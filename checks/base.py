@@ -69,7 +69,7 @@ INPUTS = {
     "scenes": """
         select c_custkey row_id, cast(c_custkey%480 as double) x0, cast(c_nationkey*3 as double) y0 from {customer}""",
     "annotations": """
-        select row_number() over (order by l_orderkey,l_partkey,l_suppkey,l_linenumber,l_extendedprice,l_discount,l_tax,l_shipdate) id,
+        select ((l_orderkey*1000003+l_partkey)*100003+l_suppkey)*8+l_linenumber id,
                l_orderkey image_id, cast(substr(p_brand,7) as bigint) category_id,
                l_partkey%640-5 x, (l_suppkey*7)%480-5 y, 20+l_partkey%200 w, 20+l_suppkey%150 h
         from {lineitem} join {part} on l_partkey=p_partkey""",

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from checks.base import load, order60, query, rank32, table
 from lumenfold.operators import classes as cls
+from lumenfold.plans import fewshot
 
 BINS, SAMPLES = 5, 8
 
 
-def vectors_by_modality(spark, sf):
+def class_vectors(spark, sf):
+    """Mean vectors of at most 15 images per class and modality; a twentieth counts as unreadable."""
     df = load(spark, sf, "vectors").where(F.expr("vec_id % 20 <> 19"))
-    one = lambda m: cls.class_embedding(df.where(F.col("modality") == m), 15, image="image")
-    return one(0).select("class_id", F.col("embedding").alias("image_vec")).join(
-        one(1).select("class_id", F.col("embedding").alias("text_vec")), "class_id")
+    return fewshot.class_vectors(df.where("modality = 0"), df.where("modality = 1"), 15)
 
 
 # DuckDB side of the class vectors, the blended scores and their ranking.
@@ -43,11 +43,11 @@ def class_embedding(spark, sf):
 
 @query("G6", f"with {SCORES_SQL} select a, b, score from m", ["vectors"])
 def similarity(spark, sf):
-    return cls.similarity(vectors_by_modality(spark, sf), blocks=3)
+    return cls.similarity(class_vectors(spark, sf), blocks=3)
 
 
 def ranked(spark, sf):
-    return cls.rank_neighbours(cls.similarity(vectors_by_modality(spark, sf), blocks=1))
+    return cls.rank_neighbours(cls.similarity(class_vectors(spark, sf), blocks=1))
 
 
 @query("G7,A10", f"with {RANKED_SQL} select class_id, rank::integer rank, neighbor_id, score from rk", ["vectors"])
@@ -94,7 +94,7 @@ train as (select s.class_id, 'class '||s.class_id class_name, samples, ids, imgs
 
 def train_records(spark, sf):
     images = load(spark, sf, "class_images").select("class_id", "class_name", "image")
-    return cls.train_pairs(ranked(spark, sf), images, BINS, SAMPLES, n_classes=10)
+    return fewshot.train_records(class_vectors(spark, sf), images, BINS, SAMPLES)
 
 
 @query("G3", f"""with {TRAIN_SQL} select class_id, class_name, array_to_string(samples,',') samples, array_to_string(ids,',') ids,

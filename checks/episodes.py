@@ -7,11 +7,12 @@ import math
 from pyspark.sql import functions as F
 
 from checks.base import load, order60, query, rank32, template_sql, word_sql
-from checks.classes import CONTEXT, SAMPLES, SPLIT_SQL, TRAIN_SQL, train_records
+from checks.classes import CONTEXT, SAMPLES, SPLIT_SQL, TRAIN_SQL, class_vectors, train_records
 from checks.convert import FIND, records
 from lumenfold.functions.draws import cdf_thresholds
 from lumenfold.operators import classes as cls
 from lumenfold.operators import convert, episodes as ep
+from lumenfold.plans import fewshot
 
 QUERIES_TEXT = ["What is in <image>?", "Name the object of <image>.", "Based on the examples, what is in <image>?"]
 NB = 5
@@ -239,5 +240,6 @@ select class_id, string_agg(case when pos=0 then '{_CAUSAL}' when pos=4 then '[F
        case when pos in (0,4) then '</s>' else '' end, '' order by pos) prompt from al group by class_id""", ["vectors"])
 def episode_prompts(spark, sf):
     """The flagship: class vectors, similarity, neighbours, records, episodes, prompts."""
-    df = ep.two_way_weight(train_records(spark, sf), QUERIES_TEXT, 2)
-    return ep.prompts(df).select("class_id", "prompt")
+    images = load(spark, sf, "class_images").select("class_id", "class_name", "image")
+    df = fewshot.episode_prompts(class_vectors(spark, sf), images, QUERIES_TEXT, shot=2, bins=NB, samples=SAMPLES)
+    return df.select("class_id", "prompt")

@@ -119,7 +119,7 @@ def detection_json(spark, sf):
     text = lambda c: F.col(c).cast("string")
     nb = neighbors.groupBy("category_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "neighbor_id"))), lambda s: s["neighbor_id"]).alias("ids"))
     parts = [
-        chunked(ann, "id", F.struct("id", "image_id", "category_id", "bbox"), "annotations"),
+        chunked(ann, "image_id", F.struct("id", "image_id", "category_id", "bbox"), "annotations"),
         chunked(cats, "id", F.struct("id", "name"), "categories"),
         chunked(nb, "category_id", F.struct(text("category_id"), "ids"), "neighbors", as_map=True),
         chunked(expired, "image_id", F.struct(text("image_id"), F.lit("x")), "expired_imgs", as_map=True),

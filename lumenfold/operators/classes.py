@@ -149,7 +149,9 @@ def _draw_images(images: DataFrame, keys: list[str], n: int, seed: int, tag: str
     """n images per key by hash, as `pos, image`."""
     hashed = images.withColumn("_h", order60(seed, *[F.col(k) for k in keys], F.col("image"), tag))
     w = Window.partitionBy(*keys).orderBy("_h", "image")
-    return hashed.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < n).drop("_h")
+    # The filter is on the bare row number, so that Spark cuts groups before the shuffle.
+    first = hashed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    return first.withColumn("pos", F.col("_r") - 1).drop("_h", "_r")
 
 
 def train_pairs(

@@ -38,6 +38,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lumenfold-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read, and read it back.
+
+    Cuts the lineage with a table in the shared folder, which survives lost executors.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for heavy row-wise work on an input with fewer splits than cores.
 
