@@ -39,7 +39,7 @@ def main(names: list[str]) -> None:
     spark.stop()
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took,
-        "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf") or 0),
     }))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import load, query, table
-from checks.geometry import plain
 from lumenfold.functions import coords, geometry
 from lumenfold.functions.text import extract_answer, extract_sentence_answer
 from lumenfold.operators import metrics

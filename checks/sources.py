@@ -9,7 +9,6 @@ from checks.classes import RANKED_SQL, ranked
 from checks.detection import tables as detection
 from checks.metrics import _split
 from lumenfold import schema as S
-from lumenfold.functions.binding import explode_items
 from lumenfold.operators.entities import flatten_sentences, parse_phrases
 from lumenfold.session import scratch_dir
 from lumenfold.sources import readers, sinks

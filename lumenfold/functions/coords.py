@@ -24,15 +24,14 @@ def _brackets(round_brackets: bool) -> tuple[str, str]:
     return ("(", ")") if round_brackets else ("[", "]")
 
 
-def _fixed(x: Column, digits: int) -> Column:
-    """Rounded with trailing zeros; a decimal cast is much cheaper than a format string."""
-    return G.round_exact(x, digits).cast(f"decimal(18,{digits})").cast("string")
-
-
-def format_plain(coords: Column, digits: int = G.DIGITS, round_brackets: bool = False) -> Column:
-    """`[x1,y1,x2,y2;...]` for a list of boxes, or of points."""
+def format_plain(
+    coords: Column, digits: int = G.DIGITS, round_brackets: bool = False, rounded: bool = False
+) -> Column:
+    """`[x1,y1,x2,y2;...]` for a list of boxes, or of points; `rounded` if the numbers already are."""
     left, right = _brackets(round_brackets)
-    one = lambda c: F.array_join(F.transform(c, lambda x: _fixed(x, digits)), ",")
+    decimal = f"array<decimal(18,{digits})>"
+    exact = lambda c: c if rounded else F.transform(c, lambda x: G.round_exact(x, digits))
+    one = lambda c: F.array_join(exact(c).cast(decimal).cast("array<string>"), ",")
     return F.concat(F.lit(left), F.array_join(F.transform(coords, one), ";"), F.lit(right))
 
 
@@ -151,8 +150,12 @@ def _fill_turn(turn: Column, boxes: Column, points: Column, take, as_box, as_poi
     )
 
 
+def _plain_box(boxes: Column) -> Column:
+    return format_plain(boxes, rounded=True)
+
+
 def fill_conversation(
-    turns: Column, target: Column, w, h, as_box=format_plain, as_point=format_plain, strict: bool = True
+    turns: Column, target: Column, w, h, as_box=_plain_box, as_point=format_plain, strict: bool = True
 ) -> Column:
     """Normalise the target and write it into every turn.
 
@@ -166,7 +169,7 @@ def fill_conversation(
     return let2(boxes, points, every)
 
 
-def fill_multi_image(turns: Column, targets: Column, as_box=format_plain, as_point=format_plain, strict: bool = True):
+def fill_multi_image(turns: Column, targets: Column, as_box=_plain_box, as_point=format_plain, strict: bool = True):
     """As `fill_conversation` for several images: targets carry their own size and indexes are pairs."""
     boxes = F.transform(targets, lambda t: F.transform(t["boxes"], lambda b: G.norm_box(b, t["width"], t["height"])))
     points = F.transform(

@@ -56,7 +56,8 @@ def collect_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     A conversation is one sample and one output row, so this is the one place where turns meet;
     for texts alone `prompt_segments` renders turn by turn instead.
     """
-    system = F.first(F.when(F.col("role") == "system", F.col("text")), ignorenulls=True).alias("system")
+    is_system = F.col("role") == "system"
+    system = F.min_by(F.when(is_system, F.col("text")), F.when(is_system, F.col("turn"))).alias("system")
     entry = F.struct(
         F.col("turn").alias("turn"), _speaker(F.col("role")).alias("from"), F.col("text").alias("value")
     )

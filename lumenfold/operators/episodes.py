@@ -78,14 +78,23 @@ def with_neighbour(classes: DataFrame, seed: int = 0, epoch=0) -> DataFrame:
     """
     index = falling_weight_index(F.size("neighbors"), *_key(seed, epoch), "neighbour").cast("int")
     drawn = classes.withColumn("nb", F.get("neighbors", index))
-    # Records read from a file may repeat a class; built records (without row_id) do not.
-    known = first_per_class(classes) if "row_id" in classes.columns else classes
+    # Records read from a file may repeat a class, and epochs repeat all; built records do neither.
+    known = classes
+    if "row_id" in classes.columns:
+        known = first_per_class(classes)
+    elif isinstance(epoch, Column):
+        known = classes.dropDuplicates(["class_id"])
     pool = known.select(F.col("class_id").cast("string").alias("_nb_id"), F.col("samples").alias("nb_samples"))
     joined = drawn.join(pool, drawn["nb"]["id"] == pool["_nb_id"], "left")
     missing = F.raise_error(F.concat(F.lit("neighbour is not a class: "), F.col("nb")["id"])).cast("array<string>")
     return joined.withColumn("nb_samples", F.when(F.col("_nb_id").isNull(), missing).otherwise(F.col("nb_samples"))).drop("_nb_id")
 
 
+def over_epochs(classes: DataFrame, epochs: int) -> DataFrame:
+    """Class records repeated for epochs 0..n-1; pass `epoch=F.col("epoch")` to the builders."""
+    return classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+
+
 def negative_draws(classes: DataFrame, n: int, seed: int = 0, epoch=0) -> DataFrame:
     """n images of the class, all labelled with the name of one random neighbour."""
     key = _key(seed, epoch)

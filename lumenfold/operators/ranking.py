@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.draws import SPAN60
 
-HASH_RANGES = 1024  # per group
+HASH_RANGES = 128  # per group: tasks a hot group is spread over; small groups pay one count row per range used
 CUT_RANGES = 1 << 16  # over a whole table
 
 

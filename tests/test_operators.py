@@ -197,6 +197,13 @@ def test_weight_episode_shape(spark):
         assert (query["image"].startswith(f"{r.class_id}_")) == (query["answer"] + " [END EXAMPLE]" == own[0]["answer"])
 
 
+def test_epochs_are_the_single_epochs_together(spark):
+    df = class_records(spark).drop("row_id")
+    both = episodes.two_way_weight(episodes.over_epochs(df, 2), ASK, 2, epoch=F.col("epoch"))
+    each = episodes.two_way_weight(df, ASK, 2, epoch=0).union(episodes.two_way_weight(df, ASK, 2, epoch=1))
+    assert sorted(map(str, both.collect())) == sorted(map(str, each.collect())) and both.count() == 12
+
+
 def test_ref_episode_answers_with_the_right_side(spark):
     for legacy in (False, True):
         for r in episodes.two_way_ref(class_records(spark), 4, seed=2, legacy=legacy).collect():
