@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,20 +93,27 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: x / norm)
 
 
-def _score_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    it, tt = np.array(left["image_vec"].tolist()), np.array(left["text_vec"].tolist())
-    ji, jt = np.array(right["image_vec"].tolist()), np.array(right["text_vec"].tolist())
-    if not len(it) or not len(ji):
-        return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"score": float})
-    score = 0.5 * (tt @ jt.T) + 0.8 * (it @ jt.T + tt @ ji.T) + 0.5 * (it @ ji.T)
-    return pd.DataFrame(
-        {
-            "a": np.repeat(left["class_id"].to_numpy(), len(right)),
-            "b": np.tile(right["class_id"].to_numpy(), len(left)),
-            "score": np.round(score.ravel(), 6),
-        }
-    )
+def _tile_product():
+    """The task function, made locally so that it travels by value: workers need no copy of this package."""
+    import numpy as np
+    import pandas as pd
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": left["class_id"][:0], "b": left["class_id"][:0], "score": np.empty(0)})
+        it, tt = np.array(left["image_vec"].tolist()), np.array(left["text_vec"].tolist())
+        ji, jt = np.array(right["image_vec"].tolist()), np.array(right["text_vec"].tolist())
+        blend = 0.5 * (tt @ jt.T) + 0.8 * (it @ jt.T + tt @ ji.T) + 0.5 * (it @ ji.T)
+        return pd.DataFrame(
+            {
+                "a": np.repeat(left["class_id"].to_numpy(), len(right)),
+                "b": np.tile(right["class_id"].to_numpy(), len(left)),
+                "score": np.round(blend.ravel(), 6),
+            }
+        )
+
+    return score
 
 
 def similarity(classes: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -131,7 +136,7 @@ def similarity(classes: DataFrame, blocks: int | None = None) -> DataFrame:
     left = spread.select("class_id", "image_vec", "text_vec", F.lit(0).alias("side"), F.col("_own").alias("i"), F.col("_other").cast("bigint").alias("j"))
     right = spread.select("class_id", "image_vec", "text_vec", F.lit(1).alias("side"), F.col("_other").cast("bigint").alias("i"), F.col("_own").alias("j"))
     id_type = classes.schema["class_id"].dataType.simpleString()
-    return left.unionByName(right).groupBy("i", "j").applyInPandas(_score_block, f"a {id_type}, b {id_type}, score double")
+    return left.unionByName(right).groupBy("i", "j").applyInPandas(_tile_product(), f"a {id_type}, b {id_type}, score double")
 
 
 def rank_neighbours(matrix: DataFrame) -> DataFrame:

@@ -338,17 +338,17 @@ def repeat_item(items: DataFrame, shot: int) -> DataFrame:
     return items.select("row_id", F.array_repeat(one, 2 * shot).alias("items"))
 
 
-def ad_hoc(sessions: DataFrame, mode: str = "lcl") -> DataFrame:
+def ad_hoc(sessions: DataFrame, mode: str = "examples") -> DataFrame:
     """Episodes from user sessions: `session, pos_images, pos_answer, neg_images, neg_answer, image, question`.
 
-    `lcl` shows both lists in the given order, then asks; `vqa` only asks.
+    `examples` shows both lists in the given order, then asks; `vqa` only asks.
     """
-    if mode not in ("lcl", "vqa"):
+    if mode not in ("examples", "vqa"):
         raise ValueError(f"unknown mode: {mode}")
     asked = F.concat("question", F.lit(S.IMAGE))
-    query = item(F.col("image"), asked, "", QUERY_MODE if mode == "lcl" else "vicuna_v1.1")
+    query = item(F.col("image"), asked, "", QUERY_MODE if mode == "examples" else "vicuna_v1.1")
     items = F.array(query)
-    if mode == "lcl":
+    if mode == "examples":
         show = lambda images, answer: F.transform(images, lambda x: item(x, SHOWN_QUESTION, F.concat(answer, F.lit(END))))
         support = F.concat(show(F.col("pos_images"), F.col("pos_answer")), show(F.col("neg_images"), F.col("neg_answer")))
         items = F.concat(with_modes(support), items)
