@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import packing, scratch, sharding, tokens, warc
+from lumenfold.llm import packing, scratch, sharding, simhash, substrings, tokens, warc
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -16,6 +16,10 @@ def op1_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(scratch.table(spark, sf_dir, "documents"), shards=24)
 
 
+def op2_count_min_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(scratch.table(spark, sf_dir, "documents"), window=20).drop("kept_text")
+
+
 def op3_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = tokens.token_lengths(scratch.table(spark, sf_dir, "documents"), WORD_TOKENIZER)
     return tokens.context_report(scratch.keep(tokens.length_histogram(lengths)))
@@ -28,14 +32,20 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.read_warc(spark, path, columns, verify="true"))
 
 
+def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(scratch.table(spark, sf_dir, "documents"), words_per_shingle=3, max_diff=2)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(scratch.table(spark, sf_dir, "documents"), WORD_TOKENIZER, capacity=4096, end_id=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lpt_sharding": op1_lpt_sharding,
+    "op2_count_min_dedup": op2_count_min_dedup,
     "op3_token_histogram": op3_token_histogram,
     "op4_warc_archive": op4_warc_archive,
+    "op5_simhash_pigeonring": op5_simhash_pigeonring,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
