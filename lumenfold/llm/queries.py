@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import packing, scratch, sharding, simhash, substrings, tokens, warc
+from lumenfold.llm import decontaminate, neighbours, packing, quality, scratch, sharding, simhash, substrings, tokens, warc
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,6 +36,20 @@ def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(scratch.table(spark, sf_dir, "documents"), words_per_shingle=3, max_diff=2)
 
 
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (scratch.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.quality(docs, labels, threshold=0.3)
+
+
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(scratch.table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op8_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (scratch.table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.contaminated_documents(docs, items, window=10).drop("item_ids", "spans")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(scratch.table(spark, sf_dir, "documents"), WORD_TOKENIZER, capacity=4096, end_id=1)
 
@@ -46,6 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_histogram": op3_token_histogram,
     "op4_warc_archive": op4_warc_archive,
     "op5_simhash_pigeonring": op5_simhash_pigeonring,
+    "op6_pu_quality": op6_pu_quality,
+    "op7_learned_partitions": op7_learned_partitions,
+    "op8_positional_decontamination": op8_positional_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}

@@ -88,14 +88,15 @@ def anchors(grams: np.ndarray, span: int, valid: np.ndarray) -> tuple[np.ndarray
 
 
 class Words:
-    """Words of several texts: bytes, places, the text of each word, and a hash for each seed."""
+    """Words of several texts: bytes, places, the text of each word, and a hash for each seed.
 
-    def __init__(self, texts: list[bytes]):
+    `between` marks the bytes between words, a line end among them.
+    """
+
+    def __init__(self, texts: list[bytes], between: np.ndarray = WHITE):
         self.data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-        edge = np.diff(WHITE[self.data].view(np.int8), prepend=np.int8(1))
+        edge = np.diff(between[self.data].view(np.int8), prepend=np.int8(1))
         self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if len(self.data) and not len(texts):
-            self.starts = self.ends = np.zeros(0, np.int64)
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         self.text = np.searchsorted(ends, self.starts, side="right")
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
