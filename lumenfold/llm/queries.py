@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import decontaminate, neighbours, packing, quality, scratch, sharding, simhash, substrings, tokens, warc
+from lumenfold.llm import decontaminate, neighbours, packing, quality, scratch, sharding, simhash, substrings, suffixes, tokens, warc
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -50,6 +50,10 @@ def op8_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated_documents(docs, items, window=10).drop("item_ids", "spans")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(scratch.table(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(scratch.table(spark, sf_dir, "documents"), WORD_TOKENIZER, capacity=4096, end_id=1)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pu_quality": op6_pu_quality,
     "op7_learned_partitions": op7_learned_partitions,
     "op8_positional_decontamination": op8_positional_decontamination,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
