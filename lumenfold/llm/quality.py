@@ -94,19 +94,16 @@ def _nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int, rate: flo
     m, v = np.zeros_like(w), np.zeros_like(w)
     size = 512
 
-    def slope(x: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
-        """Mean and gradient of sigmoid(-sign * f)."""
-        p = 1 / (1 + np.exp(np.clip(sign * (x @ w), -60, 60)))
-        return p.mean(), -sign * ((p * (1 - p)) @ x) / len(x)
-
     for step in range(1, steps + 1):
         a, b = pos[rng.integers(0, len(pos), size)], unl[rng.integers(0, len(unl), size)]
-        _, up = slope(a, 1)
-        as_neg, up_neg = slope(a, -1)
-        risk, un_neg = slope(b, -1)
-        rest = risk - prior * as_neg
+        half = w.astype(np.float32)
+        # The sigmoid loss of a score f is 1/(1+exp(f)) as a positive, 1/(1+exp(-f)) as a negative.
+        up = 1 / (1 + np.exp(np.clip(a @ half, -60, 60)))
+        down = 1 / (1 + np.exp(-np.clip(b @ half, -60, 60)))
+        bend_a, bend_b = up * (1 - up) / size, down * (1 - down) / size
+        rest = down.mean() - prior * (1 - up).mean()
         # Below zero the negative part has overfitted: step back on it.
-        g = prior * up + (un_neg - prior * up_neg) if rest >= 0 else -(un_neg - prior * up_neg)
+        g = -2 * prior * (bend_a @ a) + bend_b @ b if rest >= 0 else prior * (bend_a @ a) - bend_b @ b
         g = g + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -157,7 +154,7 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return x, np.array([r["kind"] for r in found])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_kind: int = 4000, steps: int = 1500, seed: str = "pu") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, per_kind: int = 4000, steps: int = 800, seed: str = "pu") -> Model | None:
     """The model, from at most `per_kind` trusted positives, as many unlabelled documents and as many
     labelled ones for the calibration; None without positives.
 

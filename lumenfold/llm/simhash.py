@@ -2,9 +2,9 @@
 
 Fingerprints have 64 bits, cut into a ring of m segments. If two of them differ in at most t bits,
 some chain of consecutive segments has, for every prefix of l segments, at most l*t/m differences.
-With m = 2t+1 the budgets of the first t segments are under one, so such a chain starts with t equal
-segments: those are the join key. The rest of the chain is then held against its budgets, and what
-is left against the full distance.
+With m = 2t+1 the budgets of the first two segments are under one, so such a chain starts with two
+equal segments: those are the join key. The rest of the chain is then held against its budgets, and
+what is left against the full distance.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from lumenfold.llm import components, scratch
 
 SPACES = bytes(range(9, 14))
 BUCKET = 32
+EQUAL = 2  # segments whose budget l*t/(2t+1) is under one
 WORD_SPLIT = bytes.maketrans(SPACES, b" " * len(SPACES))
 
 
@@ -88,7 +89,7 @@ def _chain_holds(xor: Column, start: int, segments: list[tuple[int, int]], max_d
     """Every prefix of the chain from `start` stays within its share of the distance."""
     m = len(segments)
     order = [segments[(start + i) % m] for i in range(m)]
-    steps = [F.bit_count(xor.bitwiseAND(F.lit(_mask(order[:n])))) * m <= n * max_diff for n in range(max_diff + 1, m + 1)]
+    steps = [F.bit_count(xor.bitwiseAND(F.lit(_mask(order[:n])))) * m <= n * max_diff for n in range(EQUAL + 1, m + 1)]
     out = steps[0]
     for step in steps[1:]:
         out = out & step
@@ -107,18 +108,19 @@ def _links_in_buckets(keyed: DataFrame, max_diff: int) -> DataFrame:
     return pairs.filter(holds).filter(F.bit_count(xor) <= max_diff).select("a", "b")
 
 
-def _links_by_midpoint(fps: DataFrame, max_diff: int) -> DataFrame:
-    """All links with at most `max_diff` (1 or 2) differing bits among `fps`, for buckets too full to pair.
+def _links_by_flips(fps: DataFrame, max_diff: int) -> DataFrame:
+    """All links within `max_diff` bits among `fps`, for buckets too full to pair.
 
-    Two fingerprints within 2 bits have a word within 1 bit of both, and every word within 1 bit of
-    two fingerprints proves a link. A word has at most 65 such fingerprints, whatever their number,
-    and each is linked to the smallest, so rows stay in proportion.
+    At 1 bit a fingerprint's 64 neighbours are looked up. At 2 bits, two fingerprints have a word
+    within 1 bit of both, and every word within 1 bit of two fingerprints proves a link. A word has
+    at most 65 such fingerprints, whatever their number, and each is linked to the smallest, so rows
+    stay in proportion.
     """
-    if max_diff > 2:
-        raise ValueError("full buckets are exact for at most 2 differing bits")
     flips = F.concat(F.array("fp"), F.transform(
         F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     near = fps.select("fp", F.explode(flips).alias("mid"))
+    if max_diff == 1:
+        return near.join(fps.withColumnRenamed("fp", "b"), F.col("mid") == F.col("b")).filter("fp > b").select(F.col("fp").alias("a"), "b")
     least = near.groupBy("mid").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return near.join(least, "mid").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
@@ -127,18 +129,20 @@ def links(fps: DataFrame, max_diff: int = 2, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that connect all pairs of the distinct fingerprints `fps` within `max_diff` bits.
 
     A key that more than `bucket` fingerprints share is not paired: those go, all together, through
-    the exact midpoint form, whose size stays in proportion to theirs.
+    an exact form whose size stays in proportion to theirs. That form exists for 1 and 2 bits.
     """
+    if max_diff not in (1, 2):
+        raise ValueError("max_diff is 1 or 2")
     segments = _segments(max_diff)
     m = len(segments)
     keys = [F.struct(F.lit(i).alias("start"), F.col("fp").bitwiseAND(F.lit(
-        _mask([segments[(i + k) % m] for k in range(max_diff)]))).alias("key")) for i in range(m)]
+        _mask([segments[(i + k) % m] for k in range(EQUAL)]))).alias("key")) for i in range(m)]
     keyed = fps.select("fp", F.inline(F.array(*keys)))
     shared = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     in_shared = scratch.keep(keyed.join(shared, ["start", "key"]))
     paired = _links_in_buckets(in_shared.filter(F.col("n") <= bucket), max_diff)
     full = in_shared.filter(F.col("n") > bucket).select("fp").distinct()
-    return paired.union(_links_by_midpoint(full, max_diff)) if max_diff <= 2 else _links_in_buckets(in_shared, max_diff)
+    return paired.union(_links_by_flips(full, max_diff))
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, max_diff: int = 2, seed: int = 42) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumenfold.llm import induced, scratch
 from lumenfold.llm.rolling import SEEDS, Windows, anchors, byte_values, mix
@@ -180,22 +181,24 @@ def _search(contexts: DataFrame, length: int, shards: int) -> DataFrame:
     return contexts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
     """Documents without bytes covered by a `length`-byte string that also starts anywhere else.
 
     Strings are judged on the input, never cross documents, and may overlap. Columns: doc_id,
     n_bytes, n_removed, n_spans (maximal removed runs), kept (remaining bytes), kept_sha256. Null
     texts are empty. Each row is a document of its own: rows that repeat a text are removed wholly
-    if it has `length` bytes. Other columns are ignored; an empty table gives no rows.
+    if it has `length` bytes. Columns named in `carry` come along in a struct `rest`, others are
+    ignored; an empty table gives no rows.
     """
     # The text's hash tells rows with one doc_id and different texts apart.
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"),
-        F.xxhash64("text").alias("_h"), "text")
+        F.xxhash64("text").alias("_h"), "text", *([F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []))
     found = scratch.keep(judge_runs(candidate_runs(rows, length)))
     total = found.filter("asked").agg(F.sum(F.col("n") + length).alias("b")).first()["b"] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
-    keyed = rows.select("doc_id", "_d", F.col("_h").bitwiseAND(F.lit(LOW)).alias("_t"), "text")
+    rest = ["rest"] if carry else []
+    keyed = rows.select("doc_id", "_d", *rest, F.col("_h").bitwiseAND(F.lit(LOW)).alias("_t"), "text")
     placed = found.select(
         "anchor", F.col("doc").alias("_d"), F.shiftrightunsigned("tag", 32).alias("_t"), F.col("tag").bitwiseAND(F.lit(LOW)).alias("at"), "n", "known", "asked")
     asked = placed.filter("asked").groupBy("_d", "_t").agg(F.collect_list(F.struct("anchor", "at", "n", "known")).alias("runs"))
@@ -223,9 +226,10 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                [*(batch.column(c) for c in own), *(pa.array(c, k) for c, k in zip(out, kinds))],
+                [*own, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     joined = keyed.join(marks, ["_d", "_t"], "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(
-        apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    own = ["doc_id", *rest]
+    added = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.select(*own, "text", "spans").mapInArrow(apply, StructType([*joined.select(*own).schema, *added]))
