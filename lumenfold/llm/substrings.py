@@ -164,7 +164,7 @@ def _runs(doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     """(_d, _t, spans): for each document, runs of window starts (place, number) that repeat an earlier window.
 
-    `docs` has _d (id), _h (hash of the text) and text. Of equal windows in one batch of a task only
+    `docs` has _d (id), _h (hash of the text) and text. Windows are grouped by 96 bits of hash. Of equal windows in one batch of a task only
     the first can be the earliest of all; the others are known to repeat and travel as runs. So a
     window that a third of all documents share reaches its group once for each batch.
     """
@@ -204,12 +204,12 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
             go = ~again
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([w1[go].view(np.int64), mix(d.view(np.uint64)).view(np.int64)])),
-                 pa.array(np.concatenate([w2[go].view(np.int64), np.zeros(len(d), np.int64)])),
+                 pa.array(np.concatenate([(w2[go] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.zeros(len(d), np.int32)])),
                  pa.array(np.concatenate([doc[go], d])), pa.array(np.concatenate([tag[go], t])),
                  pa.array(np.concatenate([np.zeros(go.sum(), np.int32), n.astype(np.int32)]))],
                 ["w1", "w2", "doc", "tag", "n"])
 
-    rows = docs.select("_d", "_h", "text").mapInArrow(emit, "w1 long, w2 long, doc long, tag long, n int")
+    rows = docs.select("_d", "_h", "text").mapInArrow(emit, "w1 long, w2 int, doc long, tag long, n int")
     me = F.struct("doc", "tag")
     least = F.min(F.when(F.col("n") == 0, me)).over(Window.partitionBy("w1", "w2"))
     again = rows.withColumn("_first", least).filter((F.col("n") > 0) | (F.col("_first") != me))
