@@ -27,7 +27,7 @@ def op3_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.scratch_dir(spark)
-    warc.write_warc(warc.page_records(scratch.table(spark, sf_dir, "pages"), min_bytes=0), path)
+    warc.write_warc(warc.page_records(scratch.table(spark, sf_dir, "pages"), min_bytes=0), path, compress="gzip")
     columns = ["record_id", "record_type", "refers_to", "payload_digest", "http_length", "payload"]
     return warc.page_digests(warc.read_warc(spark, path, columns, verify="true"))
 

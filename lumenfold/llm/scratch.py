@@ -52,7 +52,7 @@ def spread(df: DataFrame, rows: int, rows_per_task: int, *keys: str) -> DataFram
     return df.repartition(max(1, math.ceil(rows / rows_per_task)), *keys)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches with about `limit` bytes of text, one row at least."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
