@@ -14,7 +14,7 @@ import tempfile
 import numpy as np
 
 SYMBOLS = 257  # 0 ends a piece of text; bytes are one more than they were
-HELD_BYTES = 64 << 20
+HELD_BYTES = 16 << 20
 CLIP = 255
 BITS = 10
 PER_KEY = 6

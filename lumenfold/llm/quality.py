@@ -154,7 +154,7 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return x, np.array([r["kind"] for r in found])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_kind: int = 4000, steps: int = 800, seed: str = "pu") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, per_kind: int = 2500, steps: int = 800, seed: str = "pu") -> Model | None:
     """The model, from at most `per_kind` trusted positives, as many unlabelled documents and as many
     labelled ones for the calibration; None without positives.
 

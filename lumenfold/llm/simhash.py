@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) ->
     """(doc_id, fp): whole texts; null and wordless texts get 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scratch.text_slices(batches, limit=8 << 20):
+        for batch in scratch.text_slices(batches, limit=2 << 20):
             fp = fingerprints_of(batch.column("text").to_pylist(), words_per_shingle, seed)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 

@@ -233,7 +233,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     joined = rows.withColumn("_t", F.col("_h").bitwiseAND(F.lit(LOW))).drop("_h").join(spans, ["_d", "_t"], "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scratch.text_slices(batches, limit=8 << 20):
+        for batch in scratch.text_slices(batches, limit=2 << 20):
             n_words, n_removed, kept, sha = [], [], [], []
             flat = batch.column("spans")
             for text, spans in zip(batch.column("text").to_pylist(), flat):

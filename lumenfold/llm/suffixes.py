@@ -23,7 +23,7 @@ from lumenfold.llm import induced, scratch
 from lumenfold.llm.rolling import SEEDS, Windows, anchors, byte_values, mix
 
 GRAM = 32
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 19
 NO_ID = -(1 << 63)
 LOW = (1 << 32) - 1
 
@@ -118,7 +118,7 @@ def _contexts(joined: DataFrame, length: int, shards: int) -> DataFrame:
     schema = "shard int, known boolean, _d long, _t long, at long, context binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scratch.text_slices(batches, limit=4 << 20):
+        for batch in scratch.text_slices(batches, limit=2 << 20):
             rows: list[tuple] = []
             for d, t, text, runs in zip(*(batch.column(c).to_pylist() for c in ("_d", "_t", "text", "runs"))):
                 data = text.encode("utf-8", "surrogatepass")
@@ -208,7 +208,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, carry: tuple[str, ...] =
     marks = spans.groupBy("_d", "_t").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scratch.text_slices(batches, limit=8 << 20):
+        for batch in scratch.text_slices(batches, limit=2 << 20):
             out: list[list] = [[] for _ in range(5)]
             for text, marks in zip(batch.column("text").to_pylist(), batch.column("spans")):
                 data = (text or "").encode("utf-8", "surrogatepass")

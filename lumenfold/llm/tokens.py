@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm import scratch
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 # The pre-token pattern of the word-level vocabulary, for lower-cased Latin text.
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 LATIN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+"
