@@ -87,23 +87,18 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(self.slope * (x @ self.weights).astype(np.float64) + self.offset, -500, 500)))
 
 
-def _nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int, rate: float, decay: float, seed: int = 0) -> np.ndarray:
-    """Weights that minimise the non-negative risk with the sigmoid loss, by Adam on mixed batches."""
-    rng = np.random.default_rng(seed)
+def _nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
+    """Weights that minimise the non-negative risk with the logistic loss, by Adam on the whole sample."""
     w = np.zeros(pos.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
-    size = 512
-
     for step in range(1, steps + 1):
-        a, b = pos[rng.integers(0, len(pos), size)], unl[rng.integers(0, len(unl), size)]
         half = w.astype(np.float32)
-        # The sigmoid loss of a score f is 1/(1+exp(f)) as a positive, 1/(1+exp(-f)) as a negative.
-        up = 1 / (1 + np.exp(np.clip(a @ half, -60, 60)))
-        down = 1 / (1 + np.exp(-np.clip(b @ half, -60, 60)))
-        bend_a, bend_b = up * (1 - up) / size, down * (1 - down) / size
-        rest = down.mean() - prior * (1 - up).mean()
+        of_pos, of_unl = pos @ half, unl @ half
+        p, u = (1 / (1 + np.exp(-np.clip(f, -60, 60))) for f in (of_pos, of_unl))
+        negative = (u / len(unl)) @ unl - prior * ((p / len(pos)) @ pos)
+        rest = np.logaddexp(0, of_unl).mean() - prior * np.logaddexp(0, of_pos).mean()
         # Below zero the negative part has overfitted: step back on it.
-        g = -2 * prior * (bend_a @ a) + bend_b @ b if rest >= 0 else prior * (bend_a @ a) - bend_b @ b
+        g = prior * (((p - 1) / len(pos)) @ pos) + negative if rest >= 0 else -negative
         g = g + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -121,19 +116,28 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, least: float = 0.05) -> flo
 
 
 def _calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through labelled scores, by Newton steps with a small ridge."""
+    """Slope and offset of a rising logistic curve through labelled scores, by Newton steps that are
+    halved until they help, with a small ridge."""
     if len(np.unique(y)) < 2:
         return 1.0, 0.0
     x = np.stack([f, np.ones_like(f)], axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
+    start = np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + 5e-4 * ((w - start) ** 2).sum())
+
+    w = start
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
-        h = x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (y - p) - 1e-3 * (w - [1.0, 0.0]))
-        w = w + np.clip(step, -5, 5)
+        slope = x.T @ (y - p) - 1e-3 * (w - start)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), slope)
+        while np.abs(step).max() > 1e-7 and loss(w + step) > loss(w):
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    return float(w[0]), float(w[1])
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -154,7 +158,7 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return x, np.array([r["kind"] for r in found])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_kind: int = 2500, steps: int = 800, seed: str = "pu") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, per_kind: int = 2500, steps: int = 250, seed: str = "pu") -> Model | None:
     """The model, from at most `per_kind` trusted positives, as many unlabelled documents and as many
     labelled ones for the calibration; None without positives.
 
@@ -180,11 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_kind: int = 2500, steps: int = 8
         return None
     x, kind = _sampled(docs, docs.sparkSession.createDataFrame(rows, "_i long, kind int"))
     pos, unl = x[kind == 1].astype(np.float32), x[kind == 2].astype(np.float32)
-    prior = 0.5
-    for _ in range(2):  # a first model to estimate the prior with, then the model
-        w = _nn_pu(pos, unl, prior, steps, rate=0.05, decay=1e-5)
-        prior = estimate_prior(pos @ w, unl @ w)
-    w = _nn_pu(pos, unl, prior, steps, rate=0.05, decay=1e-5)
+    # A first model to estimate the prior with, then the model.
+    first = _nn_pu(pos, unl, 0.5, steps)
+    prior = estimate_prior(pos @ first, unl @ first)
+    w = _nn_pu(pos, unl, prior, steps)
     scale = max(1e-9, float(np.std(unl @ w)))
     w = (w / scale).astype(np.float32)
     held = np.isin(kind, (3, 4))
