@@ -12,8 +12,6 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.session import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 OPERATORS: dict[str, str] = {}
@@ -81,8 +79,10 @@ INPUTS = {
                cast(320+o_custkey%321 as int) width, cast(240+o_custkey%241 as int) height from {orders}""",
     "expired": "select o_orderkey image_id from {orders} where o_orderstatus='P' and o_custkey%5=0",
     "turns": """
-        select conv_id, cast(row_number() over (partition by conv_id order by turn)-1 as bigint) position, role, text
-        from {conversations} where role<>'system'""",
+        select conv_id, cast(row_number() over (partition by conv_id order by turn)-1 as bigint) position, role, text, sys
+        from (select *, min_by(case when role='system' then text end, case when role='system' then turn end)
+                        over (partition by conv_id) sys from {conversations}) c
+        where role<>'system'""",
     "sentences": """
         select p_partkey row_id, cast(p_partkey%500 as string) image_id,
                concat('[/EN#',cast(p_size as string),'/',lower(p_type),' A ',p_name,'] lies near [/EN#',
@@ -92,10 +92,6 @@ INPUTS = {
 }
 
 
-# Inputs of converters, which do much work per row.
-HEAVY = {"records", "questions", "sentences", "box_predictions"}
-
-
 def _fields(sql: str) -> list[str]:
     return sorted({f for _, f, _, _ in Formatter().parse(sql) if f})
 
@@ -106,8 +102,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     sql = INPUTS[name]
-    df = spark.sql(sql, **{t: table(spark, sf, t) for t in _fields(sql)})
-    return spread(df, "row_id") if name in HEAVY else df
+    return spark.sql(sql, **{t: table(spark, sf, t) for t in _fields(sql)})
 
 
 def query(ids: str, sql: str | None = None, inputs: Sequence[str] = (), name: str | None = None):

@@ -11,16 +11,21 @@ from lumenfold.plans import fewshot
 BINS, SAMPLES = 5, 8
 
 
+def vectors(spark, sf):
+    """Every vector; those of a twentieth, as of unreadable images, are null."""
+    return load(spark, sf, "vectors").withColumn("embedding", F.expr("case when vec_id % 20 <> 19 then embedding end"))
+
+
 def class_vectors(spark, sf):
-    """Mean vectors of at most 15 images per class and modality; a twentieth counts as unreadable."""
-    df = load(spark, sf, "vectors").where(F.expr("vec_id % 20 <> 19"))
+    """Mean vectors of at most 15 images per class and modality; unreadable ones are drawn too, and then skipped."""
+    df = vectors(spark, sf)
     return fewshot.class_vectors(df.where("modality = 0"), df.where("modality = 1"), 15)
 
 
 # DuckDB side of the class vectors, the blended scores and their ranking.
 VECTORS_SQL = f"""
-h as (select class_id, modality, embedding, row_number() over (partition by class_id, modality order by {order60(0, 'class_id', 'image')}, image) r
-      from vectors where vec_id%20<>19),
+h as (select class_id, modality, case when vec_id%20<>19 then embedding end embedding,
+             row_number() over (partition by class_id, modality order by {order60(0, 'class_id', 'image')}, image) r from vectors),
 d as (select class_id, modality, unnest(embedding)::double x, generate_subscripts(embedding,1) dim from h where r<=15),
 e as (select class_id, modality, dim, avg(x) x from d group by class_id, modality, dim),
 u as (select *, x/sqrt(sum(x*x) over (partition by class_id, modality)) nx from e)"""
@@ -32,7 +37,7 @@ RANKED_SQL = SCORES_SQL + ", rk as (select a class_id, row_number() over (partit
 
 @query("G5", f"with {VECTORS_SQL} select class_id, modality, dim-1 dim, round(x,9) x from e", ["vectors"])
 def class_embedding(spark, sf):
-    df = load(spark, sf, "vectors").where(F.expr("vec_id % 20 <> 19"))
+    df = vectors(spark, sf)
     out = None
     for m in (0, 1):
         one = cls.class_embedding(df.where(F.col("modality") == m), 15).select(

@@ -12,7 +12,7 @@ from lumenfold.plans import corpora
 _SRC = """
 a as (select row_number() over (order by conv_id, turn)-1 row_id, 'conv'||conv_id||'.'||turn tag from conversations),
 b as (select doc_id row_id, 'doc'||doc_id tag from documents),
-c as (select event_id//3 row_id, 'event'||event_id tag from events where event_id%3=0)"""
+c as (select event_id row_id, 'event'||event_id tag from events)"""
 SIZES = "(select count(*) from a) na, (select count(*) from b) nb, (select count(*) from c) nc"
 
 
@@ -24,8 +24,7 @@ def sources(spark, sf):
     a = with_rank(conv, [], ["conv_id", "turn"], block_range(F.col("conv_id"), 64), out="row_id").select(
         "row_id", F.concat(F.lit("conv"), "conv_id", F.lit("."), "turn").alias("tag"))
     b = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.concat(F.lit("doc"), "doc_id").alias("tag"))
-    c = table(spark, sf, "events").where("event_id % 3 = 0").select(
-        F.floor(F.col("event_id") / 3).alias("row_id"), F.concat(F.lit("event"), "event_id").alias("tag"))
+    c = table(spark, sf, "events").select(F.col("event_id").alias("row_id"), F.concat(F.lit("event"), "event_id").alias("tag"))
     return [a, b, c]
 
 

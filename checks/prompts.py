@@ -10,7 +10,6 @@ from lumenfold.functions import prompts, text, tokens
 from lumenfold.functions.binding import explode_items
 from lumenfold.functions.prompt_templates import TEMPLATES
 from lumenfold.operators import conversations as conv
-from lumenfold.session import spread
 
 
 def _quote(s: str) -> str:
@@ -20,11 +19,11 @@ def _quote(s: str) -> str:
 # Per style: text before the first role, between role and message, after even and odd messages.
 STYLES = {
     "vicuna_v1.1": ("{system} ", ": ", " ", "</s>"), "hypnotized_ans_v1.0": (" ", ": ", " ", "</s>"),
-    "otter": ("{system} ", " ", " ", "<|endofchunk|>"), "oasst_pythia": ("", "", "<|endoftext|>", "<|endoftext|>"),
+    "otter": ("{system} ", " ", " ", "<|endofchunk|>"), "oasst_pythia": ("{system}", "", "<|endoftext|>", "<|endoftext|>"),
     "baize": ("{system}\n[|Human|]Hello!\n[|AI|]Hi!\n", "", "\n", "\n"), "dolly_v2": ("{system}", ":\n", "\n\n", "### End\n\n"),
     "rwkv": ("{system}Bob: Hi\n\nAlice: {hello}\n\n", ": ", "\n\n", "\n\n"), "phoenix": ("{system}", ": <s>", "</s>", "</s>"),
-    "mpt": ("{system}<|im_end|>", "\n", "<|im_end|>", "<|im_end|>"), "billa": ("\n", ": ", "\n", "\n"),
-    "claude": ("\n\n", ": ", "\n\n", "\n\n"),
+    "mpt": ("{system}<|im_end|>", "\n", "<|im_end|>", "<|im_end|>"), "billa": ("{system}\n", ": ", "\n", "\n"),
+    "claude": ("{system}\n\n", ": ", "\n\n", "\n\n"),
 }
 
 
@@ -36,14 +35,17 @@ def _segment(mode: str) -> str:
     return f"{role}||{_quote(gap)}||{said}||case when position%2=0 then {_quote(even)} else {_quote(odd)} end"
 
 
-def _lead(mode: str) -> str:
+def _lead(mode: str, own: str = "sys") -> str:
+    """SQL of the text before the first role; `own` is the conversation's system text."""
     t = TEMPLATES[mode]
     hello = t.messages[1][1] if mode == "rwkv" else ""
-    return _quote(STYLES[mode][0].replace("{system}", t.system).replace("{hello}", hello))
+    text = STYLES[mode][0].replace("{hello}", hello)
+    rest = _quote(text.removeprefix("{system}"))
+    return f"coalesce({own},{_quote(t.system)})||{rest}" if text.startswith("{system}") else rest
 
 
 def _prompt_sql(mode: str) -> str:
-    return f"select conv_id, {_lead(mode)}||string_agg({_segment(mode)}, '' order by position) prompt from turns group by conv_id"
+    return f"select conv_id, {_lead(mode, 'min(sys)')}||string_agg({_segment(mode)}, '' order by position) prompt from turns group by conv_id"
 
 
 def _conversations(spark, sf):
@@ -53,15 +55,15 @@ def _conversations(spark, sf):
 for _m in STYLES:
     query("F2,F3,F4", _prompt_sql(_m), ["turns"], name=f"prompt_{_m.replace('.', '_')}")(
         lambda spark, sf, m=_m: _conversations(spark, sf).select(
-            "conv_id", prompts.render(m, prompts.to_messages(F.col("conversations"), m)).alias("prompt")))
+            "conv_id", prompts.render(m, prompts.to_messages(F.col("conversations"), m), system=F.col("system")).alias("prompt")))
 
 MIXED = ["common", "icl", "koala_v1"]
 
 
 @query("F4", f"""
 with t as (select *, (['vicuna_v1.1','icl_v1.0','koala_v1'])[({rank32(0, 'conv_id')}%3+1)::INT] mode from turns)
-select conv_id, mode, case mode when 'vicuna_v1.1' then {_quote(TEMPLATES['vicuna_v1.1'].system)}
-       when 'icl_v1.0' then {_quote(TEMPLATES['icl_v1.0'].system)} else 'BEGINNING OF CONVERSATION:' end||' '||
+select conv_id, mode, coalesce(min(sys), case mode when 'vicuna_v1.1' then {_quote(TEMPLATES['vicuna_v1.1'].system)}
+       when 'icl_v1.0' then {_quote(TEMPLATES['icl_v1.0'].system)} else 'BEGINNING OF CONVERSATION:' end)||' '||
        string_agg(case when role='user' then 'USER' when mode='koala_v1' then 'GPT' else 'ASSISTANT' end||': '||text||
        case when position%2=0 then ' ' else '</s>' end, '' order by position) prompt
 from t group by conv_id, mode""", ["turns"])
@@ -72,47 +74,47 @@ def prompt_by_mode(spark, sf):
     df = _conversations(spark, sf).withColumn("mode", pick(F.array(*[F.lit(m) for m in MIXED]), 0, F.col("conv_id")))
     names = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
     return df.select("conv_id", F.coalesce(names[F.col("mode")], F.col("mode")).alias("mode"),
-                     prompts.render_by_mode(F.col("mode"), F.col("conversations"), MIXED).alias("prompt"))
+                     prompts.render_by_mode(F.col("mode"), F.col("conversations"), MIXED, F.col("system")).alias("prompt"))
 
 
 @query("F3", f"""select conv_id, position, case when position=0 then {_lead('vicuna_v1.1')} else '' end||{_segment('vicuna_v1.1')} segment
        from turns""", ["turns"])
 def prompt_segments(spark, sf):
-    return conv.prompt_segments(load(spark, sf, "turns"), "vicuna_v1.1")
+    return conv.prompt_segments(load(spark, sf, "turns"), "vicuna_v1.1", system=F.col("sys"))
 
 
 @query("F1", """
 with t as (select conv_id, count(*) filter (position%2=0 and contains(text,'qu')) q, count(*) filter (position%2=1 and contains(text,'qu')) a,
-           count(*) filter (contains(text,'ing')) b from turns group by conv_id)
+           count(*) filter (contains(text,'ing')) b, min(sys) sys from turns group by conv_id)
 select conv_id, case when q>0 and conv_id%3=0 then 'image placeholder without image' when a>0 then 'image placeholder in an answer'
-       when b>0 and conv_id%2=0 then 'box placeholder without boxes' end problem, conv_id%3<>0 and q=0 image_unused from t""", ["turns"])
+       when b>0 and conv_id%2=0 then 'box placeholder without boxes' end problem, conv_id%3<>0 and q=0 image_unused, sys from t""", ["turns"])
 def validate_items(spark, sf):
     marked = F.transform("conversations", lambda t: t.withField("value", text.swap(text.swap(t["value"], "qu", S.IMAGE), "ing", S.BOXES)))
     null = F.lit(None)
     df = _conversations(spark, sf).select(
         "conv_id", F.when(F.col("conv_id") % 3 != 0, F.lit("x.jpg")).alias("image"),
         F.struct(F.when(F.col("conv_id") % 2 != 0, F.array().cast(S.BOX_LIST)).alias("boxes"), null.cast(S.BOX_LIST).alias("points")).alias("target"),
-        marked.alias("conversations"))
-    return conv.validate(df).select("conv_id", "problem", "image_unused")
+        marked.alias("conversations"), F.col("system").alias("sys"))
+    return conv.validate(df).select("conv_id", "problem", "image_unused", "sys")
 
 
-@query("F5,F6", """select conv_id, position, replace(text,'qu','<im_start><im_patch><im_patch><im_patch><im_end>') expanded,
-       '<image> USER: '||regexp_replace(replace(text,'qu',''),'^\\s+|\\s+$','','g') fronted from turns""", ["turns"])
+@query("F5,F6", """select conv_id, turn, replace(text,'qu','<im_start><im_patch><im_patch><im_patch><im_end>') expanded,
+       '<image> USER: '||regexp_replace(replace(text,'qu',''),'^\\s+|\\s+$','','g') fronted from conversations""")
 def image_tokens(spark, sf):
     marked = text.swap(F.col("text"), "qu", S.IMAGE)
-    return load(spark, sf, "turns").select("conv_id", "position", prompts.expand_image(marked, 3).alias("expanded"),
+    return table(spark, sf, "conversations").select("conv_id", "turn", prompts.expand_image(marked, 3).alias("expanded"),
                                            prompts.image_to_front(marked, "vicuna_v1.1").alias("fronted"))
 
 
 @query("F7", f"""
 with t as (select *, max(position) over (partition by conv_id) last from turns),
-p as (select conv_id, {_lead('vicuna_v1.1')}||string_agg({_segment('vicuna_v1.1')}, '' order by position) target,
-      {_lead('vicuna_v1.1')}||string_agg(case when position=last then case when role='user' then 'USER:' else 'ASSISTANT:' end else {_segment('vicuna_v1.1')} end, '' order by position) prompt
+p as (select conv_id, {_lead('vicuna_v1.1', 'min(sys)')}||string_agg({_segment('vicuna_v1.1')}, '' order by position) target,
+      {_lead('vicuna_v1.1', 'min(sys)')}||string_agg(case when position=last then case when role='user' then 'USER:' else 'ASSISTANT:' end else {_segment('vicuna_v1.1')} end, '' order by position) prompt
       from t group by conv_id)
 select conv_id, prompt, target from p""", ["turns"])
 def prompt_and_target(spark, sf):
     messages = prompts.to_messages(F.col("conversations"), "vicuna_v1.1")
-    return _conversations(spark, sf).select("conv_id", prompts.prompt_and_target("vicuna_v1.1", messages).alias("p")).select("conv_id", "p.*")
+    return _conversations(spark, sf).select("conv_id", prompts.prompt_and_target("vicuna_v1.1", messages, system=F.col("system")).alias("p")).select("conv_id", "p.*")
 
 
 @query("F8", f"""
@@ -121,52 +123,53 @@ select conv_id, position n, case when position=0 then {_lead('vicuna_v1.1')} els
        case when role='user' then 'USER: '||text||case when closed or position<last then ' ASSISTANT: ' else ' ' end else text||'</s>' end as "text",
        role<>'user' and closed trainable from t""", ["turns"])
 def loss_segments(spark, sf):
-    prompt = prompts.render("vicuna_v1.1", prompts.to_messages(F.col("conversations"), "vicuna_v1.1"))
+    prompt = prompts.render("vicuna_v1.1", prompts.to_messages(F.col("conversations"), "vicuna_v1.1"), system=F.col("system"))
     df = _conversations(spark, sf).select("conv_id", explode_items(prompts.loss_segments(prompt), "n", "s"))
     return df.select("conv_id", F.col("n").cast("bigint").alias("n"), "s.text", "s.trainable")
 
 
 @query("F13", """
 select conv_id, position+1 n, role, text content from turns union all
-select distinct conv_id, 0, 'system', 'You are a helpful assistant.' from turns""", ["turns"])
+select distinct conv_id, 0, 'system', coalesce(sys,'You are a helpful assistant.') from turns""", ["turns"])
 def openai_messages(spark, sf):
-    out = prompts.openai_messages("chatgpt", prompts.to_messages(F.col("conversations"), "chatgpt"))
+    out = prompts.openai_messages("chatgpt", prompts.to_messages(F.col("conversations"), "chatgpt"), F.col("system"))
     return _conversations(spark, sf).select("conv_id", explode_items(out, "n", "m")).select("conv_id", F.col("n").cast("bigint").alias("n"), "m.role", "m.content")
 
 
-@query("F14", """select q.conv_id, q.position//2 n, q.text question, a.text answer from turns q
+@query("F14", """select q.conv_id, q.position//2 n, q.text question, a.text answer, q.sys from turns q
        left join turns a on a.conv_id=q.conv_id and a.position=q.position+1 where q.position%2=0""", ["turns"])
 def chat_pairs(spark, sf):
     out = prompts.chat_pairs(prompts.to_messages(F.col("conversations"), "common"))
-    return _conversations(spark, sf).select("conv_id", explode_items(out, "n", "m")).select("conv_id", F.col("n").cast("bigint").alias("n"), "m.question", "m.answer")
+    return _conversations(spark, sf).select("conv_id", F.col("system").alias("sys"), explode_items(out, "n", "m")).select(
+        "conv_id", F.col("n").cast("bigint").alias("n"), "m.question", "m.answer", "sys")
 
 
 @query("F17", """
-select conv_id, 'koala_v1' as "name", 'BEGINNING OF CONVERSATION:' as "system", 'USER,GPT' roles, 0 as "offset", count(*) n_messages,
-       conv_id::varchar id_text, sum(length(text))::bigint n_chars, null::varchar model_name from turns group by conv_id""", ["turns"])
+select conv_id, 'koala_v1' as "name", coalesce(min(sys),'BEGINNING OF CONVERSATION:') as "system", 'USER,GPT' roles, 0 as "offset", count(*) n_messages,
+       conv_id::varchar id_text, string_agg(case when role='user' then 'USER' else 'GPT' end||'='||text, '|' order by position) said, null::varchar model_name
+from turns group by conv_id""", ["turns"])
 def conversation_record(spark, sf):
-    rec = prompts.conversation_record("koala_v1", prompts.to_messages(F.col("conversations"), "koala_v1"), F.col("conv_id"))
+    rec = prompts.conversation_record("koala_v1", prompts.to_messages(F.col("conversations"), "koala_v1"), F.col("conv_id"), system=F.col("system"))
     ddl = "name string, system string, roles array<string>, messages array<array<string>>, offset int, conv_id string, model_name string"
     df = _conversations(spark, sf).select("conv_id", F.from_json(rec, ddl).alias("r"))
     return df.select("conv_id", "r.name", "r.system", F.array_join("r.roles", ",").alias("roles"), "r.offset",
                      F.size("r.messages").cast("bigint").alias("n_messages"), F.col("r.conv_id").alias("id_text"),
-                     F.aggregate("r.messages", F.lit(0).cast("bigint"), lambda a, m: a + F.length(m[1])).alias("n_chars"), "r.model_name")
+                     F.array_join(F.transform("r.messages", lambda m: F.concat(m[0], F.lit("="), m[1])), "|").alias("said"), "r.model_name")
 
 
-@query("C21", """select conv_id, position, replace(replace(replace(replace(replace(replace(text||t,'<image>',''),'<im_start>',''),'<im_end>',''),
+@query("C21", """select conv_id, turn, replace(replace(replace(replace(replace(replace(text||t,'<image>',''),'<im_start>',''),'<im_end>',''),
        '[BEGIN EXAMPLE]',''),'[END EXAMPLE]',''),'[FINAL QUESTION]','') scrubbed
-       from (select *, case when position%2=0 then '<im<image>age>[END EXAMPLE]x' else '[FINAL [BEGIN EXAMPLE]QUESTION]<im_end>' end t from turns)""", ["turns"])
+       from (select *, case when turn%2=0 then '<im<image>age>[END EXAMPLE]x' else '[FINAL [BEGIN EXAMPLE]QUESTION]<im_end>' end t from conversations)""")
 def scrub_text(spark, sf):
-    dirty = F.concat("text", F.when(F.col("position") % 2 == 0, F.lit("<im<image>age>[END EXAMPLE]x")).otherwise(F.lit("[FINAL [BEGIN EXAMPLE]QUESTION]<im_end>")))
-    return load(spark, sf, "turns").select("conv_id", "position", text.scrub(dirty).alias("scrubbed"))
+    dirty = F.concat("text", F.when(F.col("turn") % 2 == 0, F.lit("<im<image>age>[END EXAMPLE]x")).otherwise(F.lit("[FINAL [BEGIN EXAMPLE]QUESTION]<im_end>")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.scrub(dirty).alias("scrubbed"))
 
 
 # Token arrays: documents split at spaces, words that start with "th" stand for protected tokens.
 
 
 def _tokens(spark, sf, limit=None):
-    docs = spread(table(spark, sf, "documents"), "doc_id")
-    return docs.select("doc_id", F.split("text", " ").alias("tokens"))
+    return table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("tokens"))
 
 
 _TOK = "(select doc_id, unnest(string_split(text,' ')) tok, generate_subscripts(string_split(text,' '),1)-1 i from documents)"
@@ -177,16 +180,15 @@ PROTECTED = ["the", "la", "die"]
 with t as (select *, tok in ('the','la','die') held, count(*) over (partition by doc_id) n from {_TOK}),
 c as (select *, count(*) filter (held) over (partition by doc_id) h,
       row_number() over (partition by doc_id, held order by i) k from t)
-select doc_id, count(*)::bigint n_kept, md5(string_agg(tok,' ' order by i)) kept from c
-where n<=400 or held or k<=400-h group by doc_id having min(n)<=400 or min(h)<=400""", name="truncate_protected")
+select doc_id, case when min(n)<=400 or min(h)<=400 then count(*) filter (n<=400 or held or k<=400-h) end::bigint n_kept,
+       case when min(n)<=400 or min(h)<=400 then md5(string_agg(tok,' ' order by i) filter (n<=400 or held or k<=400-h)) end kept,
+       min(n)>400 and min(h)>400 too_many from c group by doc_id""", name="truncate_protected")
 def truncate_protected(spark, sf):
-    """Documents whose protected words alone exceed the limit are an error case and left out on both sides."""
-    df = _tokens(spark, sf)
-    held = F.size(F.filter("tokens", lambda t: t.isin(PROTECTED)))
-    df = df.where((F.size("tokens") <= 400) | (held <= 400))
-    kept = tokens.at_positions(F.col("tokens"), tokens.kept_positions(F.col("tokens"), 400, PROTECTED))
-    df = df.select("doc_id", kept.alias("k"))
-    return df.select("doc_id", F.size("k").cast("bigint").alias("n_kept"), F.md5(F.array_join("k", " ")).alias("kept"))
+    """Documents whose protected words alone exceed the limit are flagged."""
+    kept = tokens.kept_positions(F.col("tokens"), 400, PROTECTED, on_error="flag")
+    df = _tokens(spark, sf).select("doc_id", tokens.at_positions(F.col("tokens"), kept).alias("k"))
+    size = F.when(F.col("k").isNotNull(), F.size("k").cast("bigint"))
+    return df.select("doc_id", size.alias("n_kept"), F.md5(F.array_join("k", " ")).alias("kept"), F.col("k").isNull().alias("too_many"))
 
 
 @query("F12", """

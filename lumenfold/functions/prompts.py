@@ -23,7 +23,8 @@ MESSAGES = "array<struct<role:string,message:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    lead: str  # before the first role
+    named: bool  # whether the system text is printed
+    lead: str  # between the system text and the first role
     gap: str  # between role and message
     tails: tuple[str, str]  # after a message at an even / odd position
     bare: str  # after the role when there is no message
@@ -33,17 +34,17 @@ def layout(t: PromptTemplate) -> Layout:
     """The texts of a template's style; templates without a style cannot be rendered."""
     sep, sep2 = t.sep or "", t.sep2 or ""
     by_style = {
-        T.ADD_COLON_SINGLE: Layout(t.system + sep, ": ", (sep, sep), ":"),
-        T.EMPTY: Layout(sep, ": ", (sep, sep2), ":"),
-        T.ADD_COLON_TWO: Layout(t.system + sep, ": ", (sep, sep2), ":"),
-        T.ADD_SPACE_TWO: Layout(t.system + sep, " ", (sep, sep2), ""),
-        T.NO_COLON_SINGLE: Layout(t.system, "", (sep, sep), ""),
-        T.BAIZE: Layout(t.system + "\n", "", ("\n", "\n"), ""),
-        T.DOLLY: Layout(t.system, ":\n", (sep, sep2 + "\n\n"), ":\n"),
-        T.RWKV: Layout(t.system, ": ", ("\n\n", "\n\n"), ":"),
-        T.PHOENIX: Layout(t.system, ": <s>", ("</s>", "</s>"), ": <s>"),
-        T.NEW_LINE: Layout(t.system + sep, "\n", (sep, sep), "\n"),
-        T.BILLA: Layout(t.system + sep, ": ", (sep, sep), ": "),
+        T.ADD_COLON_SINGLE: Layout(True, sep, ": ", (sep, sep), ":"),
+        T.EMPTY: Layout(False, sep, ": ", (sep, sep2), ":"),
+        T.ADD_COLON_TWO: Layout(True, sep, ": ", (sep, sep2), ":"),
+        T.ADD_SPACE_TWO: Layout(True, sep, " ", (sep, sep2), ""),
+        T.NO_COLON_SINGLE: Layout(True, "", "", (sep, sep), ""),
+        T.BAIZE: Layout(True, "\n", "", ("\n", "\n"), ""),
+        T.DOLLY: Layout(True, "", ":\n", (sep, sep2 + "\n\n"), ":\n"),
+        T.RWKV: Layout(True, "", ": ", ("\n\n", "\n\n"), ":"),
+        T.PHOENIX: Layout(True, "", ": <s>", ("</s>", "</s>"), ": <s>"),
+        T.NEW_LINE: Layout(True, sep, "\n", (sep, sep), "\n"),
+        T.BILLA: Layout(True, sep, ": ", (sep, sep), ": "),
     }
     if t.style not in by_style:
         raise ValueError(f"template {t.name} has no prompt style: {t.style}")
@@ -61,17 +62,28 @@ def segment(t: PromptTemplate, role: Column, message: Column, position: Column)
     return F.when(said, F.concat(role, F.lit(lay.gap), body, tail)).otherwise(F.concat(role, F.lit(lay.bare)))
 
 
+def system_text(t: PromptTemplate, system: Column | None = None) -> Column:
+    """The row's own system text; where there is none, the template's."""
+    return F.lit(t.system) if system is None else F.coalesce(system, F.lit(t.system))
+
+
+def lead(t: PromptTemplate, system: Column | None = None) -> Column:
+    """What stands before the first role. Styles that print no system text ignore the row's too."""
+    lay = layout(t)
+    return F.concat(system_text(t, system), F.lit(lay.lead)) if lay.named else F.lit(lay.lead)
+
+
 def preset(t: PromptTemplate) -> Column:
     items = [F.struct(F.lit(r).alias("role"), F.lit(m).alias("message")) for r, m in t.messages]
     return F.array(*items).cast(MESSAGES)
 
 
-def render(mode: str, messages: Column, with_preset: bool = True) -> Column:
-    """The whole prompt of one conversation under one template."""
+def render(mode: str, messages: Column, with_preset: bool = True, system: Column | None = None) -> Column:
+    """The whole prompt of one conversation under one template; `system` replaces its system text."""
     t = get_template(mode)
     everything = F.concat(preset(t), messages) if with_preset and t.messages else messages
     texts = F.transform(everything, lambda m, i: segment(t, m["role"], m["message"], i))
-    return F.concat(F.lit(layout(t).lead), F.array_join(texts, ""))
+    return F.concat(lead(t, system), F.array_join(texts, ""))
 
 
 def _by_mode(mode: Column, modes: Iterable[str], value) -> Column:
@@ -81,9 +93,9 @@ def _by_mode(mode: Column, modes: Iterable[str], value) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("unexpected mode: "), mode)).cast("string"))
 
 
-def render_by_mode(mode: Column, turns: Column, modes: Iterable[str]) -> Column:
+def render_by_mode(mode: Column, turns: Column, modes: Iterable[str], system: Column | None = None) -> Column:
     """Prompt of human/gpt turns under the template each row names. A CASE over few modes: no join."""
-    return _by_mode(mode, modes, lambda m: render(m, to_messages(turns, m)))
+    return _by_mode(mode, modes, lambda m: render(m, to_messages(turns, m), system=system))
 
 
 def to_messages(turns: Column, mode: str) -> Column:
@@ -111,10 +123,12 @@ def empty_last(messages: Column) -> Column:
     return let(messages, lambda ms: F.transform(ms, lambda m, i: blank(m, i == F.size(ms) - 1)))
 
 
-def prompt_and_target(mode: str, messages: Column, support: bool = False) -> Column:
+def prompt_and_target(mode: str, messages: Column, support: bool = False, system: Column | None = None) -> Column:
     """`struct<prompt,target>`: target is the full text; a support item keeps its last message."""
     asked = messages if support else empty_last(messages)
-    return F.struct(render(mode, asked).alias("prompt"), render(mode, messages).alias("target"))
+    return F.struct(
+        render(mode, asked, system=system).alias("prompt"), render(mode, messages, system=system).alias("target")
+    )
 
 
 def expand_image(text: Column, patches: int = 256, wrap: bool = True) -> Column:
@@ -178,7 +192,7 @@ def _listed(rounds, parts, good, rest, t: PromptTemplate, cut: str, mask_on_mism
     return F.when(F.length(rest) > 0, F.concat(kept, tail)).otherwise(kept)
 
 
-def openai_messages(mode: str, messages: Column) -> Column:
+def openai_messages(mode: str, messages: Column, system: Column | None = None) -> Column:
     """System first, then user/assistant in turn from the template's offset; null answers left out."""
     t = get_template(mode)
     said = F.transform(
@@ -188,8 +202,8 @@ def openai_messages(mode: str, messages: Column) -> Column:
         ),
     )
     kept = F.filter(said, lambda m: (m["role"] == "user") | m["content"].isNotNull())
-    system = F.array(F.struct(F.lit("system").alias("role"), F.lit(t.system).alias("content")))
-    return F.concat(system, kept)
+    first = F.array(F.struct(F.lit("system").alias("role"), system_text(t, system).alias("content")))
+    return F.concat(first, kept)
 
 
 def chat_pairs(messages: Column, offset: int = 0) -> Column:
@@ -204,14 +218,16 @@ def chat_pairs(messages: Column, offset: int = 0) -> Column:
     return let(said, lambda ms: F.when(count(ms) > 0, pairs(ms)).otherwise(none))
 
 
-def conversation_record(mode: str, messages: Column, conv_id=None, model_name=None) -> Column:
+def conversation_record(
+    mode: str, messages: Column, conv_id=None, model_name=None, system: Column | None = None
+) -> Column:
     """The conversation as JSON: name, system, roles, messages as pairs, offset, ids."""
     t = get_template(mode)
     null = F.lit(None).cast("string")
     return F.to_json(
         F.struct(
             F.lit(t.name).alias("name"),
-            F.lit(t.system).alias("system"),
+            system_text(t, system).alias("system"),
             F.array(*[F.lit(r) for r in t.roles]).alias("roles"),
             F.transform(F.concat(preset(t), messages) if t.messages else messages,
                         lambda m: F.array(m["role"], m["message"])).alias("messages"),

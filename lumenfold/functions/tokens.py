@@ -41,23 +41,26 @@ def _concat_items(items: Column) -> Column:
     return F.struct(joined("input_ids"), joined("attention_mask"), joined("labels"))
 
 
-def kept_positions(tokens: Column, limit: int, protected: Sequence = PROTECTED) -> Column:
+def kept_positions(tokens: Column, limit: int, protected: Sequence = PROTECTED, on_error: str = "raise") -> Column:
     """Positions that survive truncation to `limit`: unprotected tokens go first, from the end.
 
-    Linear in the row: positions are split once into protected and open ones. Fails when the
-    protected tokens alone are too many.
+    Linear in the row: positions are split once into protected and open ones. When the protected
+    tokens alone are too many it fails, or with `on_error="flag"` gives null for that row.
     """
-    return let(tokens, lambda t: _kept(t, limit, protected))
+    if on_error not in ("raise", "flag"):
+        raise ValueError(f"on_error is 'raise' or 'flag': {on_error}")
+    return let(tokens, lambda t: _kept(t, limit, protected, on_error))
 
 
-def _kept(tokens: Column, limit: int, protected: Sequence) -> Column:
+def _kept(tokens: Column, limit: int, protected: Sequence, on_error: str) -> Column:
     n = F.size(tokens)
     safe = F.array(*[F.lit(p) for p in protected])
     every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     is_safe = lambda i: F.array_contains(safe, F.get(tokens, i))
     held = F.filter(every, is_safe)
     open_ = F.filter(every, lambda i: ~is_safe(i))
-    failed = F.raise_error(F.lit("protected tokens exceed the truncation size")).cast("array<int>")
+    problem = F.lit(None) if on_error == "flag" else F.raise_error(F.lit("protected tokens exceed the truncation size"))
+    failed = problem.cast("array<int>")
 
     def cut(h: Column) -> Column:
         room = F.lit(limit) - F.size(h)
@@ -70,10 +73,10 @@ def at_positions(values: Column, positions: Column) -> Column:
     return let(values, lambda v: F.transform(positions, lambda i: F.get(v, i)))
 
 
-def truncate(sample: Column, limit: int, protected: Sequence = PROTECTED) -> Column:
-    """Ids, mask and labels of a sample cut at the same positions."""
+def truncate(sample: Column, limit: int, protected: Sequence = PROTECTED, on_error: str = "raise") -> Column:
+    """Ids, mask and labels of a sample cut at the same positions; null ones for a flagged row."""
     fields = ("input_ids", "attention_mask", "labels")
-    keep = kept_positions(sample["input_ids"], limit, protected)
+    keep = kept_positions(sample["input_ids"], limit, protected, on_error)
     return let(keep, lambda k: F.struct(*[at_positions(sample[f], k).alias(f) for f in fields]))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold import schema as S
-from lumenfold.functions.prompts import layout, segment
+from lumenfold.functions.prompts import lead, segment
 from lumenfold.functions.prompt_templates import get_template
 
 
@@ -77,19 +77,22 @@ def collect_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
-def prompt_segments(turns: DataFrame, mode: str, key: str = "conv_id", position: str = "position") -> DataFrame:
+def prompt_segments(
+    turns: DataFrame, mode: str, key: str = "conv_id", position: str = "position", system: Column | None = None
+) -> DataFrame:
     """Prompt text per turn, no grouping: concatenating a conversation's segments gives its prompt.
 
-    `position` counts the human/gpt turns from 0; the first segment carries the template's lead.
+    `position` counts the human/gpt turns from 0; the first segment carries the lead, with `system`
+    in place of the template's system text where it is not null.
     """
     t = get_template(mode)
     human, gpt = t.roles
     at = F.col(position) + len(t.messages)
     role = F.when(_speaker(F.col("role")) == "human", F.lit(human)).otherwise(F.lit(gpt))
     text = segment(t, role, F.col("text"), at)
-    lead = F.lit(layout(t).lead)
+    first = lead(t, system)
     for n, (r, m) in enumerate(t.messages):
-        lead = F.concat(lead, segment(t, F.lit(r), F.lit(m), F.lit(n)))
+        first = F.concat(first, segment(t, F.lit(r), F.lit(m), F.lit(n)))
     return turns.select(
-        key, position, F.when(F.col(position) == 0, F.concat(lead, text)).otherwise(text).alias("segment")
+        key, position, F.when(F.col(position) == 0, F.concat(first, text)).otherwise(text).alias("segment")
     )

@@ -26,32 +26,28 @@ def build_session(app: str = "lumenfold", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path under the cluster's shared checkpoint folder.
+def scratch_dir(spark: SparkSession, root: str | None = None) -> str:
+    """A new path under `root`, else under the session's shared checkpoint folder.
 
-    Only where `spark.checkpoint.dir` is unset (local runs, tests) is a temporary folder set.
+    That is `spark.checkpoint.dir`, or what `sparkContext.setCheckpointDir` was given. Only a local
+    session may have neither: it gets a temporary folder. On a cluster executors would each write to
+    their own disk there, so that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lumenfold-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, root: str | None = None) -> DataFrame:
     """Write a result that several later steps read, and read it back.
 
-    Cuts the lineage with a table in the shared folder, which survives lost executors.
+    Cuts the lineage with a table in the shared folder, which survives lost executors. The folder's
+    owner clears it: the table must outlive every frame that reads it.
     """
-    path = scratch_dir(df.sparkSession)
+    path = scratch_dir(df.sparkSession, root)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for heavy row-wise work on an input with fewer splits than cores.
-
-    Inputs with enough splits, which is any large one, pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -228,6 +228,18 @@ def test_prompt_and_target(one):
     assert one(prompts.prompt_and_target("final_v1.0", m, support=True))["prompt"].endswith("a</s>")
 
 
+def test_a_conversation_brings_its_own_system_text(one):
+    said, own, none = messages(*HELLO), F.lit("Be brief."), F.lit(None).cast("string")
+    for mode in ("vicuna_v1.1", "otter", "baize", "mpt", "claude", "dolly_v2"):
+        plain, t = one(prompts.render(mode, said)), prompts.get_template(mode)
+        assert one(prompts.render(mode, said, system=none)) == plain
+        assert one(prompts.render(mode, said, system=own)) == "Be brief." + plain.removeprefix(t.system)
+    # This style prints no system text.
+    assert one(prompts.render("hypnotized_ans_v1.0", said, system=own)) == one(prompts.render("hypnotized_ans_v1.0", said))
+    assert one(prompts.openai_messages("chatgpt", said, own))[0]["content"] == "Be brief."
+    assert '"system":"Be brief."' in one(prompts.conversation_record("claude", said, system=own))
+
+
 def test_message_formats(one):
     out = one(prompts.openai_messages("chatgpt", messages(*HELLO)))
     assert [(x["role"], x["content"]) for x in out] == [
@@ -242,6 +254,12 @@ def test_message_formats(one):
     )
 
 
+def test_truncation_flags_rows_with_too_many_protected_tokens(one):
+    toks = F.split(F.lit("<im_patch> <im_patch> a"), " ")
+    assert one(tokens.kept_positions(toks, 1, on_error="flag")) is None
+    assert one(tokens.kept_positions(toks, 2, on_error="flag")) == [0, 1]
+
+
 def test_truncation_protects_image_tokens(one):
     toks = lambda s: F.split(F.lit(s), " ")
     cut = lambda s, k: " ".join(one(tokens.at_positions(toks(s), tokens.kept_positions(toks(s), k))))
