@@ -77,7 +77,10 @@ INPUTS = {
     "detection_images": """
         select o_orderkey id, concat('img_',cast(o_orderkey as string),'.jpg') file_name,
                cast(320+o_custkey%321 as int) width, cast(240+o_custkey%241 as int) height from {orders}""",
-    "expired": "select o_orderkey image_id from {orders} where o_orderstatus='P' and o_custkey%5=0",
+    # Every image of one category is expired.
+    "expired": """
+        select o_orderkey image_id from {orders} where o_orderstatus='P' and o_custkey%5=0 union
+        select l_orderkey from {lineitem} join {part} on l_partkey=p_partkey where cast(substr(p_brand,7) as bigint)=13""",
     "turns": """
         select conv_id, cast(row_number() over (partition by conv_id order by turn)-1 as bigint) position, role, text, sys
         from (select *, min_by(case when role='system' then text end, case when role='system' then turn end)
@@ -91,6 +94,10 @@ INPUTS = {
         from {part}""",
 }
 
+# Inputs of converters, which do much work per row. The driver tables are files of one row group, which
+# Spark cannot split, so these rows are dealt out once; tables of many files need no such step.
+WIDE = {"records", "questions", "sentences", "box_predictions"}
+
 
 def _fields(sql: str) -> list[str]:
     return sorted({f for _, f, _, _ in Formatter().parse(sql) if f})
@@ -102,7 +109,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     sql = INPUTS[name]
-    return spark.sql(sql, **{t: table(spark, sf, t) for t in _fields(sql)})
+    df = spark.sql(sql, **{t: table(spark, sf, t) for t in _fields(sql)})
+    return df.repartition("row_id") if name in WIDE else df
 
 
 def query(ids: str, sql: str | None = None, inputs: Sequence[str] = (), name: str | None = None):

@@ -104,7 +104,7 @@ def flatten_entities(spark, sf):
 @query("A5", """select 'images' "table", id key, width::varchar "value" from detection_images union all
 select 'annotations', id, image_id||':'||category_id||':'||x||','||y||','||w||','||h from annotations union all
 select 'categories', id, "name" from categories union all
-select 'neighbors', id, pos||':'||((id+pos*3)%27+1) from categories, range(8) p(pos) union all
+select 'neighbors', id, pos||':'||(case when id%5=0 then 26 else (id+pos*3)%27+1 end) from categories, range(8) p(pos) union all
 select 'expired', image_id, null from expired""", ["annotations", "categories", "detection_images", "expired"])
 def detection_json(spark, sf):
     """JSON objects of 1000 images and annotations each, as such files are, read back and kept as Parquet."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.draws import order60, rank32
-from lumenfold.operators.ranking import first_by_hash, hash_range, top_n, with_rank
+from lumenfold.operators.ranking import first_by_hash, rank_by_hash, top_n
 
 NEIGHBOURS = 36
 SAMPLES = 36
@@ -161,12 +161,14 @@ def _draw_images(images: DataFrame, keys: list[str], n: int, seed: int, tag: str
 
 def train_pairs(
     ranked: DataFrame, images: DataFrame, neighbours: int = NEIGHBOURS, samples: int = SAMPLES, seed: int = 0,
-    n_classes: int | None = None,
+    n_classes: int | None = None, strict: bool = True,
 ) -> DataFrame:
     """Train records: own samples, and one random class with one random image per similarity bin.
 
     `ranked` from `rank_neighbours`, `images`: class_id, class_name, image. The ranking is cut into
-    `neighbours` bins of ceil(C / neighbours); rank 0, the class itself, is left out.
+    `neighbours` bins of ceil(C / neighbours); rank 0, the class itself, is left out. Every ranked
+    class gives a row. One without images, with fewer than `samples`, or with a chosen neighbour that
+    has no image is an error; with `strict=False` the column `problem` names it, and is null elsewhere.
     """
     if n_classes is None:
         n_classes = ranked.select("class_id").distinct().count()
@@ -184,14 +186,15 @@ def train_pairs(
     )
     # The image is drawn by its rank in the neighbour class; ranks are taken per hash range.
     hashed = images.select("class_id", "image", order60(seed, F.col("class_id"), F.col("image"), "pool").alias("_h"))
-    ranked_images = with_rank(hashed, ["class_id"], ["_h", "image"], hash_range(F.col("_h")), out="_at")
+    ranked_images = rank_by_hash(hashed, ["class_id"], ["_h", "image"], "_at")
     sizes = images.groupBy("class_id").agg(F.count(F.lit(1)).alias("_size"))
+    # Neighbours without images stay, with a null image, and are counted as a problem below.
     wanted = (
-        chosen.join(named.join(sizes, "class_id").select(F.col("class_id").alias("neighbor_id"), F.col("class_name").alias("_name"), "_size"), "neighbor_id")
+        chosen.join(named.join(sizes, "class_id").select(F.col("class_id").alias("neighbor_id"), F.col("class_name").alias("_name"), "_size"), "neighbor_id", "left")
         .withColumn("_at", F.pmod(rank32(seed, F.col("class_id"), F.col("bin"), F.col("neighbor_id"), "img"), F.col("_size")))
     )
     drawn = wanted.join(
-        ranked_images.select(F.col("class_id").alias("neighbor_id"), "_at", "image"), ["neighbor_id", "_at"]
+        ranked_images.select(F.col("class_id").alias("neighbor_id"), "_at", "image"), ["neighbor_id", "_at"], "left"
     )
     one = F.struct(
         F.col("bin").alias("bin"), F.col("neighbor_id").cast("string").alias("id"),
@@ -203,17 +206,20 @@ def train_pairs(
     own = own.groupBy("class_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "image"))), lambda s: s["image"]).alias("samples")
     )
-    short = F.raise_error(F.lit(f"a class has fewer than {samples} images")).cast("array<string>")
-    return (
-        named.join(own, "class_id")
-        .join(neighbor, "class_id")
-        .select(
-            "class_id",
-            "class_name",
-            F.when(F.size("samples") < samples, short).otherwise(F.col("samples")).alias("samples"),
-            "neighbors",
-        )
+    paired = F.filter("neighbors", lambda s: s["img"].isNotNull())
+    problem = (
+        F.when(F.col("samples").isNull(), F.lit("no images"))
+        .when(F.size("samples") < samples, F.lit(f"fewer than {samples} images"))
+        .when(F.size(paired) < neighbours, F.lit(f"fewer than {neighbours} neighbours with images"))
     )
+    # From the neighbours on: a class without images must not vanish.
+    records = neighbor.join(named, "class_id", "left").join(own, "class_id", "left").withColumn("problem", problem)
+    columns = ["class_id", "class_name", "samples", "neighbors"]
+    if not strict:
+        return records.select(*columns, "problem")
+    stop = F.raise_error(F.concat(F.lit("class "), F.col("class_id").cast("string"), F.lit(": "), F.col("problem")))
+    held = F.when(F.col("problem").isNotNull(), stop.cast("array<string>")).otherwise(F.col("samples"))
+    return records.withColumn("samples", held).select(*columns)
 
 
 def context_split(images: DataFrame, n_context: int = CONTEXT, seed: int = 0) -> DataFrame:
@@ -222,7 +228,7 @@ def context_split(images: DataFrame, n_context: int = CONTEXT, seed: int = 0) ->
     Ranks are taken per hash range, so that one huge class is spread over many tasks.
     """
     hashed = images.withColumn("_h", order60(seed, F.col("class_id"), F.col("image"), "context"))
-    ranked = with_rank(hashed, ["class_id"], ["_h", "image"], hash_range(F.col("_h")), out="_rank")
+    ranked = rank_by_hash(hashed, ["class_id"], ["_h", "image"], "_rank")
     in_context = F.col("_rank") < n_context
     return ranked.withColumns(
         {

@@ -17,7 +17,7 @@ from lumenfold import schema as S
 from lumenfold.functions.draws import chance, order60, rank32, random_word, shuffled
 from lumenfold.functions.geometry import clean_box, xywh_to_xyxy
 from lumenfold.functions.text import swap, template
-from lumenfold.operators.ranking import hash_range, with_rank
+from lumenfold.operators.ranking import rank_by_hash
 
 # Texts and modes (fixed values).
 LEARN = "[INSTRUCTION] Please learn from the following sentence about the image <image>."
@@ -28,6 +28,10 @@ SUPPORT_MODE = "hypnotized_ans_v1.0"
 QUERY_MODE = "hypnotized_v1.1"
 HARD = 5
 
+# Why an item or an episode could not be built.
+NO_NEIGHBOUR = "no category that is not in the image"
+NO_IMAGE = "no image left for a drawn category"
+
 
 def usable_categories(categories: DataFrame, annotations: DataFrame) -> DataFrame:
     """Categories with at least one image."""
@@ -40,13 +44,14 @@ def choose_neighbour(
     """One confusable category per category: `category_id, neighbor_id`.
 
     Candidates are neighbours that are usable and not present in one random image of the category;
-    for half of the categories only the five most similar count. A category without candidates
-    is left out (`without_neighbour` lists them).
+    for half of the categories only the five most similar count. A category without candidates gets
+    any usable category that is not in that image. One whose image shows every category there is
+    has none and is left out (`without_neighbour` lists it).
     """
     cat, img = F.col("category_id"), F.col("image_id")
     seen = annotations.groupBy("category_id").agg(F.min_by("image_id", order60(seed, epoch, cat, img, "seen")).alias("image_id"))
     present = annotations.select("image_id", F.col("category_id").alias("neighbor_id"))
-    usable = usable_categories(categories, annotations).select(F.col("id").alias("neighbor_id"))
+    usable = usable_categories(categories, annotations).select(F.col("id").alias("neighbor_id")).distinct()
     candidates = (
         neighbors.join(usable, "neighbor_id", "left_semi")
         .join(seen, "category_id")
@@ -56,7 +61,30 @@ def choose_neighbour(
     coin = chance(0.5, seed, epoch, cat, "hard")
     eligible = candidates.withColumn("_near", near).where(~coin | (F.col("_near") <= HARD))
     draw = order60(seed, epoch, cat, F.col("neighbor_id"), "neighbour")
-    return eligible.groupBy("category_id").agg(F.min_by("neighbor_id", draw).alias("neighbor_id"))
+    near_by = eligible.groupBy("category_id").agg(F.min_by("neighbor_id", draw).alias("neighbor_id"))
+    lacking = usable.select(F.col("neighbor_id").alias("category_id")).join(near_by, "category_id", "left_anti")
+    return near_by.unionByName(_any_other(lacking.join(seen, "category_id"), usable, present, seed, epoch))
+
+
+def _any_other(lacking: DataFrame, usable: DataFrame, present: DataFrame, seed: int, epoch: int) -> DataFrame:
+    """For `category_id, image_id`: a usable category that is not in the image, from a random place on.
+
+    Usable categories are numbered. An image with m categories is left behind after m + 1 numbers in
+    a row, so that many are tried, whatever the number of categories.
+    """
+    numbered = rank_by_hash(usable.withColumn("_h", order60(seed, F.col("neighbor_id"), "any")), [], ["_h", "neighbor_id"], "_at")
+    total = usable.agg(F.count(F.lit(1)).alias("n")).scalar()
+    shown = present.groupBy("image_id").agg(F.count_distinct("neighbor_id").alias("_m"))
+    start = rank32(seed, epoch, F.col("category_id"), "any")
+    tries = lacking.join(shown, "image_id").select(
+        "category_id", "image_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_m"))).alias("_try")
+    )
+    found = (
+        tries.withColumn("_at", F.pmod(start + F.col("_try"), total))
+        .join(numbered.select("_at", "neighbor_id"), "_at")
+        .join(present, ["image_id", "neighbor_id"], "left_anti")
+    )
+    return found.groupBy("category_id").agg(F.min_by("neighbor_id", "_try").alias("neighbor_id"))
 
 
 def without_neighbour(categories: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -67,12 +95,13 @@ def draw_images(draws: DataFrame, annotations: DataFrame, expired: DataFrame, se
     """A random image that is not expired per draw (`category_id, side, slot, of`; `of` = category drawn from).
 
     Images are ranked once per category and a draw is a rank, so the work does not grow with the
-    number of episodes that share a category. Draws from categories without images vanish.
+    number of episodes that share a category. Draws from categories without images are not among the
+    result; the callers give such an item or episode its `problem`.
     """
     pool = annotations.select("category_id", "image_id").distinct().join(expired, "image_id", "left_anti")
     pool = pool.select(F.col("category_id").alias("of"), "image_id")
     hashed = pool.withColumn("_h", order60(seed, F.col("of"), F.col("image_id"), "pool"))
-    ranked = with_rank(hashed, ["of"], ["_h", "image_id"], hash_range(F.col("_h")), out="_at").drop("_h")
+    ranked = rank_by_hash(hashed, ["of"], ["_h", "image_id"], "_at").drop("_h")
     sizes = pool.groupBy("of").agg(F.count(F.lit(1)).alias("_size"))
     at = F.pmod(rank32(seed, epoch, F.col("category_id"), F.col("side"), F.col("slot"), "image"), F.col("_size"))
     return draws.join(sizes, "of").withColumn("_at", at).join(ranked, ["of", "_at"]).drop("_at", "_size")
@@ -118,7 +147,10 @@ def plain_items(
     categories: DataFrame, annotations: DataFrame, images: DataFrame, neighbors: DataFrame, expired: DataFrame,
     seed: int = 0, epoch: int = 0,
 ) -> DataFrame:
-    """One item per category: by a coin, of the category itself or of a confusable one."""
+    """One item per usable category: by a coin, of the category itself or of a confusable one.
+
+    Where it cannot be drawn `item` is null and `problem` says why; `problem` is null elsewhere.
+    """
     chosen = choose_neighbour(categories, annotations, neighbors, seed, epoch)
     usable = usable_categories(categories, annotations).select(F.col("id").alias("category_id"))
     positive = chance(0.5, seed, epoch, F.col("category_id"), "positive")
@@ -131,7 +163,11 @@ def plain_items(
     drawn = draw_images(draws.where("of is not null"), annotations, expired, seed, epoch)
     boxed = with_boxes(drawn, annotations, images, seed, epoch).join(_names(categories, "of", "label"), "of")
     one = _item(F.col("boxes"), F.lit(LEARN), _learn(F.col("label")), F.lit("common"))
-    return boxed.select("category_id", "side", one.alias("item"))
+    made = boxed.select("category_id", one.alias("item"))
+    return draws.join(made, "category_id", "left").select(
+        "category_id", "side", "item",
+        F.when(F.col("of").isNull(), F.lit(NO_NEIGHBOUR)).when(F.col("item").isNull(), F.lit(NO_IMAGE)).alias("problem"),
+    )
 
 
 def episodes(
@@ -142,7 +178,8 @@ def episodes(
 
     A positive, a negative, 2 x (shot - 1) shuffled ones, then the query: half of the time the
     category under its word, a quarter the word on an image of the neighbour (absent), a quarter
-    the neighbour by its own name. Categories for which a part cannot be drawn are left out.
+    the neighbour by its own name. Every usable category gives a row; where a part cannot be drawn
+    `items` is null and `problem` says why.
     """
     key = [seed, epoch, F.col("category_id")]
     chosen = choose_neighbour(categories, annotations, neighbors, seed, epoch)
@@ -180,4 +217,9 @@ def episodes(
     listed = boxed.groupBy("category_id").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
     part = lambda n: F.transform(F.filter("_e", lambda e: e["part"] == n), lambda e: e["item"])
     items = F.concat(part(0), shuffled(part(1), *key, "order"), part(2))
-    return listed.where(F.size("_e") == 2 * shot + 1).select("category_id", items.alias("items"))
+    whole = listed.where(F.size("_e") == 2 * shot + 1).select("category_id", items.alias("items"))
+    every = usable_categories(categories, annotations).select(F.col("id").alias("category_id"))
+    return every.join(chosen, "category_id", "left").join(whole, "category_id", "left").select(
+        "category_id", "items",
+        F.when(F.col("neighbor_id").isNull(), F.lit(NO_NEIGHBOUR)).when(F.col("items").isNull(), F.lit(NO_IMAGE)).alias("problem"),
+    )

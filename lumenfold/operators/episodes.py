@@ -283,8 +283,8 @@ def eval_index_from_lists(classes: DataFrame, sample_per_class: int = 0) -> Data
 
 
 def eval_single(index: DataFrame, classes: DataFrame, shot: int) -> DataFrame:
-    """Class name, its first context images and the test image."""
-    known = classes.select("class_id", F.lower("class_name").alias("label"), F.slice("context_samples", 1, shot).alias("context"))
+    """Class name, its first `shot` context images and the test image; fewer images are an error."""
+    known = classes.select("class_id", F.lower("class_name").alias("label"), _enough(F.col("context_samples"), shot).alias("context"))
     return index.join(known, "class_id")
 
 

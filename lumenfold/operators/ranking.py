@@ -14,13 +14,25 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.draws import SPAN60
 
-HASH_RANGES = 128  # per group: tasks a hot group is spread over; small groups pay one count row per range used
+RANGE_ROWS = 65536  # rows that one range of the largest group holds, about
 CUT_RANGES = 1 << 16  # over a whole table
 
 
-def hash_range(order: Column, ranges: int = HASH_RANGES) -> Column:
+def hash_range(order: Column, ranges: Column | int) -> Column:
     """Range number of a 60-bit hash; hashes are uniform, so ranges are even."""
-    return F.floor(order / F.lit(SPAN60 // ranges)).cast("bigint")
+    width = F.lit(SPAN60 // ranges) if isinstance(ranges, int) else F.lit(float(SPAN60)) / ranges
+    return F.floor(order / width).cast("bigint")
+
+
+def ranges_for(df: DataFrame, groups: Sequence[str], rows: int = RANGE_ROWS) -> Column:
+    """How many ranges leave about `rows` rows of the largest group in each; counted, one value."""
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.coalesce(F.ceil(F.max("_n") / F.lit(rows)), F.lit(1)).cast("double").alias("_k")).scalar()
+
+
+def rank_by_hash(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """`with_rank` over a 60-bit hash, the first order column, in as many ranges as the largest group needs."""
+    return with_rank(df, groups, order, hash_range(F.col(order[0]), ranges_for(df, groups, rows)), out)
 
 
 def block_range(row_id: Column, block: int = 65536) -> Column:

@@ -196,18 +196,37 @@ def ranked_neighbours(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_sizes(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
-    """`image_id, path, width, height` of image files; `folder` names the prefix that records omit."""
-    rows = spark.read.format("image").option("dropInvalid", True).load(path).select(
-        F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height")
+    """`image_id, path, width, height, problem` of image files; `folder` names the prefix that records omit.
+
+    A file that is no readable image keeps its row: its sizes are null and `problem` says so.
+    """
+    good = F.col("image.width") > 0
+    rows = spark.read.format("image").option("dropInvalid", False).load(path).select(
+        F.col("image.origin").alias("path"),
+        F.when(good, F.col("image.width")).alias("width"),
+        F.when(good, F.col("image.height")).alias("height"),
+        F.when(~good, F.lit("unreadable image")).alias("problem"),
     )
     name = F.element_at(F.split("path", "/"), -1) if folder is None else F.substring_index(F.col("path"), folder.rstrip("/") + "/", -1)
-    return rows.select(name.alias("image_id"), "path", "width", "height")
+    return rows.select(name.alias("image_id"), "path", "width", "height", "problem")
 
 
 def image_path(folder: str | None, path: Column) -> Column:
     return path if folder is None else F.concat_ws("/", F.lit(folder.rstrip("/")), path)
 
 
-def with_sizes(items: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Items with the width and height of their image."""
-    return items.join(sizes.select(F.col("image_id").alias("image"), "width", "height"), "image", "left")
+def with_sizes(items: DataFrame, sizes: DataFrame, on_error: str = "raise") -> DataFrame:
+    """Items with the width and height of their image.
+
+    An item that names an image without a size is an error; with `on_error="flag"` the column
+    `size_problem` tells it from the others.
+    """
+    if on_error not in ("raise", "flag"):
+        raise ValueError(f"on_error is 'raise' or 'flag': {on_error}")
+    known = sizes.select(F.col("image_id").alias("image"), "width", "height")
+    joined = items.join(known, "image", "left")
+    missing = F.col("image").isNotNull() & F.col("width").isNull()
+    if on_error == "flag":
+        return joined.withColumn("size_problem", F.when(missing, F.lit("image without a size")))
+    stop = F.raise_error(F.concat(F.lit("image without a size: "), F.col("image"))).cast("int")
+    return joined.withColumn("width", F.when(missing, stop).otherwise(F.col("width")))

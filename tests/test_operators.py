@@ -12,7 +12,7 @@ from lumenfold.operators import classes as cls
 from lumenfold.operators import convert, detection, episodes, metrics, mixing
 from lumenfold.operators.conversations import validate
 from lumenfold.operators.entities import flatten_sentences
-from lumenfold.operators.ranking import block_range, hash_range, with_rank
+from lumenfold.operators.ranking import block_range, hash_range, rank_by_hash, ranges_for, with_rank
 from lumenfold.plans import corpora
 from lumenfold.sources import readers, sinks
 from lumenfold.streaming.rows import convert_stream, read_record_stream
@@ -168,6 +168,10 @@ def test_rank_of_a_hot_group(spark):
     for g in {r.g for r in got}:
         ordered = sorted((r for r in got if r.g == g), key=lambda r: r.h)
         assert [r["rank"] for r in ordered] == list(range(len(ordered)))
+    # Ranges follow the largest group.
+    by_hash = rank_by_hash(df, ["g"], ["h"], "rank", rows=100).collect()
+    assert sorted((r.id, r["rank"]) for r in by_hash) == sorted((r.id, r["rank"]) for r in got)
+    assert df.select(ranges_for(df, ["g"], 100).alias("n")).first().n == 26
     total = with_rank(df, [], ["id"], block_range(F.col("id"), 100)).collect()
     assert all(r["rank"] == r.id for r in total)
 
@@ -276,6 +280,20 @@ def test_train_pair_bins_are_checked(spark):
         cls.train_pairs(ranked, images, 36, 1, n_classes=36)
 
 
+def test_train_pairs_name_classes_without_images(spark):
+    ids = ["a", "b", "c", "d"]
+    rows = [(x, n, y) for x in ids for n, y in enumerate([x] + [y for y in ids if y != x])]
+    ranked = spark.createDataFrame(rows, "class_id string, rank int, neighbor_id string")
+    images = spark.createDataFrame([(x, f"name {x}", f"{x}{n}") for x in ids[:3] for n in range(3 if x != "c" else 1)], "class_id string, class_name string, image string")
+    got = {r.class_id: r for r in cls.train_pairs(ranked, images, 2, 2, strict=False).collect()}
+    assert set(got) == set(ids) and got["d"].problem == "no images" and got["c"].problem == "fewer than 2 images"
+    for r in got.values():
+        full = sum(n.img is not None for n in r.neighbors) == 2
+        assert len(r.neighbors) == 2 and (r.problem is None) == (full and r.class_id in "ab")
+    with pytest.raises(Exception, match="class d: no images|fewer than 2"):
+        cls.train_pairs(ranked, images, 2, 2).collect()
+
+
 def test_chunked_class_lists_keep_every_image(spark):
     df = spark.range(25).select(F.lit("c").alias("class_id"), F.lit("n").alias("class_name"), F.col("id").alias("pos"), F.concat(F.lit("i"), "id").alias("image"))
     rows = cls.list_records(df, ["pos"], 10, "images").orderBy("chunk").collect()
@@ -299,11 +317,13 @@ def test_detection_episode(spark):
     cats, ann, images, nb, expired = detection_tables(spark)
     assert [r.id for r in detection.usable_categories(cats, ann).orderBy("id").collect()] == [1, 2, 3]
     chosen = {r.category_id: r.neighbor_id for r in detection.choose_neighbour(cats, ann, nb).collect()}
-    assert chosen[1] in (2, 3) and chosen[2] == 3 and 3 not in chosen
-    assert {r.id for r in detection.without_neighbour(cats, detection.choose_neighbour(cats, ann, nb)).collect()} == {3, 4}
+    # The only neighbour of 3 has no image, so it gets any other usable category.
+    assert chosen[1] in (2, 3) and chosen[2] == 3 and chosen[3] in (1, 2)
+    assert {r.id for r in detection.without_neighbour(cats, detection.choose_neighbour(cats, ann, nb)).collect()} == {4}
     kinds = set()
     for epoch in range(12):
         for r in detection.episodes(cats, ann, images, nb, expired, ["find <expr>"], 2, epoch=epoch).collect():
+            assert r["problem"] is None
             *support, query = r["items"]
             assert len(support) == 4 and support[0]["mode"] == "hypnotized_v1.0" and query["mode"] == "hypnotized_v1.1"
             assert all(i["image"] != "3.jpg" for i in r["items"])
@@ -316,6 +336,21 @@ def test_detection_episode(spark):
     assert kinds == {("<boxes>.", True), ("<boxes>.", False), ("The target object does not exist.", True)}
 
 
+def test_detection_gives_a_row_or_a_reason_for_every_usable_category(spark):
+    cats, ann, images, nb, _ = detection_tables(spark)
+    expired = spark.createDataFrame([(2,)], "image_id bigint")  # the only image of 3
+    full = ann.unionByName(spark.createDataFrame([(9, 1, 1, [1.0, 1.0, 2.0, 2.0]), (10, 1, 3, [1.0, 1.0, 2.0, 2.0])], ann.schema))
+    for epoch in range(6):
+        made = {r.category_id: r for r in detection.episodes(cats, ann, images, nb, expired, ["find <expr>"], 2, epoch=epoch).collect()}
+        assert set(made) == {1, 2, 3} and made[3].problem == made[2].problem == detection.NO_IMAGE and made[3]["items"] is None
+        single = {r.category_id: r for r in detection.plain_items(cats, ann, images, nb, expired, epoch=epoch).collect()}
+        assert set(single) == {1, 2, 3} and all((r["item"] is None) == (r.problem is not None) for r in single.values())
+        # An image that shows every usable category leaves nothing to choose.
+        one_image = full.where("image_id = 1")
+        none = detection.episodes(cats, one_image, images, nb, expired, ["find <expr>"], 2, epoch=epoch).collect()
+        assert {(r.category_id, r.problem) for r in none} == {(c, detection.NO_NEIGHBOUR) for c in (1, 2, 3)}
+
+
 # Metrics.
 
 
@@ -384,6 +419,28 @@ def test_image_sizes(spark, tmp_path):
     (tmp_path / "sub" / "a.png").write_bytes(_png(7, 5))
     assert tuple(readers.image_sizes(spark, str(tmp_path / "sub")).select("image_id", "width", "height").first()) == ("a.png", 7, 5)
     assert readers.image_sizes(spark, str(tmp_path / "sub"), folder=str(tmp_path)).first().image_id == "sub/a.png"
+    (tmp_path / "sub" / "b.png").write_bytes(b"no image")
+    sizes = readers.image_sizes(spark, str(tmp_path / "sub"))
+    assert {tuple(r) for r in sizes.select("image_id", "width", "problem").collect()} == {("a.png", 7, None), ("b.png", None, "unreadable image")}
+    items = spark.createDataFrame([("a.png",), ("b.png",), ("c.png",), (None,)], "image string")
+    flagged = {r.image: (r.width, r.size_problem is not None) for r in readers.with_sizes(items, sizes, "flag").collect()}
+    assert flagged == {"a.png": (7, False), "b.png": (None, True), "c.png": (None, True), None: (None, False)}
+    with pytest.raises(Exception, match="image without a size"):
+        readers.with_sizes(items, sizes).collect()
+
+
+def test_scratch_folder(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from lumenfold.session import scratch_dir
+
+    assert scratch_dir(spark, str(tmp_path)).startswith(str(tmp_path))
+    assert scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    context = lambda master, folder: SimpleNamespace(master=master, getCheckpointDir=lambda: folder)
+    bare = lambda master, folder=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context(master, folder))
+    assert scratch_dir(bare("spark://host:7077", "hdfs:/shared")).startswith("hdfs:/shared/")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(bare("spark://host:7077"))
 
 
 def test_templates(spark, tmp_path):
