@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from checks.base import load, order60, query, rank32, template_sql, word_sql
+from checks.base import load, order60, query, rank32, show_boxes, show_seq, template_sql, word_sql
 from checks.classes import CONTEXT, SAMPLES, SPLIT_SQL, TRAIN_SQL, class_vectors, train_records
 from checks.convert import FIND, records
 from lumenfold.functions.draws import cdf_thresholds
@@ -117,13 +117,13 @@ def two_way_ref_legacy(spark, sf):
     return _long(ep.two_way_ref(train_records(spark, sf), 5, legacy=True))
 
 
-@query("C7", f"""with {DRAWN_SQL} select class_id, {rank32(*KEY, '=kind')}%2=1 weighted, case when {rank32(*KEY, '=kind')}%2=1 then 11 else 2*{_REF}+1 end n_items,
-       case when {rank32(*KEY, '=kind')}%2=1 then {template_sql(QUERIES_TEXT, *KEY)} else {_SAME} end question from nbd""", ["vectors"])
+_KIND_BIT = f"{rank32(*KEY, '=kind')}%2"
+
+
+@query("C7", f"""select * from (with {_weight_sql('5')}{_ALL}) w where {_KIND_BIT}=1 union all
+select * from (with {_ref_sql(False)}{_ALL}) r where {_KIND_BIT}=0""", ["vectors"])
 def two_way_ref_or_weight(spark, sf):
-    df = ep.two_way_ref_or_weight(train_records(spark, sf), QUERIES_TEXT, 5)
-    last = F.element_at("items", -1)
-    return df.select("class_id", F.contains(F.col("items")[0]["answer"], F.lit("there is")).alias("weighted"),
-                     F.size("items").cast("bigint").alias("n_items"), last["question"].alias("question"))
+    return _long(ep.two_way_ref_or_weight(train_records(spark, sf), QUERIES_TEXT, 5))
 
 
 # Puzzle plans over the images of the orders.
@@ -149,11 +149,17 @@ def tile_plan(spark, sf):
     return df.select("class_id", "pos", "t.*")
 
 
-@query("C8", f"""with {_PLAN} select image_id class_id, count(*)+1 n_items, 'The order is: ['||string_agg('['||tc||', '||tr||']', ', ' order by pos)||'].' answer
+_PIECE = "[BEGIN EXAMPLE] This image <image> is a puzzle piece."
+_PUZZLE = ("Using the puzzle pieces provided above to piece together this image <image>, "
+           "and provide the coordinates of each piece on the image coordinate system in order.")
+
+
+@query("C8", f"""with {_PLAN} select image_id class_id, pos::integer pos, 'img_'||image_id||'#'||(tc*tw)||','||(tr*th)||','||((tc+1)*tw)||','||((tr+1)*th) image,
+       '{_PIECE}' question, '[END EXAMPLE]' answer, case when pos=0 then 'causal_v1.0' else 'hypnotized_ans_v1.0' end as "mode" from o union all
+select image_id, count(*)::integer, 'img_'||image_id, '{_PUZZLE}', 'The order is: ['||string_agg('['||tc||', '||tr||']', ', ' order by pos)||'].', 'final_v1.0'
        from o group by image_id""", ["images"])
 def jigsaw(spark, sf):
-    df = ep.jigsaw(_images(spark, sf))
-    return df.select("class_id", F.size("items").cast("bigint").alias("n_items"), F.element_at("items", -1)["answer"].alias("answer"))
+    return _long(ep.jigsaw(_images(spark, sf)))
 
 
 # Evaluation episodes: classes in line order, context and test images in hash order.
@@ -212,10 +218,14 @@ def pair_two_way(spark, sf):
     return out.select("row_id", F.posexplode_outer("items").alias("slot", "i")).select("row_id", "slot", "i.image", "i.answer", "i.mode")
 
 
-@query("C19", f"select row_id, replace({template_sql(FIND, 0, 'row_id')},'<expr>','the '||word) q, n::integer slot from records, range(4) t(n)", ["records"])
+@query("C19", f"""select row_id, n::integer slot, 'img_'||id_text||'.jpg' image, ax1||','||ay1||','||ax2||','||ay2 boxes,
+       'human: '||replace({template_sql(FIND, 0, 'row_id')},'<expr>','the '||word)||'|gpt: Answer: <boxes> .' said, '0' a_boxes from records, range(4) t(n)""", ["records"])
 def repeat_item(spark, sf):
     df = ep.repeat_item(convert.rec(records(spark, sf), FIND), 2)
-    return df.select("row_id", F.posexplode_outer("items").alias("slot", "i")).select("row_id", F.col("i.conversations")[0]["value"].alias("q"), "slot")
+    turns = F.transform("i.conversations", lambda t: F.concat(t["from"], F.lit(": "), t["value"]))
+    return df.select("row_id", F.posexplode_outer("items").alias("slot", "i")).select(
+        "row_id", "slot", "i.image", show_boxes(F.col("i.target.boxes")).alias("boxes"), F.array_join(turns, "|").alias("said"),
+        show_seq(F.col("i.conversations")[1]["boxes_seq"]).alias("a_boxes"))
 
 
 @query("C20", """

@@ -191,35 +191,44 @@ def truncate_protected(spark, sf):
     return df.select("doc_id", size.alias("n_kept"), F.md5(F.array_join("k", " ")).alias("kept"), F.col("k").isNull().alias("too_many"))
 
 
-@query("F12", """
-with t as (select doc_id, doc_id//16 batch_id, list_transform(string_split(text,' '), lambda x: length(x)) ids from documents),
-w as (select *, max(len(ids)) over (partition by batch_id) width from t)
-select doc_id, batch_id, width, width-len(ids) padded, list_sum(ids)::bigint sum_ids, (list_sum(ids)-100*(width-len(ids)))::bigint sum_labels from w""")
+# Whole arrays as text, so that order, sides and every value are compared.
+_IDS_SQL = "list_transform(string_split(text,' '), lambda x: length(x))"
+_show_sql = lambda ids: f"md5(array_to_string({ids},','))"
+_show = lambda ids: F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","))
+
+
+@query("F12", f"""
+with t as (select doc_id, doc_id//16 batch_id, {_IDS_SQL} ids from documents),
+w as (select *, max(len(ids)) over (partition by batch_id) width from t),
+p as (select *, list_transform(range(width-len(ids)), lambda x: 0) zeros, list_transform(range(width-len(ids)), lambda x: -100) skipped from w)
+select doc_id, batch_id, width, {_show_sql("ids||zeros")} input_ids, {_show_sql("list_transform(ids, lambda x: 1)||zeros")} attention_mask,
+       {_show_sql("ids||skipped")} labels from p""")
 def pad_batches(spark, sf):
     ids = F.transform("tokens", lambda t: F.length(t))
     df = _tokens(spark, sf).select(
         "doc_id", ids.alias("input_ids"), F.transform(ids, lambda x: F.lit(1)).alias("attention_mask"), ids.alias("labels"))
     out = tokens.pad_batches(df, 16, 0, row_id="doc_id")
-    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    size = F.size("input_ids").cast("bigint")
-    return out.select("doc_id", "batch_id", size.alias("width"), (size - total("attention_mask")).alias("padded"),
-                      total("input_ids").alias("sum_ids"), total("labels").alias("sum_labels"))
-
-
-@query("F9", """
-with t as (select doc_id//3 ep, doc_id%3 k, list_transform(string_split(text,' '), lambda x: length(x)) ids, count(*) over (partition by doc_id//3) m from documents)
-select ep, sum(case when k=0 or k=m-1 then len(ids) else len(ids)-1 end)::bigint n_tokens,
-       sum(case when k=0 or k=m-1 then list_sum(ids) else list_sum(ids[:-2]) end)::bigint sum_ids,
-       (-100*sum(case when k=m-1 then 0 when k=0 then len(ids) else len(ids)-1 end)+sum(case when k=m-1 then list_sum(ids) else 0 end))::bigint sum_labels
-from t group by ep""")
+    return out.select("doc_id", "batch_id", F.size("input_ids").cast("bigint").alias("width"),
+                      *[_show(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
+@query("F9", f"""
+with t as (select doc_id//3 ep, doc_id%3 k, {_IDS_SQL} ids, count(*) over (partition by doc_id//3) m from documents),
+c as (select ep, k, k=m-1 final, case when k=0 or k=m-1 then ids else ids[:-2] end ids from t),
+l as (select *, case when final then ids else list_transform(ids, lambda x: -100) end labels, list_transform(ids, lambda x: x+1000) mask from c)
+select ep, sum(len(ids))::bigint n_tokens, {_show_sql("flatten(list(ids order by k))")} input_ids,
+       {_show_sql("flatten(list(mask order by k))")} attention_mask, {_show_sql("flatten(list(labels order by k))")} labels
+from l group by ep""")
 def concat_episode(spark, sf):
+    """The mask carries ids plus 1000, to tell it from the ids."""
     ids = F.transform("tokens", lambda t: F.length(t))
     df = _tokens(spark, sf).select(F.floor(F.col("doc_id") / 3).alias("ep"), (F.col("doc_id") % 3).alias("k"), ids.alias("ids"))
-    item = F.struct("k", F.col("ids").alias("input_ids"), F.col("ids").alias("attention_mask"), F.col("ids").alias("labels"))
+    mask = F.transform("ids", lambda x: x + 1000)
+    item = F.struct("k", F.col("ids").alias("input_ids"), mask.alias("attention_mask"), F.col("ids").alias("labels"))
     items = df.groupBy("ep").agg(F.array_sort(F.collect_list(item)).alias("items"))
     out = items.select("ep", tokens.concat_episode(F.col("items")).alias("s"))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return out.select("ep", F.size("s.input_ids").cast("bigint").alias("n_tokens"), total("s.input_ids").alias("sum_ids"), total("s.labels").alias("sum_labels"))
+    return out.select("ep", F.size("s.input_ids").cast("bigint").alias("n_tokens"),
+                      *[_show(F.col(f"s.{c}")).alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
 @query("F10", """select doc_id, string_split(text,' ')[-1]||'|'||string_split(text,' ')[1]||'|'||string_split(text,' ')[-1] images from documents""")
@@ -230,12 +239,11 @@ def reorder_images(spark, sf):
     return _tokens(spark, sf).select("doc_id", F.array_join(tokens.reorder_images(F.col("tokens"), turns), "|").alias("images"))
 
 
-@query("F15", """select doc_id, list_sum(list_transform(string_split(text,' '), lambda x: case when length(x)%5=0 then 7 else length(x) end))::bigint sum_ids
+@query("F15", f"""select doc_id, {_show_sql("list_transform(string_split(text,' '), lambda x: case when length(x)%5=0 then 7 else length(x) end)")} ids
        from documents""")
 def negatives_to_pad(spark, sf):
     ids = F.transform("tokens", lambda t: F.when(F.length(t) % 5 == 0, F.lit(-100)).otherwise(F.length(t)))
-    out = tokens.negatives_to_pad(ids, 7)
-    return _tokens(spark, sf).select("doc_id", F.aggregate(out, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_ids"))
+    return _tokens(spark, sf).select("doc_id", _show(tokens.negatives_to_pad(ids, 7)).alias("ids"))
 
 
 @query("F16", """select doc_id, case doc_id%4 when 1 then 'end token does not follow the patches' when 2 then 'start and end counts differ' end problem
