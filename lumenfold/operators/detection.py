@@ -95,8 +95,8 @@ def draw_images(draws: DataFrame, annotations: DataFrame, expired: DataFrame, se
     """A random image that is not expired per draw (`category_id, side, slot, of`; `of` = category drawn from).
 
     Images are ranked once per category and a draw is a rank, so the work does not grow with the
-    number of episodes that share a category. Draws from categories without images are not among the
-    result; the callers give such an item or episode its `problem`.
+    number of episodes that share a category. Draws from no category, or from one without images,
+    get a null `image_id`; other columns of `draws` are kept.
     """
     pool = annotations.select("category_id", "image_id").distinct().join(expired, "image_id", "left_anti")
     pool = pool.select(F.col("category_id").alias("of"), "image_id")
@@ -104,17 +104,20 @@ def draw_images(draws: DataFrame, annotations: DataFrame, expired: DataFrame, se
     ranked = rank_by_hash(hashed, ["of"], ["_h", "image_id"], "_at").drop("_h")
     sizes = pool.groupBy("of").agg(F.count(F.lit(1)).alias("_size"))
     at = F.pmod(rank32(seed, epoch, F.col("category_id"), F.col("side"), F.col("slot"), "image"), F.col("_size"))
-    return draws.join(sizes, "of").withColumn("_at", at).join(ranked, ["of", "_at"]).drop("_at", "_size")
+    return draws.join(sizes, "of", "left").withColumn("_at", at).join(ranked, ["of", "_at"], "left").drop("_at", "_size")
 
 
 def with_boxes(drawn: DataFrame, annotations: DataFrame, images: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:
-    """Adds file name, size and boxes of the drawn category. Query draws get all boxes of that image, others one."""
+    """Adds file name, size and boxes of the drawn category. Query draws get all boxes of that image, others one.
+
+    `boxes` is null for a draw without an image, or with an image that `images` does not have.
+    """
     marks = annotations.select(F.col("category_id").alias("of"), "image_id", F.col("id").alias("_ann"), "bbox")
     sized = images.select(F.col("id").alias("image_id"), "file_name", "width", "height")
-    keys = ["category_id", "side", "slot", "of", "image_id", "file_name", "width", "height"]
+    keys = [*drawn.columns, "file_name", "width", "height"]
     boxed = (
-        drawn.join(marks, ["of", "image_id"])
-        .join(sized, "image_id")
+        drawn.join(marks, ["of", "image_id"], "left")
+        .join(sized, "image_id", "left")
         .withColumn("_box", clean_box(xywh_to_xyxy(F.col("bbox")), F.col("width"), F.col("height")))
     )
     entry = F.struct("_ann", "_box")
@@ -125,7 +128,7 @@ def with_boxes(drawn: DataFrame, annotations: DataFrame, images: DataFrame, seed
         F.min_by(F.col("_box"), F.when(~is_query, draw)).alias("_one"),
     )
     boxes = F.when(is_query, F.transform("_all", lambda e: e["_box"])).otherwise(F.array("_one"))
-    return grouped.select(*keys, boxes.alias("boxes"))
+    return grouped.select(*keys, F.when(F.col("file_name").isNotNull(), boxes).alias("boxes"))
 
 
 def _item(boxes: Column, question: Column, answer: Column, mode: Column) -> Column:
@@ -160,13 +163,12 @@ def plain_items(
         F.lit(0).alias("slot"),
         F.when(positive, F.col("category_id")).otherwise(F.col("neighbor_id")).alias("of"),
     )
-    drawn = draw_images(draws.where("of is not null"), annotations, expired, seed, epoch)
-    boxed = with_boxes(drawn, annotations, images, seed, epoch).join(_names(categories, "of", "label"), "of")
+    drawn = draw_images(draws, annotations, expired, seed, epoch)
+    boxed = with_boxes(drawn, annotations, images, seed, epoch).join(_names(categories, "of", "label"), "of", "left")
     one = _item(F.col("boxes"), F.lit(LEARN), _learn(F.col("label")), F.lit("common"))
-    made = boxed.select("category_id", one.alias("item"))
-    return draws.join(made, "category_id", "left").select(
-        "category_id", "side", "item",
-        F.when(F.col("of").isNull(), F.lit(NO_NEIGHBOUR)).when(F.col("item").isNull(), F.lit(NO_IMAGE)).alias("problem"),
+    return boxed.select(
+        "category_id", "side", F.when(F.col("boxes").isNotNull(), one).alias("item"),
+        F.when(F.col("of").isNull(), F.lit(NO_NEIGHBOUR)).when(F.col("boxes").isNull(), F.lit(NO_IMAGE)).alias("problem"),
     )
 
 
@@ -189,9 +191,12 @@ def episodes(
     query_of = F.when(kind < 2, F.col("category_id")).otherwise(F.col("neighbor_id"))
     query = F.array(F.struct(F.lit("query").alias("side"), F.lit(-1).alias("slot"), query_of.alias("of")))
     wanted = F.concat(side("pos", F.col("category_id")), side("neg", F.col("neighbor_id")), query)
-    draws = chosen.select("category_id", F.explode(wanted).alias("d")).select("category_id", "d.*")
+    every = usable_categories(categories, annotations).select(F.col("id").alias("category_id"))
+    draws = every.join(chosen, "category_id", "left").select(
+        "category_id", F.col("neighbor_id").isNull().alias("alone"), F.explode(wanted).alias("d")
+    ).select("category_id", "alone", "d.*")
     drawn = draw_images(draws, annotations, expired, seed, epoch)
-    boxed = with_boxes(drawn, annotations, images, seed, epoch).join(_names(categories, "of", "label"), "of")
+    boxed = with_boxes(drawn, annotations, images, seed, epoch).join(_names(categories, "of", "label"), "of", "left")
 
     word = random_word(4, 10, *key)
     is_query, is_pos = F.col("side") == "query", F.col("side") == "pos"
@@ -214,12 +219,13 @@ def episodes(
         "slot",
         one.alias("item"),
     )
-    listed = boxed.groupBy("category_id").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    listed = boxed.groupBy("category_id", "alone").agg(
+        F.array_sort(F.collect_list(F.when(F.col("boxes").isNotNull(), entry))).alias("_e")
+    )
     part = lambda n: F.transform(F.filter("_e", lambda e: e["part"] == n), lambda e: e["item"])
     items = F.concat(part(0), shuffled(part(1), *key, "order"), part(2))
-    whole = listed.where(F.size("_e") == 2 * shot + 1).select("category_id", items.alias("items"))
-    every = usable_categories(categories, annotations).select(F.col("id").alias("category_id"))
-    return every.join(chosen, "category_id", "left").join(whole, "category_id", "left").select(
-        "category_id", "items",
-        F.when(F.col("neighbor_id").isNull(), F.lit(NO_NEIGHBOUR)).when(F.col("items").isNull(), F.lit(NO_IMAGE)).alias("problem"),
+    whole = F.size("_e") == 2 * shot + 1
+    return listed.select(
+        "category_id", F.when(whole, items).alias("items"),
+        F.when(F.col("alone"), F.lit(NO_NEIGHBOUR)).when(~whole, F.lit(NO_IMAGE)).alias("problem"),
     )

@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.draws import cdf_thresholds, order60, rank32
@@ -18,6 +18,7 @@ from lumenfold.operators.ranking import block_range, first_by_hash, with_rank
 
 FIRST = "first_exhausted"
 ALL = "all_exhausted"
+TURNS = 4096  # copies of one row that one task makes at a time
 
 
 def stack(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -47,7 +48,8 @@ def interleave(dfs: Sequence[DataFrame], stopping: str = FIRST, sizes: Sequence[
     """Rows of all sources in turn.
 
     `first_exhausted` stops with the shortest set: a filter on row ids, no shuffle.
-    `all_exhausted` runs to the longest; shorter sets start over, each row being copied to its rounds.
+    `all_exhausted` runs to the longest; shorter sets start over, each row being copied to its rounds
+    where it is, without a join.
     """
     sizes = list(sizes) if sizes is not None else lengths(dfs)
     k = len(dfs)
@@ -63,12 +65,19 @@ def interleave(dfs: Sequence[DataFrame], stopping: str = FIRST, sizes: Sequence[
     rounds = max(sizes)
 
     def cycled(df: DataFrame, n: int) -> DataFrame:
-        if sizes[n] == rounds:
+        size = sizes[n]
+        if size == rounds:
             return df.withColumn("mix_id", F.col("row_id") * k + n)
-        repeats = df.sparkSession.range(rounds).select(
-            F.col("id").alias("_round"), (F.col("id") % sizes[n]).alias("row_id")
-        )
-        return repeats.join(df, "row_id").withColumn("mix_id", F.col("_round") * k + n).drop("_round")
+        # A row stands in rounds row_id, row_id + size, ...: chunks of turns first, then the turns of a chunk.
+        turns = F.floor((F.lit(rounds - 1) - F.col("row_id")) / F.lit(size)).cast("bigint") + 1
+        chunks = df.withColumn("_turns", turns).select(
+            "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_turns") - 1) / TURNS))).alias("_chunk"))
+        if rounds > size * TURNS:
+            # Few rows, many turns each: chunks are dealt out, fewer than one for TURNS / 2 rows of the result.
+            chunks = chunks.repartition("row_id", "_chunk")
+        inside = F.sequence(F.col("_chunk") * TURNS, F.least((F.col("_chunk") + 1) * TURNS, F.col("_turns")) - 1)
+        copies = chunks.select("*", F.explode(inside).alias("_turn"))
+        return copies.withColumn("mix_id", (F.col("row_id") + F.col("_turn") * size) * k + n).drop("_turns", "_chunk", "_turn")
 
     return stack([cycled(d, n) for n, d in enumerate(dfs)])
 
@@ -93,14 +102,33 @@ def draw_plan(
         if (any(done) if stopping == FIRST else all(done)):
             break
         steps *= 2
-    ranked = with_rank(draws, ["source"], ["mix_id"], block_range(F.col("mix_id")), out="_taken")
+    block = block_range(F.col("mix_id"))
     sized = spark.createDataFrame([(n, int(s)) for n, s in enumerate(sizes)], "source int, _size bigint")
-    ranked = ranked.join(F.broadcast(sized), "source")  # one row per source of the mixture spec
-    last = ranked.where(F.col("_taken") == F.col("_size") - 1)
-    stop = last.agg((F.min if stopping == FIRST else F.max)("mix_id"))
-    return ranked.where(F.col("mix_id") <= stop.scalar()).select(
-        "mix_id", "source", (F.col("_taken") % F.col("_size")).alias("row_id")
+    sized = F.broadcast(sized)  # one row per source of the mixture spec
+    stop = _stop(draws, block, sized, stopping)
+    ranked = with_rank(draws.where(F.col("mix_id") <= stop), ["source"], ["mix_id"], block, out="_taken")
+    return ranked.join(sized, "source").select("mix_id", "source", (F.col("_taken") % F.col("_size")).alias("row_id"))
+
+
+def _stop(draws: DataFrame, block: Column, sized: DataFrame, stopping: str) -> Column:
+    """The step that exhausts the first set, or the last one, as one value.
+
+    Counts per block and source say in which block a source runs out; only those blocks, one per
+    source, are ranked.
+    """
+    counts = draws.withColumn("_block", block).groupBy("source", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = (
+        counts.withColumn("_upto", F.sum("_n").over(upto))
+        .join(sized, "source")
+        .where((F.col("_upto") >= F.col("_size")) & (F.col("_upto") - F.col("_n") < F.col("_size")))
+        .select("source", "_block", (F.col("_size") - F.col("_upto") + F.col("_n")).alias("_left"))
     )
+    # One row per source at most.
+    inside = draws.withColumn("_block", block).join(F.broadcast(edges), ["source", "_block"])
+    at = F.row_number().over(Window.partitionBy("source", "_block").orderBy("mix_id"))
+    last = inside.withColumn("_r", at).where(F.col("_r") == F.col("_left"))
+    return last.agg((F.min if stopping == FIRST else F.max)("mix_id")).scalar()
 
 
 def _draws(spark: SparkSession, steps: int, probabilities: Sequence[float], seed: int) -> DataFrame:
