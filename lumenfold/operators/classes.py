@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.draws import order60, rank32
-from lumenfold.operators.ranking import first_by_hash, rank_by_hash, top_n
+from lumenfold.operators.ranking import first_by_hash, pick_by_rank, rank_by_hash, top_n
 
 NEIGHBOURS = 36
 SAMPLES = 36
@@ -184,18 +184,13 @@ def train_pairs(
     named = images.groupBy("class_id").agg(F.min("class_name").alias("class_name")).select(
         "class_id", F.replace(F.col("class_name"), F.lit("_"), F.lit(" ")).alias("class_name")
     )
-    # The image is drawn by its rank in the neighbour class; ranks are taken per hash range.
-    hashed = images.select("class_id", "image", order60(seed, F.col("class_id"), F.col("image"), "pool").alias("_h"))
-    ranked_images = rank_by_hash(hashed, ["class_id"], ["_h", "image"], "_at")
-    sizes = images.groupBy("class_id").agg(F.count(F.lit(1)).alias("_size"))
-    # Neighbours without images stay, with a null image, and are counted as a problem below.
-    wanted = (
-        chosen.join(named.join(sizes, "class_id").select(F.col("class_id").alias("neighbor_id"), F.col("class_name").alias("_name"), "_size"), "neighbor_id", "left")
-        .withColumn("_at", F.pmod(rank32(seed, F.col("class_id"), F.col("bin"), F.col("neighbor_id"), "img"), F.col("_size")))
-    )
-    drawn = wanted.join(
-        ranked_images.select(F.col("class_id").alias("neighbor_id"), "_at", "image"), ["neighbor_id", "_at"], "left"
-    )
+    # The image is drawn by its rank in the neighbour class. Neighbours without images stay, with a
+    # null image, and are counted as a problem below.
+    pool = images.select(
+        F.col("class_id").alias("neighbor_id"), "image", order60(seed, F.col("class_id"), F.col("image"), "pool").alias("_h"))
+    turn = rank32(seed, F.col("class_id"), F.col("bin"), F.col("neighbor_id"), "img")
+    wanted = chosen.join(named.select(F.col("class_id").alias("neighbor_id"), F.col("class_name").alias("_name")), "neighbor_id", "left")
+    drawn = pick_by_rank(wanted, pool, ["neighbor_id"], ["_h", "image"], lambda size: F.pmod(turn, size)).drop("_h")
     one = F.struct(
         F.col("bin").alias("bin"), F.col("neighbor_id").cast("string").alias("id"),
         F.col("_name").alias("name"), F.col("image").alias("img"),

@@ -17,7 +17,7 @@ from lumenfold import schema as S
 from lumenfold.functions.draws import chance, order60, rank32, random_word, shuffled
 from lumenfold.functions.geometry import clean_box, xywh_to_xyxy
 from lumenfold.functions.text import swap, template
-from lumenfold.operators.ranking import rank_by_hash
+from lumenfold.operators.ranking import pick_by_rank, rank_by_hash
 
 # Texts and modes (fixed values).
 LEARN = "[INSTRUCTION] Please learn from the following sentence about the image <image>."
@@ -94,17 +94,16 @@ def without_neighbour(categories: DataFrame, chosen: DataFrame) -> DataFrame:
 def draw_images(draws: DataFrame, annotations: DataFrame, expired: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:
     """A random image that is not expired per draw (`category_id, side, slot, of`; `of` = category drawn from).
 
-    Images are ranked once per category and a draw is a rank, so the work does not grow with the
-    number of episodes that share a category. Draws from no category, or from one without images,
+    A draw is a rank in its category. Hash ranges are counted, and only those that a draw falls into
+    are ranked. Draws from no category, or from one without images,
     get a null `image_id`; other columns of `draws` are kept.
     """
     pool = annotations.select("category_id", "image_id").distinct().join(expired, "image_id", "left_anti")
     pool = pool.select(F.col("category_id").alias("of"), "image_id")
     hashed = pool.withColumn("_h", order60(seed, F.col("of"), F.col("image_id"), "pool"))
-    ranked = rank_by_hash(hashed, ["of"], ["_h", "image_id"], "_at").drop("_h")
-    sizes = pool.groupBy("of").agg(F.count(F.lit(1)).alias("_size"))
-    at = F.pmod(rank32(seed, epoch, F.col("category_id"), F.col("side"), F.col("slot"), "image"), F.col("_size"))
-    return draws.join(sizes, "of", "left").withColumn("_at", at).join(ranked, ["of", "_at"], "left").drop("_at", "_size")
+    turn = rank32(seed, epoch, F.col("category_id"), F.col("side"), F.col("slot"), "image")
+    at = lambda size: F.pmod(turn, size)
+    return pick_by_rank(draws, hashed, ["of"], ["_h", "image_id"], at).drop("_h")
 
 
 def with_boxes(drawn: DataFrame, annotations: DataFrame, images: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:

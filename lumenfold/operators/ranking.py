@@ -7,7 +7,7 @@ group that holds a third of all rows is spread over as many tasks as it has rang
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +53,34 @@ def with_rank(
     return joined.withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1).drop("_span", "_offset")
 
 
+def pick_by_rank(
+    draws: DataFrame, pool: DataFrame, groups: Sequence[str], order: Sequence[str], at: Callable[[Column], Column],
+    rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """Each draw with the pool row at rank `at(size of its group)`; nulls where the group has no rows.
+
+    The pool is ordered by a 60-bit hash, the first order column. Counts per range give the sizes and
+    say into which range a draw falls; the pool is cut to those ranges before anything is sorted.
+    """
+    cut = pool.withColumn("_span", hash_range(F.col(order[0]), ranges_for(pool, groups, rows)))
+    keys = [*groups, "_span"]
+    counts = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*groups)
+    before = whole.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = counts.select(
+        *[F.col(g).alias(f"_g{g}") for g in groups], "_span", "_n", F.sum("_n").over(whole).alias("_size"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+    )
+    here = at(F.col("_size"))
+    on = [F.col(g) == F.col(f"_g{g}") for g in groups]
+    on += [here >= F.col("_offset"), here < F.col("_offset") + F.col("_n")]
+    asked = draws.join(spans, on, "left").withColumn("_at", here - F.col("_offset")).drop(
+        *[f"_g{g}" for g in groups], "_n", "_size", "_offset")
+    hit = cut.join(asked.select(*keys).distinct(), keys, "left_semi")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return asked.join(hit.withColumn("_at", inside.cast("bigint")), [*keys, "_at"], "left").drop("_span", "_at")
+
+
 def _null_safe(df: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
     right = offsets.select(*[F.col(k).alias(f"_r{k}") for k in keys], "_offset")
     on = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys]
