@@ -151,7 +151,12 @@ def scenes_by_index(spark, sf):
     with_scene.select(F.col("c_custkey").alias("key"), scene.alias("objects")).repartitionByRange(4, F.desc("key")).sortWithinPartitions(F.desc("key")).write.json(path)
     scenes = readers.read_records(spark, path, S.GQA_SCENE)
     keys = readers.read_records(spark, path, "key bigint")
-    index = keys.select(F.concat(F.lit("im"), "key").alias("imageId"), F.col("row_id").alias("line"))
+    # The index is a file too, an object per 100,000 keys.
+    pairs = keys.groupBy(F.floor(F.col("key") / 100000).alias("block")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("im"), "key"), "row_id"))).alias("m"))
+    index_path = scratch_dir(spark)
+    pairs.select("block", F.to_json("m").alias("value")).write.partitionBy("block").text(index_path)
+    index = readers.read_scene_index(spark, index_path).select("imageId", "line")
     questions = df.select(F.col("c_custkey").alias("row_id"), image.alias("imageId"))
     out = readers.scenes_by_index(questions, scenes, index)
     return out.select("row_id", F.col("imageId").alias("image_id"), F.col("objects")["1"]["x"].alias("x"))

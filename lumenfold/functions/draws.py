@@ -56,8 +56,9 @@ def shuffled(values: Column, *key) -> Column:
 
 
 def falling_weight_index(n: Column, *key) -> Column:
-    """Index into a ranked list of length n, drawn with weights n, n-1, ..., 1."""
-    r = F.pmod(rank32(*key), (n * (n + 1) / 2).cast("bigint"))
+    """Index into a ranked list of length n, drawn with weights n, n-1, ..., 1. An empty list is an error."""
+    empty = F.raise_error(F.lit("nothing to draw from: the ranked list is empty")).cast("bigint")
+    r = F.pmod(rank32(*key), F.when(n > 0, (n * (n + 1) / 2).cast("bigint")).otherwise(empty))
     upto = lambda k: (k + 1) * n - k * (k + 1) / 2
     return let(r, lambda drawn: F.size(F.filter(F.sequence(F.lit(0), n - 1), lambda k: upto(k) <= drawn)))
 

@@ -88,7 +88,8 @@ def draw_plan(
     """Which source each step draws from, up to the stop: `mix_id, source, row_id`.
 
     Draws are hashes of the step number. The stop is the step that exhausts the first set (or the
-    last one); how many steps that needs is found by doubling, on counts alone.
+    last one); how many steps that needs is found by doubling, on counts alone, and the stop itself by
+    ranking the blocks where a source runs out.
     """
     _check(sizes, probabilities, stopping)
     combine = min if stopping == FIRST else max
@@ -105,13 +106,13 @@ def draw_plan(
     block = block_range(F.col("mix_id"))
     sized = spark.createDataFrame([(n, int(s)) for n, s in enumerate(sizes)], "source int, _size bigint")
     sized = F.broadcast(sized)  # one row per source of the mixture spec
-    stop = _stop(draws, block, sized, stopping)
-    ranked = with_rank(draws.where(F.col("mix_id") <= stop), ["source"], ["mix_id"], block, out="_taken")
+    draws = _draws(spark, _stop(draws, block, sized, stopping) + 1, probabilities, seed)
+    ranked = with_rank(draws, ["source"], ["mix_id"], block, out="_taken")
     return ranked.join(sized, "source").select("mix_id", "source", (F.col("_taken") % F.col("_size")).alias("row_id"))
 
 
-def _stop(draws: DataFrame, block: Column, sized: DataFrame, stopping: str) -> Column:
-    """The step that exhausts the first set, or the last one, as one value.
+def _stop(draws: DataFrame, block: Column, sized: DataFrame, stopping: str) -> int:
+    """The step that exhausts the first set, or the last one.
 
     Counts per block and source say in which block a source runs out; only those blocks, one per
     source, are ranked.
@@ -128,7 +129,7 @@ def _stop(draws: DataFrame, block: Column, sized: DataFrame, stopping: str) -> C
     inside = draws.withColumn("_block", block).join(F.broadcast(edges), ["source", "_block"])
     at = F.row_number().over(Window.partitionBy("source", "_block").orderBy("mix_id"))
     last = inside.withColumn("_r", at).where(F.col("_r") == F.col("_left"))
-    return last.agg((F.min if stopping == FIRST else F.max)("mix_id")).scalar()
+    return last.agg((F.min if stopping == FIRST else F.max)("mix_id")).first()[0]
 
 
 def _draws(spark: SparkSession, steps: int, probabilities: Sequence[float], seed: int) -> DataFrame:

@@ -120,9 +120,14 @@ def scenes_by_index(questions: DataFrame, scenes: DataFrame | None, index: DataF
 
 
 def read_scene_index(spark: SparkSession, path: str) -> DataFrame:
-    """`{imageId: line}` in one JSON object."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", "map<string,bigint>")).alias("imageId", "line"))
+    """`{imageId: line}` in one JSON object, read in pieces between commas, so that a large file is many tasks.
+
+    A piece that is not one pair, as a key with a comma gives, is an error.
+    """
+    pieces = spark.read.text(path, lineSep=",")
+    pair = F.concat(F.lit("{"), F.regexp_replace("value", r"^\s*\{|\}\s*$", ""), F.lit("}"))
+    parsed = F.from_json(pair, "map<string,bigint>", {"mode": "FAILFAST"})
+    return pieces.select(F.explode(parsed).alias("imageId", "line"))
 
 
 def scenes_by_line(questions: DataFrame, scenes: DataFrame | None) -> DataFrame:

@@ -12,7 +12,7 @@ from lumenfold.operators import classes as cls
 from lumenfold.operators import convert, detection, episodes, metrics, mixing
 from lumenfold.operators.conversations import validate
 from lumenfold.operators.entities import flatten_sentences
-from lumenfold.operators.ranking import block_range, hash_range, rank_by_hash, ranges_for, with_rank
+from lumenfold.operators.ranking import block_range, hash_range, pick_by_rank, rank_by_hash, ranges_for, with_rank
 from lumenfold.plans import corpora
 from lumenfold.sources import readers, sinks
 from lumenfold.streaming.rows import convert_stream, read_record_stream
@@ -481,3 +481,57 @@ def test_stream_equals_batch(spark, tmp_path):
     assert query.exception() is None
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("row_id").collect()
     assert got == job(spark.read.schema(ddl).json(str(tmp_path / "in"))).orderBy("row_id").collect() and len(got) == 20
+
+
+def test_cycles_in_several_chunks_give_the_same_mixture(spark, monkeypatch):
+    sets = [spark.range(n).select(F.col("id").alias("row_id")) for n in (1, 4, 23)]
+    want = [(3 * r + n, n, r % size) for r in range(23) for n, size in enumerate((1, 4, 23))]
+    for turns in (mixing.TURNS, 5):
+        monkeypatch.setattr(mixing, "TURNS", turns)
+        got = mixing.interleave(sets, mixing.ALL).select("mix_id", "source", "row_id").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("rule", [mixing.FIRST, mixing.ALL])
+def test_chance_mixture_over_several_blocks(spark, rule):
+    sizes, p = [70000, 40000], [0.5, 0.5]
+    got = [tuple(r) for r in mixing.draw_plan(spark, sizes, p, 3, rule).orderBy("mix_id").collect()]
+    taken, want, out = [0, 0], [], [False, False]
+    for r in mixing._draws(spark, 200000, p, 3).orderBy("mix_id").collect():
+        n = r["source"]
+        want.append((r["mix_id"], n, taken[n] % sizes[n]))
+        taken[n] += 1
+        out[n] |= taken[n] == sizes[n]
+        if any(out) if rule == mixing.FIRST else all(out):
+            break
+    assert got == want and len(got) > 65536
+
+
+@pytest.mark.parametrize("rows", [65536, 7])
+def test_draws_by_rank(spark, rows):
+    pool = spark.range(200).select((F.col("id") % 3 * (F.col("id") % 7 > 0).cast("int")).alias("of"), "id", F.xxhash64("id").alias("x"))
+    pool = pool.select("of", F.pmod("x", F.lit(1 << 60)).alias("_h"), "id")
+    draws = spark.createDataFrame([(n, n % 4 if n % 9 else None) for n in range(60)], "n bigint, of bigint")
+    got = {r["n"]: r["id"] for r in pick_by_rank(draws, pool, ["of"], ["_h", "id"], lambda size: F.pmod(F.col("n") * 5, size), rows).collect()}
+    groups = {}
+    for r in sorted(pool.collect(), key=lambda r: (r["_h"], r["id"])):
+        groups.setdefault(r["of"], []).append(r["id"])
+    want = {r["n"]: groups[r["of"]][r["n"] * 5 % len(groups[r["of"]])] if r["of"] in groups else None for r in draws.collect()}
+    assert got == want and 3 not in groups
+
+
+def test_scene_index_is_read_in_pieces(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({f"im {n}\"": n for n in range(50)}, indent=1))
+    (tmp_path / "b.json").write_text("{}")
+    got = {r["imageId"]: r["line"] for r in readers.read_scene_index(spark, f"file://{tmp_path}").collect()}
+    assert got == {f'im {n}"': n for n in range(50)}
+    (tmp_path / "c.json").write_text('{"a,b": 1}')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        readers.read_scene_index(spark, f"file://{tmp_path}").collect()
+
+
+def test_empty_neighbour_list_is_named(spark):
+    from lumenfold.functions.draws import falling_weight_index
+
+    with pytest.raises(Exception, match="ranked list is empty"):
+        spark.range(1).select(falling_weight_index(F.size(F.array()), 1)).collect()

@@ -71,6 +71,18 @@ def test_row_work_and_cycles_do_not_shuffle(spark):
     assert plan(metrics.report(scored)).count("Exchange") == 1
 
 
+def test_cycles_copy_rows_where_they_are(spark):
+    a, b = (spark.range(n).select(F.col("id").alias("row_id")) for n in (3, 10))
+    text = plan(mixing.interleave([a, b], mixing.ALL, sizes=[3, 10]))
+    assert "Exchange" not in text and "Join" not in text
+
+
+def test_chance_mixture_ranks_once(spark):
+    # Offsets of the blocks and ranks inside them; the range is planned for the counts and for the rows.
+    text = plan(mixing.draw_plan(spark, [50, 40], [0.5, 0.5], 1))
+    assert text.count("Window ") == 2 and text.count("Range (") == 2 and "Subquery" not in text
+
+
 def test_only_used_columns_are_read(spark):
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan(QUERIES["repeat_item"](spark, SF)))
     assert schema and "o_totalprice" not in schema.group(1)
