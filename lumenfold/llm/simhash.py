@@ -165,8 +165,14 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, max_diff: int =
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Documents without near-duplicates of a smaller doc_id; all columns stay. Of rows that repeat
-    the kept doc_id, each stays; rows with a null doc_id stay only where their component has no other."""
-    found = near_duplicates(docs, **options)
-    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("_keep")).select("_keep").distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    """One row of each component of near-duplicates; all columns stay.
+
+    The row with the smallest doc_id stays, one with a null doc_id only where its component has no
+    other; of rows that repeat that doc_id in a component, one.
+    """
+    rows = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **options)
+    of_row = rows.select("_row", F.col("doc_id").cast("long").alias("_id")).join(found.withColumnRenamed("doc_id", "_row"), "_row")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+    keep = of_row.groupBy("component_id").agg(first.alias("best")).select(F.col("best.row").alias("_row"))
+    return rows.join(keep, "_row", "left_semi").drop("_row")

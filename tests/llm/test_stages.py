@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lumenfold.llm import similar
+from lumenfold.llm import simhash, similar
 
 SCHEMA = "doc_id long, text string"
 
@@ -63,3 +63,17 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
     kept_b = [t for i, t in got if i is None and t.startswith("b0")]
     assert len(got) == 5 and len(kept_b) == 1 and {(1, a), (None, c), (0, d), (4, " ")} < set(got)
+
+
+def test_simhash_components_with_null_and_repeated_ids(spark):
+    rows = [(1, "a b c d"), (None, "a b c d"), (None, "e f g h"), (None, "e  f g h"), (None, "i j k l"), (0, "m n o p"), (1, "m n o p")]
+    got = [tuple(r) for r in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == 4 and {(1, "a b c d"), (None, "i j k l"), (0, "m n o p")} < set(got)
+
+
+def test_contamination_is_judged_by_row(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(12))
+    spark.createDataFrame([("t", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"so {item} it is"), (None, "a clean text"), (7, item), (7, "another clean text"), (8, None)]
+    got = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(None, "a clean text"), (7, "another clean text"), (8, None)}
