@@ -135,8 +135,7 @@ def learn(sample: np.ndarray, parts: int, recall: float, seed: int = 0, hidden:
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): vectors in double precision without null, zero or non-finite ones, or ones of another
-    length than most of the sample share."""
+    """(vec_id, v): vectors in double precision without null, zero or non-finite ones, of any length."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(
@@ -194,20 +193,21 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.9
     Every valid vector is indexed; the sample for the graph is bounded by `sample`. Candidates are
     all rows but the query's own vec_id. Score is the cosine in double precision; ties go to the
     smaller vec_id. Vectors that are null, zero, or hold null or non-finite components take no part,
-    nor do those of another length than the shortest drawn row. Rows that repeat a vec_id are taken
-    once. A part with many vectors is cut into cells, so a vector that a third of the rows repeat is
+    nor do those of another length than most valid vectors share (the shorter of two as frequent). Rows
+    that repeat a vec_id are taken once. A part with many vectors is cut into cells, so a vector that a third of the rows repeat is
     spread; queries meet each cell in blocks. Other columns are ignored.
     """
     spark = vectors.sparkSession
     valid = scratch.keep(valid_vectors(vectors).groupBy("vec_id").agg(F.min("v").alias("v")))
+    lengths = valid.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "width").first()
+    width = lengths["width"] if lengths else 0
+    valid = valid.filter(F.size("v") == width)
     # Bounded by `sample` rows; distinct vectors, drawn by a hash of their content.
     drawn = valid.select("v").distinct().orderBy(F.xxhash64(F.lit(seed), "v"), "v").limit(sample).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not drawn:
         return spark.createDataFrame([], schema)
-    width = min(len(r["v"]) for r in drawn)
-    valid = valid.filter(F.size("v") == width)
-    x = np.array([r["v"] for r in drawn if len(r["v"]) == width])
+    x = np.array([r["v"] for r in drawn])
     x = x / np.abs(x).max(axis=1, keepdims=True)
     total = valid.count()
     parts = 1 << max(0, min(round(math.log2(max(1, math.sqrt(total) / 8))), int(math.log2(max(1, len(x) / 64)))))
