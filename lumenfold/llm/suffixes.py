@@ -4,7 +4,8 @@ Each `length`-byte window belongs to the run of neighbouring windows with the sa
 `rolling`); equal windows have equal anchors, so runs meet their partners by anchor. Runs equal as
 a whole are one run with a count. Where an anchor has different runs, their text goes to the
 anchor's shard, and an externally sorted suffix array with common-prefix lengths (`induced`) tells
-which windows repeat. Runs whose anchor stands nowhere else are never moved.
+which windows repeat. An anchor whose different runs fill a shard by themselves is not sorted: its
+windows are grouped by their content, over all tasks. Runs whose anchor stands nowhere else are never moved.
 """
 
 from __future__ import annotations
@@ -130,6 +131,31 @@ def _contexts(joined: DataFrame, length: int, shards: int) -> DataFrame:
     return joined.select("_d", "_t", "text", "runs").mapInArrow(cut, schema)
 
 
+def _windows(joined: DataFrame, length: int) -> DataFrame:
+    """Every window of the asked runs, with two hashes of its bytes."""
+    schema = "known boolean, _d long, _t long, at long, high long, low long"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in scratch.text_slices(batches, limit=1 << 20):
+            for d, t, text, runs in zip(*(batch.column(c).to_pylist() for c in ("_d", "_t", "text", "runs"))):
+                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+                number = np.array([r["n"] for r in runs], dtype=np.int64)
+                begin = np.cumsum(number) - number
+                at = np.arange(number.sum()) - np.repeat(begin, number) + np.repeat([r["at"] for r in runs], number)
+                both = [mix(Windows(byte_values(s & 0xFFFF)[data], s).ranges(at, at + length)).view(np.int64) for s in SEEDS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat([r["known"] for r in runs], number)), pa.array(np.full(len(at), d)), pa.array(np.full(len(at), t)), pa.array(at), *map(pa.array, both)],
+                    ["known", "_d", "_t", "at", "high", "low"])
+
+    return joined.select("_d", "_t", "text", "runs").mapInArrow(cut, schema)
+
+
+def _grouped(windows: DataFrame, length: int) -> DataFrame:
+    """(_d, _t, at, size): repeated windows of the runs that are not known as a whole."""
+    often = windows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    return windows.filter("not known").join(often, ["high", "low"]).select("_d", "_t", "at", F.lit(length).cast("long").alias("size"))
+
+
 def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
     """For each context, the starts of its `length`-byte strings that start anywhere else in the shard."""
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
@@ -195,16 +221,25 @@ def remove_repeats(docs: DataFrame, length: int = 200, carry: tuple[str, ...] =
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"),
         F.xxhash64("text").alias("_h"), "text", *([F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []))
     found = scratch.keep(judge_runs(candidate_runs(rows, length)))
-    total = found.filter("asked").agg(F.sum(F.col("n") + length).alias("b")).first()["b"] or 0
+    # Anchors that fill a shard: as many as such shards at most.
+    sizes = found.filter("asked").groupBy("anchor").agg(F.sum(F.col("n") + length).alias("b"))
+    hot = scratch.keep(sizes.filter(F.col("b") > SHARD_BYTES).select("anchor", F.lit(True).alias("hot")))
+    some_hot = not hot.isEmpty()
+    total = sizes.filter(F.col("b") <= SHARD_BYTES).agg(F.sum("b").alias("b")).first()["b"] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
     rest = ["rest"] if carry else []
     keyed = rows.select("doc_id", "_d", *rest, F.col("_h").bitwiseAND(F.lit(LOW)).alias("_t"), "text")
     placed = found.select(
         "anchor", F.col("doc").alias("_d"), F.shiftrightunsigned("tag", 32).alias("_t"), F.col("tag").bitwiseAND(F.lit(LOW)).alias("at"), "n", "known", "asked")
-    asked = placed.filter("asked").groupBy("_d", "_t").agg(F.collect_list(F.struct("anchor", "at", "n", "known")).alias("runs"))
+    to_sort = placed.filter("asked")
+    runs = lambda df: df.groupBy("_d", "_t").agg(F.collect_list(F.struct("anchor", "at", "n", "known")).alias("runs"))
+    asked = runs(to_sort.join(hot, "anchor", "left_anti") if some_hot else to_sort)
     # One row stands for all that repeat doc_id and text: their runs are known, whichever it is.
     sorted_out = _search(_contexts(keyed.join(asked, ["_d", "_t"]), length, shards), length, shards)
     spans = placed.filter("known").select("_d", "_t", "at", (F.col("n") - 1 + length).cast("long").alias("size")).union(sorted_out)
+    if some_hot:
+        to_group = runs(to_sort.join(hot, "anchor", "left_semi"))
+        spans = spans.union(_grouped(scratch.keep(_windows(keyed.join(to_group, ["_d", "_t"]), length)), length))
     marks = spans.groupBy("_d", "_t").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
