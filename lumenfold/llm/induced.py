@@ -15,7 +15,8 @@ import numpy as np
 
 SYMBOLS = 257  # 0 ends a piece of text; bytes are one more than they were
 HELD_BYTES = 16 << 20
-CLIP = 255
+CLIP = 255  # at least; greater depths go up to themselves
+MOST = (1 << 15) - 2  # of the type
 BITS = 10
 PER_KEY = 6
 
@@ -51,21 +52,21 @@ class Spool:
 
 
 class Lengths:
-    """Common prefixes of any two suffixes, up to CLIP symbols, by halving over window hashes."""
+    """Common prefixes of any two suffixes, up to `clip` symbols, by halving over window hashes."""
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, clip: int = CLIP):
         from lumenfold.llm.rolling import SEEDS, Windows
 
-        self.n = len(text)
+        self.n, self.clip = len(text), clip
         values = np.random.default_rng(7).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
         self.hashes = Windows(values[text], SEEDS[1])
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b = a.astype(np.int64), b.astype(np.int64)
         got = np.zeros(len(a), dtype=np.int64)
-        step = (CLIP + 1) // 2
+        step = 1 << (self.clip.bit_length() - 1)
         while step:
-            most = np.minimum(self.n - np.maximum(a, b), CLIP)
+            most = np.minimum(self.n - np.maximum(a, b), self.clip)
             end = got + step
             fits = end <= most
             e = np.where(fits, end, got)
@@ -78,8 +79,8 @@ class Lengths:
 class RangeMin:
     """Smallest of any range, by a table of powers of two."""
 
-    def __init__(self, a: np.ndarray):
-        self.rows = [a]
+    def __init__(self, a: np.ndarray, clip: int = CLIP):
+        self.rows, self.clip = [a], clip
         width = 1
         while width * 2 <= len(a):
             last = self.rows[-1]
@@ -87,8 +88,8 @@ class RangeMin:
             width *= 2
 
     def ask(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Of low..high, both included; CLIP for empty ranges."""
-        out = np.full(len(low), CLIP, dtype=np.int16)
+        """Of low..high, both included; the clip for empty ranges."""
+        out = np.full(len(low), self.clip, dtype=np.int16)
         size = high - low + 1
         level = np.zeros(len(low), dtype=np.int64)
         level[size > 0] = np.log2(size[size > 0]).astype(np.int64)
@@ -171,14 +172,14 @@ def _sort_names(rank: np.ndarray, depth: int) -> np.ndarray:
 class _Queues:
     """One queue of (suffix, common prefix with the entry before) for each symbol."""
 
-    def __init__(self, text: np.ndarray, spool: Spool):
-        self.text, self.spool = text, spool
+    def __init__(self, text: np.ndarray, spool: Spool, clip: int = CLIP):
+        self.text, self.spool, self.clip = text, spool, clip
         self.items: list[list] = [[] for _ in range(SYMBOLS)]
         self.running = np.full(SYMBOLS, 0, dtype=np.int16)  # least common prefix since the last push
 
     def push(self, batch: np.ndarray, common: np.ndarray, left: np.ndarray) -> None:
         """Pushes the left neighbours of batch[left] in order; `common` is of the whole batch."""
-        total = RangeMin(common)
+        total = RangeMin(common, self.clip)
         before = self.running
         self.running = np.minimum(before, common.min())
         if not len(left):
@@ -191,7 +192,7 @@ class _Queues:
         low = np.where(head, 0, np.concatenate([[0], left[:-1] + 1]))
         share = total.ask(low, left)
         share[head] = np.minimum(share[head], before[symbol[head]])
-        share = np.minimum(share + 1, CLIP).astype(np.int16)
+        share = np.minimum(share + 1, self.clip).astype(np.int16)
         cuts = np.append(np.flatnonzero(head), len(symbol))
         tail = cuts[1:] - 1
         self.running[symbol[tail]] = total.ask(left[tail] + 1, np.full(len(tail), len(batch) - 1))
@@ -218,13 +219,16 @@ class _Queues:
 
 def suffix_array(text: np.ndarray, depth: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order of their first `depth` symbols at least, and the common prefix of each with
-    the one before it, up to CLIP. `text` has symbols under SYMBOLS, of type uint16."""
+    the one before it, up to `depth` or CLIP, if that is more. `text` has symbols under SYMBOLS, of type uint16."""
+    clip = max(CLIP, depth)
+    if clip > MOST:
+        raise ValueError(f"depth is over {MOST}")
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int32), np.zeros(0, np.int16)
     kind = _types(text)
     lms = np.flatnonzero(kind[1:] & ~kind[:-1]).astype(np.int32) + 1
-    lengths = Lengths(text)
+    lengths = Lengths(text, clip)
     if len(lms):
         lms = lms[_sort_names(_names(text, kind, lms), depth)]
     seed_common = np.zeros(len(lms), dtype=np.int16)
@@ -233,7 +237,7 @@ def suffix_array(text: np.ndarray, depth: int = 200) -> tuple[np.ndarray, np.nda
     seed_cut = np.searchsorted(text[lms], np.arange(SYMBOLS + 1))
     spool = Spool()
     try:
-        large = _Queues(text, spool)
+        large = _Queues(text, spool, clip)
         large.begun = set()
         done: list[list[tuple]] = [[] for _ in range(SYMBOLS)]
         # The end of the text is the smallest suffix.
@@ -261,7 +265,7 @@ def suffix_array(text: np.ndarray, depth: int = 200) -> tuple[np.ndarray, np.nda
                 common = join(batch, seed_common[a:b])
                 large.push(batch, common, np.arange(b - a))  # what precedes a leftmost S is L
                 last = batch[-1:]
-        small = _Queues(text, spool)
+        small = _Queues(text, spool, clip)
         small.begun = set()
         last = None
         out, shares = [], []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lumenfold.llm import induced, suffixes
 
@@ -48,3 +49,15 @@ def test_queues_that_spill(monkeypatch):
     t = np.random.default_rng(1).integers(0, 3, 500).astype(np.uint16)
     order, _ = induced.suffix_array(t)
     assert opened and order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+@pytest.mark.parametrize("length", [200, 300])
+def test_repeats_inside_different_runs_at_any_length(spark, length):
+    rows = _common_line(6, length)
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA), length=length).collect()
+    assert {(r["doc_id"], r["n_removed"]) for r in got} == _by_brute_force(rows, length)
+
+
+def test_a_length_over_the_type_is_an_error():
+    with pytest.raises(ValueError):
+        suffixes.repeated_starts([b"a" * 10], 40_000)
