@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import decontaminate, neighbours, packing, quality, scratch, sharding, simhash, substrings, suffixes, tokens, warc
+from lumenfold.llm import decontaminate, neighbours, packing, quality, rules, scratch, sharding, simhash, substrings, suffixes, tokens, warc
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -58,6 +58,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(scratch.table(spark, sf_dir, "documents"), WORD_TOKENIZER, capacity=4096, end_id=1)
 
 
+def op11_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (scratch.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return rules.apply_rules(docs, labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lpt_sharding": op1_lpt_sharding,
     "op2_count_min_dedup": op2_count_min_dedup,
@@ -69,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_positional_decontamination": op8_positional_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_decision_list": op11_decision_list,
 }
 ORACLES: dict[str, str] = {}
