@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenfold.llm import decontaminate, neighbours, packing, quality, rules, scratch, sharding, simhash, substrings, suffixes, tokens, warc
+from lumenfold.functions.binding import let, let2
+
+from lumenfold.llm import decontaminate, neighbours, packing, quality, rules, runs, scratch, sharding, simhash, substrings, suffixes, tokens, warc
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -63,6 +66,41 @@ def op11_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(docs, labels)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where a tenth of the documents, drawn by a checksum of their id, end periodically:
+    from word a = g % n on, words repeat those of the first p = 1 + (n - a) // (3 + g % 8) words from a."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(crc / 10).cast("long")
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def tail(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % F.greatest(n, F.lit(1))
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        return let2(a, p, lambda a, p: F.array_join(F.transform(
+            w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " "))
+
+    return docs.select("doc_id", F.when(crc % 10 == 0, let(words, tail)).otherwise(F.col("text")).alias("text"))
+
+
+def run_digests(found: DataFrame) -> DataFrame:
+    """The longest run by exact exponent, and checksums of all runs and of what collapsing leaves."""
+    ahead = lambda r, best: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.aggregate(  # runs come by start, then period, and the first of equals stays
+        "runs", F.get("runs", 0), lambda best, r: F.when(ahead(r, best), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(scratch.table(spark, sf_dir, "documents"))
+    return run_digests(runs.find_runs(docs, min_length=6, min_exponent=4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lpt_sharding": op1_lpt_sharding,
     "op2_count_min_dedup": op2_count_min_dedup,
@@ -75,5 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_decision_list": op11_decision_list,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES: dict[str, str] = {}
