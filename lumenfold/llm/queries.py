@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.binding import let, let2
 
-from lumenfold.llm import decontaminate, neighbours, packing, quality, rules, runs, scratch, sharding, simhash, substrings, suffixes, tokens, warc
+from lumenfold.llm import decontaminate, neighbours, packing, quality, rules, runs, scratch, sharding, simhash, substrings, suffixes, tokens, trie, warc
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -101,6 +101,22 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(runs.find_runs(docs, min_length=6, min_exponent=4))
 
 
+def with_shared_heads(lists: DataFrame) -> DataFrame:
+    """Turn lists whose first h turns are those of conversation `near`, h from a checksum of the id."""
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    # At most 39 ids have one `near`, so the window's groups are small.
+    head = F.max(F.when(F.col("conv_id") == F.col("near"), F.slice("turns", 1, 3))).over(Window.partitionBy("near"))
+    own = F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))
+    shared = F.when(F.col("head").isNull(), F.slice("turns", 1, 0)).otherwise(F.slice("head", F.lit(1), h))
+    return lists.withColumn("head", head).select("conv_id", F.concat(shared, own).alias("turns"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("conv_id").cast("long")
+    lists = trie.turn_lists(scratch.table(spark, sf_dir, "conversations"), near=key - key % 20)
+    return trie.prefix_trie(with_shared_heads(lists))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lpt_sharding": op1_lpt_sharding,
     "op2_count_min_dedup": op2_count_min_dedup,
@@ -114,5 +130,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_decision_list": op11_decision_list,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {}
