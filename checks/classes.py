@@ -84,10 +84,11 @@ def split_classes(spark, sf):
     return cls.split_classes(load(spark, sf, "class_images"), 3).select("vec_id", "split")
 
 
-# Train records: 5 similarity bins of 2 classes, 8 own samples.
+# Train records: 5 similarity bins with one drawn rank each, 8 own samples.
 TRAIN_SQL = RANKED_SQL + f""",
-bins as (select class_id, rank//2 bin, neighbor_id from rk where rank>0),
-nb as (select class_id, bin, arg_min(neighbor_id, {order60(0, 'class_id', 'bin', 'neighbor_id', '=bin')}) neighbor_id from bins group by class_id, bin),
+size as (select count(distinct class_id) c, (count(distinct class_id)+{BINS}-1)//{BINS} w from rk),
+bins as (select class_id, bin, greatest(1,bin*w) low, least((bin+1)*w,c)-greatest(1,bin*w) n from (select distinct class_id from rk), size, range({BINS}) t(bin)),
+nb as (select b.class_id, bin, neighbor_id from bins b join rk on rk.class_id=b.class_id and rank=low+{rank32(0, 'b.class_id', 'bin', '=bin')}%n),
 pool as (select class_id, image, row_number() over (partition by class_id order by {order60(0, 'class_id', 'image', '=pool')}, image)-1 k,
          count(*) over (partition by class_id) n from vectors),
 own as (select class_id, image, row_number() over (partition by class_id order by {order60(0, 'class_id', 'image', '=own')}, image)-1 k from vectors),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.draws import order60, rank32
+from lumenfold.operators.neighbour_bins import from_ranking
 from lumenfold.operators.ranking import first_by_hash, pick_by_rank, rank_by_hash, top_n
 
 NEIGHBOURS = 36
@@ -73,19 +74,63 @@ def split_classes(classes: DataFrame, n_test: int, seed: int = 0) -> DataFrame:
     return out.withColumn("split", F.when(F.col("_t"), F.lit("test")).otherwise(F.lit("train"))).drop("_t")
 
 
+def _partial_sums():
+    """The task function: sums and counts of each component over the rows of a class, by value as below."""
+    import numpy as np
+    import pyarrow as pa
+
+    def flush(held: dict, schema: pa.Schema) -> pa.RecordBatch:
+        sums, counts = zip(*held.values()) if held else ((), ())
+        return pa.RecordBatch.from_arrays([
+            pa.array(list(held), schema.field(0).type), pa.array([x.tolist() for x in sums], schema.field(1).type),
+            pa.array([x.tolist() for x in counts], schema.field(2).type)], schema=schema)
+
+    def add(batches, classes_held: int = 4096):
+        held: dict = {}
+        schema = None
+        for batch in batches:
+            schema = pa.schema([("class_id", batch.schema.field(0).type), ("sums", pa.list_(pa.float64())), ("counts", pa.list_(pa.int64()))])
+            for key, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = vector.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+                known = ~np.isnan(x)
+                sums, counts = held.get(key, (np.zeros(0), np.zeros(0, np.int64)))
+                if len(sums) < len(x):
+                    sums, counts = (np.concatenate([o, np.zeros(len(x) - len(o), o.dtype)]) for o in (sums, counts))
+                sums[: len(x)] += np.where(known, x, 0)
+                counts[: len(x)] += known
+                held[key] = (sums, counts)
+            if len(held) >= classes_held:
+                yield flush(held, schema)
+                held = {}
+        if schema is not None:
+            yield flush(held, schema)
+
+    return add
+
+
 def class_embedding(
     vectors: DataFrame, n: int = VECTORS, seed: int = 0, vector: str = "embedding", image: str = "image"
 ) -> DataFrame:
-    """Mean of up to n hash-sampled vectors per class; null vectors (unreadable images) do not count."""
-    hashed = vectors.select("class_id", image, vector, order60(seed, F.col("class_id"), F.col(image)).alias("_h"))
-    chosen = top_n(hashed, ["class_id"], ["_h", image], n).where(F.col(vector).isNotNull())
-    means = (
-        chosen.select("class_id", F.posexplode(vector).alias("dim", "x"))
-        .groupBy("class_id", "dim")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
-    )
-    listed = F.array_sort(F.collect_list(F.struct("dim", "x")))
-    return means.groupBy("class_id").agg(F.transform(listed, lambda s: s["x"]).alias("embedding"))
+    """Mean of up to n hash-sampled vectors per class; null vectors (unreadable images) do not count.
+
+    The n-th hash of each class is found without the vectors; each task then adds up the vectors up to
+    it, so that what is shuffled is one sum a class and task. Null components do not count either.
+    """
+    key = order60(seed, F.col("class_id"), F.col(image))
+    named = vectors.select("class_id", F.col(image).alias("_image"), key.alias("_h"))
+    cut = top_n(named, ["class_id"], ["_h", "_image"], n).groupBy("class_id").agg(F.max(F.struct("_h", "_image")).alias("_last"))
+    chosen = (
+        vectors.select("class_id", F.struct(key.alias("_h"), F.col(image).alias("_image")).alias("_at"), F.col(vector).alias("_v"))
+        .join(cut, "class_id").where((F.col("_at") <= F.col("_last")) & F.col("_v").isNotNull()))
+    id_type = vectors.schema["class_id"].dataType.simpleString()
+    sums = chosen.select("class_id", F.transform("_v", lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))).alias("v")).mapInArrow(
+        _partial_sums(), f"class_id {id_type}, sums array<double>, counts array<bigint>")
+    # At most n rows a class, and one a task.
+    total = lambda c, zero: F.aggregate(
+        F.collect_list(c), F.array().cast(f"array<{zero}>"),
+        lambda s, x: F.zip_with(s, x, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))))
+    return sums.groupBy("class_id").agg(total("sums", "double").alias("s"), total("counts", "bigint").alias("c")).select(
+        "class_id", F.zip_with("s", "c", lambda s, c: F.when(c > 0, s / c)).alias("embedding"))
 
 
 def unit(vector: Column) -> Column:
@@ -162,25 +207,20 @@ def _draw_images(images: DataFrame, keys: list[str], n: int, seed: int, tag: str
 def train_pairs(
     ranked: DataFrame, images: DataFrame, neighbours: int = NEIGHBOURS, samples: int = SAMPLES, seed: int = 0,
     n_classes: int | None = None, strict: bool = True,
+) -> DataFrame:
+    """`pair_records` of a whole ranking, from `rank_neighbours` or a ranked file."""
+    return pair_records(from_ranking(ranked, neighbours, seed, n_classes), images, neighbours, samples, seed, strict)
+
+
+def pair_records(
+    chosen: DataFrame, images: DataFrame, neighbours: int = NEIGHBOURS, samples: int = SAMPLES, seed: int = 0, strict: bool = True,
 ) -> DataFrame:
     """Train records: own samples, and one random class with one random image per similarity bin.
 
-    `ranked` from `rank_neighbours`, `images`: class_id, class_name, image. The ranking is cut into
-    `neighbours` bins of ceil(C / neighbours); rank 0, the class itself, is left out. Every ranked
-    class gives a row. One without images, with fewer than `samples`, or with a chosen neighbour that
-    has no image is an error; with `strict=False` the column `problem` names it, and is null elsewhere.
+    `chosen` (class_id, bin, neighbor_id) from `neighbour_bins`, `images`: class_id, class_name, image.
+    Every class gives a row. One without images, with fewer than `samples`, or with a chosen neighbour
+    that has no image is an error; with `strict=False` the column `problem` names it, and is null elsewhere.
     """
-    if n_classes is None:
-        n_classes = ranked.select("class_id").distinct().count()
-    width = math.ceil(n_classes / neighbours)
-    if (neighbours - 1) * width >= n_classes:
-        raise ValueError(f"{neighbours} bins of {width} do not fit {n_classes} classes")
-    if width < 2:
-        raise ValueError(f"{n_classes} classes leave the first of {neighbours} bins empty")
-    binned = ranked.where(F.col("rank") > 0).withColumn("bin", F.floor(F.col("rank") / width).cast("int"))
-    binned = binned.where(F.col("bin") < neighbours)
-    by_hash = F.struct(order60(seed, F.col("class_id"), F.col("bin"), F.col("neighbor_id"), "bin").alias("h"), "neighbor_id")
-    chosen = binned.groupBy("class_id", "bin").agg(F.min(by_hash)["neighbor_id"].alias("neighbor_id"))
     named = images.groupBy("class_id").agg(F.min("class_name").alias("class_name")).select(
         "class_id", F.replace(F.col("class_name"), F.lit("_"), F.lit(" ")).alias("class_name")
     )

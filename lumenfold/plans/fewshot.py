@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import classes as cls
 from lumenfold.operators import episodes
+from lumenfold.operators.neighbour_bins import drawn_neighbours
 from lumenfold.session import materialise
 
 
@@ -23,12 +24,11 @@ def train_records(
 ) -> DataFrame:
     """Class records with similarity-ranked neighbours, kept as a table: episodes read them twice.
 
-    Class vectors are kept first. They are counted to size the similarity tiles and the bins, and
-    read on both sides of the matrix; there is one row per class.
+    Class vectors are kept first, one row per class. The neighbours are found by their ranks alone:
+    neither the similarity matrix nor the ranking is a table.
     """
     vectors = materialise(vectors)
-    ranked = cls.rank_neighbours(cls.similarity(vectors))
-    return materialise(cls.train_pairs(ranked, images, bins, samples, seed, n_classes=vectors.count()))
+    return materialise(cls.pair_records(drawn_neighbours(vectors, bins, seed), images, bins, samples, seed))
 
 
 def episode_prompts(
