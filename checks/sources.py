@@ -12,6 +12,7 @@ from lumenfold import schema as S
 from lumenfold.operators.entities import flatten_sentences, parse_phrases
 from lumenfold.session import scratch_dir
 from lumenfold.sources import readers, sinks
+from lumenfold.sources.json_object import open_store
 
 
 @query("A1,A11", "select row_id, word, st, ax1 from records", ["records"])
@@ -107,12 +108,12 @@ select 'categories', id, "name" from categories union all
 select 'neighbors', id, pos||':'||(case when id%5=0 then 26 else (id+pos*3)%27+1 end) from categories, range(8) p(pos) union all
 select 'expired', image_id, null from expired""", ["annotations", "categories", "detection_images", "expired"])
 def detection_json(spark, sf):
-    """JSON objects of 1000 images and annotations each, as such files are, read back and kept as Parquet."""
+    """JSON objects of 20,000 images and annotations each, as such files are, every one read in ranges of 256 KB."""
     cats, ann, images, neighbors, expired = detection(spark, sf)
     path = scratch_dir(spark)
 
     def chunked(df, key, value, name, as_map=False):
-        rows = df.groupBy(F.floor(F.col(key) / 1000).alias("chunk")).agg(F.collect_list(value).alias(name))
+        rows = df.groupBy(F.floor(F.col(key) / 20000).alias("chunk")).agg(F.collect_list(value).alias(name))
         return rows.select("chunk", F.map_from_entries(name).alias(name)) if as_map else rows
 
     text = lambda c: F.col(c).cast("string")
@@ -127,8 +128,7 @@ def detection_json(spark, sf):
     for part in parts:
         objects = objects.join(part, "chunk", "full")
     objects.drop("chunk").write.option("maxRecordsPerFile", 1).json(path)
-    kept = sinks.write_tables(readers.detection_tables(spark, path), scratch_dir(spark))
-    get = {name: spark.read.parquet(p) for name, p in kept.items()}
+    get = readers.detection_tables(spark, path, range_bytes=1 << 18)
     rows = lambda name, key, value: get[name].select(F.lit(name).alias("table"), F.col(key).alias("key"), value.alias("value"))
     nums = lambda c: F.array_join(F.col(c).cast("array<bigint>").cast("array<string>"), ",")
     return (
@@ -217,11 +217,54 @@ def prediction_sink(spark, sf):
     return readers.read_jsonl(spark, path, "test_set string, row_id bigint, pred string, target string")
 
 
-@query("A13", """select id_text||'.jpg' image, width, height, 'folder/'||id_text||'.jpg' path from records""", ["records"])
+# One image for each priority, status and month: all orders make its size. A ninth of the files are no images
+# or cut short; the formats take turns.
+_IMAGES = """
+select concat(replace(lower(o_orderpriority),' ','_'),'_',o_orderstatus,'_',ym) image, width, height, (width+height)%9 fate,
+       case (width*7+height)%4 when 0 then 'png' when 1 then 'jpeg' when 2 then 'gif' else 'webp' end kind
+from (select o_orderpriority, o_orderstatus, substr(cast(o_orderdate as string),1,7) ym,
+             cast(1+count(*) as int) width, cast(1+sum(o_custkey)%4000 as int) height from {orders} group by 1, 2, 3) t"""
+
+
+def _image_bytes(kind: str, width: int, height: int) -> bytes:
+    """A header of the format, with a long thumbnail segment in JPEG, and a body that no reader needs."""
+    big, little = (lambda n, k: n.to_bytes(k, "big")), (lambda n, k: n.to_bytes(k, "little"))
+    body = bytes(20_000)
+    if kind == "png":
+        return b"\x89PNG\r\n\x1a\n" + big(13, 4) + b"IHDR" + big(width, 4) + big(height, 4) + body
+    if kind == "gif":
+        return b"GIF89a" + little(width, 2) + little(height, 2) + body
+    if kind == "webp":
+        return b"RIFF" + little(len(body), 4) + b"WEBPVP8X" + little(10, 4) + bytes(4) + little(width - 1, 3) + little(height - 1, 3) + body
+    exif = b"\xff\xe1" + big(8002, 2) + bytes(8000)
+    return b"\xff\xd8\xff\xe0" + big(16, 2) + bytes(14) + exif + b"\xff\xff\xc2" + big(17, 2) + b"\x08" + big(height, 2) + big(width, 2) + body
+
+
+def _write_images(rows, path: str) -> None:
+    """Files of `image, kind, width, height, fate` by the tasks that hold the rows; 0 writes no image, 1 stops inside the header."""
+
+    def write(some):
+        fs, root = open_store(path)
+        fs.create_dir(root, recursive=True)
+        for r in some:
+            data = _image_bytes(r["kind"], r["width"], r["height"])
+            with fs.open_output_stream(f"{root}/{r['image']}") as out:
+                out.write(b"not an image, but a text" if r["fate"] == 0 else data[:9] if r["fate"] == 1 else data)
+
+    rows.foreachPartition(write)
+
+
+@query("A13", f"""with i as ({_IMAGES.format(orders='orders')})
+select image, case when fate>1 then width end width, case when fate>1 then height end height, fate<2 unsized, 'folder/'||image path, true few_bytes,
+       case fate when 0 then 'unknown kind of image' when 1 then 'file cut short' end problem from i""")
 def image_size_join(spark, sf):
-    """Sizes joined to items by image id; reading them off image files is covered by tests."""
-    df = load(spark, sf, "records")
-    image = F.concat("id_text", F.lit(".jpg"))
-    sizes = df.select(image.alias("image_id"), "width", "height")
-    out = readers.with_sizes(df.select(image.alias("image")), sizes)
-    return out.select("image", "width", "height", readers.image_path("folder/", F.col("image")).alias("path"))
+    """Sizes read off the headers of image files and joined to the items that name them."""
+    images = spark.sql(_IMAGES, orders=table(spark, sf, "orders"))
+    path = scratch_dir(spark)
+    _write_images(images, path)
+    sizes = readers.image_sizes(spark, path)
+    out = readers.with_sizes(images.select("image"), sizes, on_error="flag")
+    read = sizes.select(F.col("image_id").alias("image"), (F.col("bytes_read") <= 2048).alias("few_bytes"), "problem")
+    return out.join(read, "image").select(
+        "image", "width", "height", F.col("size_problem").isNotNull().alias("unsized"),
+        readers.image_path("folder/", F.col("image")).alias("path"), "few_bytes", "problem")

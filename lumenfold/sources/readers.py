@@ -10,8 +10,11 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumenfold import schema as S
+from lumenfold.session import scratch_dir
+from lumenfold.sources import image_headers, json_object
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -87,22 +90,31 @@ def entity_objects(spark: SparkSession, path: str, id_pattern: str | None = None
     )
 
 
-def detection_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def detection_tables(
+    spark: SparkSession, path: str, range_bytes: int = json_object.RANGE_BYTES, root: str | None = None
+) -> dict[str, DataFrame]:
     """Detection JSON as five tables.
 
-    Such a file is one object and so one task, several files are read side by side;
-    `sinks.write_tables` turns them into Parquet once, and everything else should read that.
+    The object is cut into byte ranges, which are read once, side by side, and kept in the shared
+    folder by member (`root`, else the session's); the tables are parsed from there.
     """
-    whole = spark.read.schema(S.DETECTION).option("multiLine", True).json(path)
-    rows = lambda name: whole.select(F.explode(name).alias("r")).select("r.*")
-    neighbors = (
-        whole.select(F.explode("neighbors").alias("category_id", "ids"))
-        .select(F.col("category_id").cast("bigint").alias("category_id"), F.posexplode("ids").alias("pos", "neighbor_id"))
-    )
-    expired = whole.select(F.explode(F.map_keys("expired_imgs")).alias("k")).select(F.col("k").cast("bigint").alias("image_id"))
+    whole = StructType.fromDDL(S.DETECTION)
+    kept = scratch_dir(spark, root)
+    members = json_object.read_members(spark, path, whole.names, range_bytes)
+    members.write.partitionBy("tbl").parquet(kept)
+    raw = spark.read.schema("key string, record string, tbl string").parquet(kept)
+
+    def rows(name: str) -> DataFrame:
+        kind = whole[name].dataType.elementType.simpleString()
+        parsed = F.from_json("record", kind, {"mode": "FAILFAST"})
+        return raw.where(F.col("tbl") == name).select(parsed.alias("r")).select("r.*")
+
+    of = lambda name: raw.where(F.col("tbl") == name)
+    neighbors = of("neighbors").select(
+        F.col("key").cast("bigint").alias("category_id"), F.posexplode(F.from_json("record", "array<bigint>")).alias("pos", "neighbor_id"))
     return {
         "images": rows("images"), "annotations": rows("annotations"), "categories": rows("categories"),
-        "neighbors": neighbors, "expired": expired,
+        "neighbors": neighbors, "expired": of("expired_imgs").select(F.col("key").cast("bigint").alias("image_id")),
     }
 
 
@@ -201,19 +213,13 @@ def ranked_neighbours(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_sizes(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
-    """`image_id, path, width, height, problem` of image files; `folder` names the prefix that records omit.
+    """`image_id, path, width, height, bytes_read, problem` of image files; `folder` names the prefix that records omit.
 
-    A file that is no readable image keeps its row: its sizes are null and `problem` says so.
+    Sizes come from file headers; pixels are not read. A file that is no readable image keeps its row:
+    its sizes are null and `problem` says why.
     """
-    good = F.col("image.width") > 0
-    rows = spark.read.format("image").option("dropInvalid", False).load(path).select(
-        F.col("image.origin").alias("path"),
-        F.when(good, F.col("image.width")).alias("width"),
-        F.when(good, F.col("image.height")).alias("height"),
-        F.when(~good, F.lit("unreadable image")).alias("problem"),
-    )
     name = F.element_at(F.split("path", "/"), -1) if folder is None else F.substring_index(F.col("path"), folder.rstrip("/") + "/", -1)
-    return rows.select(name.alias("image_id"), "path", "width", "height", "problem")
+    return image_headers.read_headers(spark, path).select(name.alias("image_id"), "path", "width", "height", "bytes_read", "problem")
 
 
 def image_path(folder: str | None, path: Column) -> Column:

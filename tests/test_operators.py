@@ -421,7 +421,7 @@ def test_image_sizes(spark, tmp_path):
     assert readers.image_sizes(spark, str(tmp_path / "sub"), folder=str(tmp_path)).first().image_id == "sub/a.png"
     (tmp_path / "sub" / "b.png").write_bytes(b"no image")
     sizes = readers.image_sizes(spark, str(tmp_path / "sub"))
-    assert {tuple(r) for r in sizes.select("image_id", "width", "problem").collect()} == {("a.png", 7, None), ("b.png", None, "unreadable image")}
+    assert {tuple(r) for r in sizes.select("image_id", "width", "problem").collect()} == {("a.png", 7, None), ("b.png", None, "file cut short")}
     items = spark.createDataFrame([("a.png",), ("b.png",), ("c.png",), (None,)], "image string")
     flagged = {r.image: (r.width, r.size_problem is not None) for r in readers.with_sizes(items, sizes, "flag").collect()}
     assert flagged == {"a.png": (7, False), "b.png": (None, True), "c.png": (None, True), None: (None, False)}
