@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import order60, query, rank32, table
+from checks.base import ORACLES, order60, query, rank32, show_boxes, show_seq, table
+from checks.classes import train_records
+from checks.convert import FIND, records
+from checks.episodes import QUERIES_TEXT
 from lumenfold.functions.draws import cdf_thresholds
-from lumenfold.operators import mixing
+from lumenfold.operators import convert, mixing
+from lumenfold.operators import episodes as ep
+from lumenfold.operators.ranking import block_range, with_rank
 from lumenfold.plans import corpora
 
 _SRC = """
@@ -18,8 +23,6 @@ SIZES = "(select count(*) from a) na, (select count(*) from b) nb, (select count
 
 def sources(spark, sf):
     """Three sets with dense row ids; the first is numbered in (conversation, turn) order by counts per conversation."""
-    from lumenfold.operators.ranking import block_range, with_rank
-
     conv = table(spark, sf, "conversations")
     a = with_rank(conv, [], ["conv_id", "turn"], block_range(F.col("conv_id"), 64), out="row_id").select(
         "row_id", F.concat(F.lit("conv"), "conv_id", F.lit("."), "turn").alias("tag"))
@@ -87,16 +90,37 @@ def subset_first(spark, sf):
     return mixing.subset(table(spark, sf, "events").select(F.col("event_id").alias("row_id")), 1 / 20, shuffle=False)
 
 
-@query("D7", f"""with {_SRC}, n as (select least(na,nb,nc) m from (select {SIZES})),
-x as (select row_id*3 mix_id, 0 source, row_id, tag from a, n where row_id<m union all select row_id*3+1, 1, row_id, tag from b, n where row_id<m union all
-select row_id*3+2, 2, row_id, tag from c, n where row_id<m)
-select mix_id, source::integer source, (case when source=0 then 4 else 1 end)::integer n_items, tag from x""")
+# Few-shot episodes of every class, then a grounding item of every record: two shapes in one set.
+_ROUTED = f"""with e as ({ORACLES['two_way_weight']}), r as ({ORACLES['rec']}),
+c as (select class_id, row_number() over (order by class_id)-1 mix_id, count(*) over () n from (select distinct class_id from e))
+select mix_id, 0::integer source, 'episode' kind, pos, image, question, answer, "mode", null::varchar boxes, null::varchar a_boxes from e join c using (class_id)
+union all select row_id+(select max(n) from c), 1, 'item', 0, image, q, a, null, boxes, a_boxes from r"""
+
+
+@query("D7", _ROUTED)
 def route_episodes(spark, sf):
-    mixed = mixing.interleave(sources(spark, sf))
-    one = F.struct("tag")
-    build = lambda df: df.select("mix_id", "source", F.array_repeat(one, 4).alias("items"))
-    single = lambda df: df.select("mix_id", "source", F.array(one).alias("items"))
-    return mixing.route(mixed, {0: build}, single).select("mix_id", "source", F.size("items").alias("n_items"), F.col("items")[0]["tag"].alias("tag"))
+    classes = train_records(spark, sf)
+    classes = with_rank(classes, [], ["class_id"], block_range(F.col("class_id")), out="row_id")
+    mixed = mixing.concat([classes, records(spark, sf)])
+
+    def episodes(rows):
+        built = ep.two_way_weight(rows.select("row_id", "class_id", "class_name", "samples", "neighbors"), QUERIES_TEXT, 3)
+        return rows.select("mix_id", "source", "class_id").join(built, "class_id").select("mix_id", "source", F.col("items").alias("item"))
+
+    def items(rows):
+        built = convert.rec(rows, FIND)
+        keys = rows.select("mix_id", "source", "row_id")
+        return keys.join(built, "row_id").select("mix_id", "source", F.struct("image", "target", "conversations").alias("item"))
+
+    routed = mixing.route(mixed, {0: ("episode", episodes)}, ("item", items))
+    shots = routed.where("item.kind = 'episode'").select("mix_id", "source", "item.kind", F.posexplode("item.episode").alias("pos", "i"))
+    q, a = F.col("item.item.conversations")[0], F.col("item.item.conversations")[1]
+    single = routed.where("item.kind = 'item'").select(
+        "mix_id", "source", "item.kind", F.lit(0).alias("pos"), F.col("item.item.image").alias("image"), q["value"].alias("question"),
+        a["value"].alias("answer"), F.lit(None).cast("string").alias("mode"), show_boxes(F.col("item.item.target.boxes")).alias("boxes"),
+        show_seq(a["boxes_seq"]).alias("a_boxes"))
+    none = F.lit(None).cast("string")
+    return shots.select("mix_id", "source", "kind", "pos", "i.image", "i.question", "i.answer", "i.mode", none.alias("boxes"), none.alias("a_boxes")).union(single)
 
 
 _SUMMARY = f"""with {_SRC}, n as (select least(na,nb,nc) m from (select {SIZES}))

@@ -6,12 +6,14 @@ Every input carries a dense 0-based `row_id`. Mixtures keep `source` (position o
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StructType
 
 from lumenfold.functions.draws import cdf_thresholds, order60, rank32
 from lumenfold.operators.ranking import block_range, first_by_hash, with_rank
@@ -19,6 +21,8 @@ from lumenfold.operators.ranking import block_range, first_by_hash, with_rank
 FIRST = "first_exhausted"
 ALL = "all_exhausted"
 TURNS = 4096  # copies of one row that one task makes at a time
+DRAWS = 1 << 14  # steps of a block, of a mixture of up to DRAWS * MOST_BLOCKS steps
+MOST_BLOCKS = 1 << 16
 
 
 def stack(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -65,23 +69,27 @@ def interleave(dfs: Sequence[DataFrame], stopping: str = FIRST, sizes: Sequence[
     rounds = max(sizes)
 
     def cycled(df: DataFrame, n: int) -> DataFrame:
-        size = sizes[n]
-        if size == rounds:
-            return df.withColumn("mix_id", F.col("row_id") * k + n)
-        # A row stands in rounds row_id, row_id + size, ...: chunks of turns first, then the turns of a chunk.
-        turns = F.floor((F.lit(rounds - 1) - F.col("row_id")) / F.lit(size)).cast("bigint") + 1
-        chunks = df.withColumn("_turns", turns).select(
-            "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_turns") - 1) / TURNS))).alias("_chunk"))
-        if rounds > size * TURNS:
-            # Few rows, many turns each: chunks are dealt out, fewer than one for TURNS / 2 rows of the result.
-            chunks = chunks.repartition("row_id", "_chunk")
-        inside = F.sequence(F.col("_chunk") * TURNS, F.least((F.col("_chunk") + 1) * TURNS, F.col("_turns")) - 1)
-        copies = chunks.select("*", F.explode(inside).alias("_turn"))
-        return copies.withColumn("mix_id", (F.col("row_id") + F.col("_turn") * size) * k + n).drop("_turns", "_chunk", "_turn")
+        return _copies(df, sizes[n], rounds).withColumn("mix_id", F.col("_k") * k + n).drop("_k")
 
     return stack([cycled(d, n) for n, d in enumerate(dfs)])
 
 
+def _copies(df: DataFrame, size: int, total: int) -> DataFrame:
+    """Each row once for every place `_k` in 0..total-1 that it takes when the set starts over at its end."""
+    if total <= size:
+        return df.where(F.col("row_id") < total).withColumn("_k", F.col("row_id").cast("bigint"))
+    # A row stands at row_id, row_id + size, ...: chunks of turns first, then the turns of a chunk.
+    turns = F.floor((F.lit(total - 1) - F.col("row_id")) / F.lit(size)).cast("bigint") + 1
+    chunks = df.withColumn("_turns", turns).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_turns") - 1) / TURNS))).alias("_chunk"))
+    if total > size * TURNS:
+        # Few rows, many turns each: chunks are dealt out, fewer than one for TURNS / 2 rows of the result.
+        chunks = chunks.repartition("row_id", "_chunk")
+    inside = F.sequence(F.col("_chunk") * TURNS, F.least((F.col("_chunk") + 1) * TURNS, F.col("_turns")) - 1)
+    copies = chunks.select("*", F.explode(inside).alias("_turn"))
+    return copies.withColumn("_k", F.col("row_id") + F.col("_turn") * size).drop("_turns", "_chunk", "_turn")
+
+
 def draw_plan(
     spark: SparkSession, sizes: Sequence[int], probabilities: Sequence[float], seed: int, stopping: str = FIRST
 ) -> DataFrame:
@@ -91,6 +99,18 @@ def draw_plan(
     last one); how many steps that needs is found by doubling, on counts alone, and the stop itself by
     ranking the blocks where a source runs out.
     """
+    draws = _draws(spark, draw_steps(spark, sizes, probabilities, seed, stopping), probabilities, seed)
+    ranked = with_rank(draws, ["source"], ["mix_id"], block_range(F.col("mix_id")), out="_taken")
+    return ranked.join(_sized(spark, sizes), "source").select("mix_id", "source", (F.col("_taken") % F.col("_size")).alias("row_id"))
+
+
+def _sized(spark: SparkSession, sizes: Sequence[int]) -> DataFrame:
+    """One row per source of the mixture spec."""
+    return F.broadcast(spark.createDataFrame([(n, int(s)) for n, s in enumerate(sizes)], "source int, _size bigint"))
+
+
+def draw_steps(spark: SparkSession, sizes: Sequence[int], probabilities: Sequence[float], seed: int, stopping: str = FIRST) -> int:
+    """How many steps the mixture has."""
     _check(sizes, probabilities, stopping)
     combine = min if stopping == FIRST else max
     live = [n for n, p in enumerate(probabilities) if p > 0]
@@ -103,12 +123,7 @@ def draw_plan(
         if (any(done) if stopping == FIRST else all(done)):
             break
         steps *= 2
-    block = block_range(F.col("mix_id"))
-    sized = spark.createDataFrame([(n, int(s)) for n, s in enumerate(sizes)], "source int, _size bigint")
-    sized = F.broadcast(sized)  # one row per source of the mixture spec
-    draws = _draws(spark, _stop(draws, block, sized, stopping) + 1, probabilities, seed)
-    ranked = with_rank(draws, ["source"], ["mix_id"], block, out="_taken")
-    return ranked.join(sized, "source").select("mix_id", "source", (F.col("_taken") % F.col("_size")).alias("row_id"))
+    return _stop(draws, block_range(F.col("mix_id")), _sized(spark, sizes), stopping) + 1
 
 
 def _stop(draws: DataFrame, block: Column, sized: DataFrame, stopping: str) -> int:
@@ -162,8 +177,66 @@ def interleave_by_chance(
 ) -> DataFrame:
     """Interleave with drawn sources; a set that runs out starts over until the stop."""
     sizes = list(sizes) if sizes is not None else lengths(dfs)
-    plan = draw_plan(dfs[0].sparkSession, sizes, probabilities, seed, stopping)
-    return plan.join(stack(dfs), ["source", "row_id"])
+    spark = dfs[0].sparkSession
+    steps = draw_steps(spark, sizes, probabilities, seed, stopping)
+    return _placed(dfs, sizes, steps, probabilities, seed, max(DRAWS, math.ceil(steps / MOST_BLOCKS)))
+
+
+def _placed(dfs: Sequence[DataFrame], sizes: Sequence[int], steps: int, probabilities: Sequence[float], seed: int, block: int) -> DataFrame:
+    """Rows of all sources at the steps that draw them.
+
+    A row is the k-th draw of its source, for every k it takes. Counts per block of steps, MOST_BLOCKS
+    for a source at most, say in which block that draw lies; the block's draws, hashes of the step
+    numbers, are made again to find the step. Rows of neighbouring k meet in one task, a block's worth
+    of rows to a key, so each block is drawn again once for a source.
+    """
+    spark = dfs[0].sparkSession
+    counts = _draws(spark, steps, probabilities, seed).groupBy(
+        "source", F.floor(F.col("mix_id") / block).alias("block")).agg(F.count(F.lit(1)).alias("n")).collect()
+    blocks = math.ceil(steps / block)
+    found = [[0] * blocks for _ in dfs]
+    for r in counts:
+        found[r["source"]][r["block"]] = r["n"]
+    upto = [[0, *itertools.accumulate(x)] for x in found]
+    near = [max(1, round(x[-1] / blocks)) for x in upto]
+    rows = stack([_copies(d, s, x[-1]) for d, s, x in zip(dfs, sizes, upto)])
+    widths = F.array(*[F.lit(w) for w in near])
+    key = F.floor(F.col("_k") / F.get(widths, F.col("source")))
+    dealt = rows.withColumn("_key", key).repartition("source", "_key").sortWithinPartitions("source", "_k").drop("_key")
+    schema = StructType([f for f in rows.schema if f.name != "_k"]).add("mix_id", LongType())
+    return dealt.mapInArrow(_steps_of(spark.sparkContext.broadcast(upto), block, steps, cdf_thresholds(probabilities), seed), schema)
+
+
+def _steps_of(upto, block: int, steps: int, thresholds: list[int], seed: int):
+    """The task function, made locally so that it travels by value."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    def sources(b: int) -> np.ndarray:
+        draws = [int.from_bytes(hashlib.md5(b"%d|%d|source" % (seed, i)).digest()[:4], "big") for i in range(b * block, min(steps, (b + 1) * block))]
+        return np.searchsorted(np.array(thresholds, np.int64), np.array(draws, np.int64), side="right")
+
+    def place(batches):
+        starts = [np.array(x, np.int64) for x in upto.value]
+        known: tuple = (None, None)
+        for batch in batches:
+            source = batch.column("source").to_numpy()
+            k = batch.column("_k").to_numpy()
+            step = np.empty(len(k), np.int64)
+            for s in np.unique(source):
+                mine = np.flatnonzero(source == s)
+                at = np.searchsorted(starts[s], k[mine], side="right") - 1
+                for b in np.unique(at):
+                    if known[0] != (s, b):
+                        known = ((s, b), np.flatnonzero(sources(int(b)) == s) + int(b) * block)
+                    here = mine[at == b]
+                    step[here] = known[1][k[here] - starts[s][b]]
+            kept = [n for n in batch.schema.names if n != "_k"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(step)], [*kept, "mix_id"])
+
+    return place
 
 
 def subset(df: DataFrame, portion: float, shuffle: bool = True, seed: int = 42) -> DataFrame:
@@ -177,19 +250,29 @@ def subset(df: DataFrame, portion: float, shuffle: bool = True, seed: int = 42)
     return df.where(F.col("row_id") < size.scalar())
 
 
-def route(
-    mixture: DataFrame,
-    builders: Mapping[int, Callable[[DataFrame], DataFrame]],
-    single: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """Sources with an episode builder go through it, the others through `single`.
+Builder = Callable[[DataFrame], DataFrame]
 
-    Both return the same columns, `source` among them; the order stays in `mix_id`.
+
+def route(mixture: DataFrame, builders: Mapping[int, tuple[str, Builder]], single: tuple[str, Builder]) -> DataFrame:
+    """`mix_id, source, item`: sources with an episode builder go through it, the others through `single`.
+
+    Every builder has a kind and returns `mix_id, source, item` for its rows. Items of different shape
+    share a mixture as one tagged type: `item.kind`, and a field of each kind that is null in the others.
+    Builders of one kind return one shape.
     """
     named = list(builders)
-    out = single(mixture.where(~F.col("source").isin(named)) if named else mixture)
-    for n, build in builders.items():
-        out = out.unionByName(build(mixture.where(F.col("source") == n)), allowMissingColumns=True)
+    parts = [(single[0], single[1](mixture.where(~F.col("source").isin(named)) if named else mixture))]
+    parts += [(kind, build(mixture.where(F.col("source") == n))) for n, (kind, build) in builders.items()]
+    types: dict[str, DataType] = {}
+    for kind, built in parts:
+        shape = built.schema["item"].dataType
+        if types.setdefault(kind, shape).simpleString() != shape.simpleString():
+            raise ValueError(f"two shapes of {kind}: {types[kind].simpleString()} and {shape.simpleString()}")
+    out = None
+    for kind, built in parts:
+        fields = [(F.col("item") if k == kind else F.lit(None).cast(t)).alias(k) for k, t in types.items()]
+        one = built.select("mix_id", "source", F.struct(F.lit(kind).alias("kind"), *fields).alias("item"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
