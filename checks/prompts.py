@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import load, query, rank32, table
 from lumenfold import schema as S
-from lumenfold.functions import prompts, text, tokens
+from lumenfold.functions import prompts, text, token_runs, tokens
 from lumenfold.functions.binding import explode_items
 from lumenfold.functions.prompt_templates import TEMPLATES
 from lumenfold.operators import conversations as conv
@@ -257,3 +257,68 @@ def image_span_check(spark, sf):
         extra = F.when(F.col("doc_id") % 4 == k, F.lit(runs[k])).otherwise(extra)
     df = _tokens(spark, sf).select("doc_id", F.concat("tokens", F.split(extra, " ")).alias("tokens"))
     return df.select("doc_id", tokens.image_span_problem(F.col("tokens"), 2).alias("problem"))
+
+
+# The same four on runs: turns with an image of 256 patches behind their first word, the plain form at the end only.
+_IMAGE_SQL = f"""tk as (select conv_id, turn, case turn%3 when 0 then w[1:1]||['{S.IM_START}']||list_transform(range(256), lambda x: '{S.IM_PATCH}')||['{S.IM_END}']||w[2:]
+  when 1 then w[1:1]||['{S.IM_START}']||list_transform(range(255), lambda x: '{S.IM_PATCH}')||['{S.IM_END}']||w[2:] else w end t
+  from (select conv_id, turn, string_split(text,' ') w from conversations))"""
+
+
+def _image_rows(spark, sf):
+    words = F.split("text", " ")
+    image = lambda n: F.concat(F.slice(words, 1, 1), F.array(F.lit(S.IM_START)), F.array_repeat(F.lit(S.IM_PATCH), n), F.array(F.lit(S.IM_END)),
+                               F.slice(words, F.lit(2), F.size(words)))
+    with_image = F.when(F.col("turn") % 3 == 0, image(256)).when(F.col("turn") % 3 == 1, image(255)).otherwise(words)
+    return table(spark, sf, "conversations").select("conv_id", "turn", with_image.alias("t")).select(
+        "conv_id", "turn", token_runs.encode(F.col("t")).alias("r"), token_runs.encode(F.transform("t", lambda x: F.length(x))).alias("ids"))
+
+
+def _plain(runs):
+    return _show(token_runs.decode(runs))
+
+
+@query("F11", f"""
+with {_IMAGE_SQL}, u as (select conv_id, turn, unnest(t) tok, generate_subscripts(t,1) i, len(t) n from tk),
+h as (select *, tok in ('{S.IM_PATCH}','{S.IM_START}','{S.IM_END}') held from u),
+c as (select *, count(*) filter (held) over (partition by conv_id, turn) k, row_number() over (partition by conv_id, turn, held order by i) j from h)
+select conv_id, turn, md5(string_agg(tok,',' order by i)) kept, count(*)::integer n_kept from c where n<=262 or held or j<=262-k group by conv_id, turn""")
+def runs_truncate(spark, sf):
+    r = F.col("r")
+    sample = F.struct(r.alias("input_ids"), r.alias("attention_mask"), r.alias("labels"))
+    kept = _image_rows(spark, sf).select("conv_id", "turn", token_runs.truncate(sample, 262).alias("s"))
+    return kept.select("conv_id", "turn", _plain(F.col("s.labels")).alias("kept"), token_runs.total(F.col("s.input_ids")).alias("n_kept"))
+
+
+@query("F12", f"""
+with {_IMAGE_SQL}, i as (select conv_id, turn, conv_id//4 batch_id, list_transform(t, lambda x: length(x)) ids from tk),
+w as (select *, list_transform(range(max(len(ids)) over (partition by batch_id, turn)-len(ids)), lambda x: 0) zeros from i)
+select conv_id, turn, batch_id, {_show_sql("zeros||ids")} input_ids, {_show_sql("zeros||list_transform(ids, lambda x: 1)")} attention_mask,
+       {_show_sql("list_transform(zeros, lambda x: -100)||ids")} labels from w""")
+def runs_pad(spark, sf):
+    """Padded on the left."""
+    df = _image_rows(spark, sf)
+    mask = token_runs.constant(F.lit(1), token_runs.total(F.col("ids")))
+    df = df.select("conv_id", "turn", F.col("ids").alias("input_ids"), mask.alias("attention_mask"), F.col("ids").alias("labels"))
+    out = token_runs.pad_batches(df, 4, 0, row_id="conv_id", left=True, partition=["turn"])
+    return out.select("conv_id", "turn", "batch_id", *[_plain(F.col(c)).alias(c) for c in token_runs.FIELDS])
+
+
+@query("F9", f"""
+with {_IMAGE_SQL}, i as (select conv_id, turn, list_transform(t, lambda x: length(x)) ids,
+  row_number() over (partition by conv_id order by turn) k, count(*) over (partition by conv_id) m from tk),
+c as (select conv_id, k, k=m final, case when k=1 or k=m then ids else ids[:-2] end ids from i)
+select conv_id, sum(len(ids))::integer n_tokens, {_show_sql("flatten(list(ids order by k))")} input_ids,
+       {_show_sql("flatten(list(case when final then ids else list_transform(ids, lambda x: -100) end order by k))")} labels from c group by conv_id""")
+def runs_episode(spark, sf):
+    ids = F.col("ids")
+    item = F.struct("turn", ids.alias("input_ids"), ids.alias("attention_mask"), ids.alias("labels"))
+    items = _image_rows(spark, sf).groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    out = items.select("conv_id", token_runs.concat_episode(F.col("items")).alias("s"))
+    return out.select("conv_id", token_runs.total(F.col("s.input_ids")).alias("n_tokens"),
+                      *[_plain(F.col(f"s.{c}")).alias(c) for c in ("input_ids", "labels")])
+
+
+@query("F16", """select conv_id, turn, case turn%3 when 1 then 'end token does not follow the patches' end problem from conversations""")
+def runs_span_check(spark, sf):
+    return _image_rows(spark, sf).select("conv_id", "turn", token_runs.image_span_problem(F.col("r")).alias("problem"))
