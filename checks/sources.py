@@ -208,13 +208,14 @@ def ranked_csv(spark, sf):
 
 @query("A12", "select test_set, row_id, pred, target from predictions", ["predictions"])
 def prediction_sink(spark, sf):
-    """Two appends, one per half of the rows."""
+    """Two batches, one per half of the rows; both are written twice, and a third attempt breaks off before its commit."""
     path = scratch_dir(spark)
     preds, targets = _split(spark, sf)
     rows = targets.join(preds, "row_id")
-    sinks.write_predictions(rows.where("row_id % 2 = 0"), path)
-    sinks.write_predictions(rows.where("row_id % 2 = 1"), path)
-    return readers.read_jsonl(spark, path, "test_set string, row_id bigint, pred string, target string")
+    for half in (0, 1, 0, 1):
+        sinks.write_predictions(rows.where(F.col("row_id") % 2 == half), path, f"run 7/half {half}")
+    rows.write.partitionBy("test_set").json(f"{path}/batch=broken")
+    return sinks.read_predictions(spark, path)
 
 
 # One image for each priority, status and month: all orders make its size. A ninth of the files are no images

@@ -16,9 +16,21 @@ from lumenfold.functions.text import bare_label, extract_label
 Extractor = Callable[[Column], Column]
 
 
-def align(preds: DataFrame, targets: DataFrame) -> DataFrame:
-    """Predictions and targets side by side; a target without prediction counts as failed."""
-    return targets.join(preds, "row_id", "left")
+def align(preds: DataFrame, targets: DataFrame, newest: str | None = None) -> DataFrame:
+    """Predictions and targets side by side; a target without prediction counts as failed.
+
+    One prediction counts for a target. With `newest`, a column of `preds` that orders them, the last
+    one does; without it a second one is an error, since it would count its target twice.
+    """
+    others = [c for c in preds.columns if c != "row_id"]
+    fields = F.struct(*others)
+    if newest is not None:
+        one = F.max_by(fields, newest)
+    else:
+        again = F.raise_error(F.concat(F.lit("several predictions for row "), F.first("row_id").cast("string")))
+        one = F.when(F.count(F.lit(1)) > 1, again.cast(preds.select(fields.alias("p")).schema["p"].dataType)).otherwise(F.first(fields))
+    single = preds.groupBy("row_id").agg(one.alias("_p")).select("row_id", "_p.*")
+    return targets.join(single, "row_id", "left")
 
 
 def score_match(df: DataFrame, extract: Extractor) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.sources.json_object import open_store
+
+COMMITS = "_commits"
+
 # Header of ranked-neighbour files (fixed value: it names 80 ranks whatever the row length).
 RANK_HEADER = ",".join(["cls_id\\sort_idx", *map(str, range(1, 81))])
 
@@ -24,9 +31,44 @@ def write_tables(tables: Mapping[str, DataFrame], path: str, mode: str = "error"
     return out
 
 
-def write_predictions(df: DataFrame, path: str) -> None:
-    """`row_id, pred, target` appended per test set; `row_id` stands for the input order."""
-    df.select("test_set", "row_id", "pred", "target").write.mode("append").partitionBy("test_set").json(path)
+def write_predictions(df: DataFrame, path: str, batch: str) -> bool:
+    """`row_id, pred, target` of one batch added per test set; `row_id` stands for the input order.
+
+    A batch counts once, however often it is written: its rows go to a folder of their own, and only
+    then a commit named after the batch says which folder it is. A batch that has a commit is not
+    written again (the result is False), and rows of an attempt that broke off are in no commit. In a
+    stream: `writeStream.foreachBatch(lambda df, n: write_predictions(df, path, f"{query}-{n}"))`.
+    """
+    fs, root = open_store(path)
+    commit = f"{root}/{COMMITS}/{quote(batch, safe='')}"
+    if fs.get_file_info(commit).type == pafs.FileType.File:
+        return False
+    folder = f"batch={uuid.uuid4().hex}"
+    rows = df.select("test_set", "row_id", "pred", "target")
+    rows.write.partitionBy("test_set").json(f"{path.rstrip('/')}/{folder}")
+    fs.create_dir(f"{root}/{COMMITS}", recursive=True)
+    attempt = f"{commit}.{folder[6:]}.tmp"
+    with fs.open_output_stream(attempt) as out:
+        out.write(folder.encode())
+    # The last of several attempts at one batch counts, and it alone.
+    fs.move(attempt, commit)
+    return True
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """`test_set, row_id, pred, target` of the committed batches."""
+    fs, root = open_store(path)
+    found = fs.get_file_info(pafs.FileSelector(f"{root}/{COMMITS}", allow_not_found=True))
+    folders = []
+    for info in sorted(found, key=lambda i: i.path):
+        if not info.base_name.endswith(".tmp"):
+            with fs.open_input_stream(info.path) as f:
+                folders.append(f"{path.rstrip('/')}/{f.read().decode()}")
+    schema = "test_set string, row_id bigint, pred string, target string"
+    if not folders:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, batch string").option("basePath", path).json(folders)
+    return rows.select("test_set", "row_id", "pred", "target")
 
 
 def write_ranked(ranked: DataFrame, path: str, mode: str = "error") -> None:
