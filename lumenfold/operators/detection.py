@@ -17,7 +17,8 @@ from lumenfold import schema as S
 from lumenfold.functions.draws import chance, order60, rank32, random_word, shuffled
 from lumenfold.functions.geometry import clean_box, xywh_to_xyxy
 from lumenfold.functions.text import swap, template
-from lumenfold.operators.ranking import rank_by_hash
+from lumenfold.operators.ranking import pick_by_rank, rank_by_hash
+from lumenfold.session import materialise
 
 # Texts and modes (fixed values).
 LEARN = "[INSTRUCTION] Please learn from the following sentence about the image <image>."
@@ -27,6 +28,7 @@ FIRST_MODE = "hypnotized_v1.0"
 SUPPORT_MODE = "hypnotized_ans_v1.0"
 QUERY_MODE = "hypnotized_v1.1"
 HARD = 5
+POOL_ROWS = 4096  # images that one range of the largest category holds, about
 
 # Why an item or an episode could not be built.
 NO_NEIGHBOUR = "no category that is not in the image"
@@ -94,17 +96,17 @@ def without_neighbour(categories: DataFrame, chosen: DataFrame) -> DataFrame:
 def draw_images(draws: DataFrame, annotations: DataFrame, expired: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:
     """A random image that is not expired per draw (`category_id, side, slot, of`; `of` = category drawn from).
 
-    Images are ranked once per category and a draw is a rank, so the work does not grow with the
-    number of episodes that share a category. Draws from categories without images are not among the
-    result; the callers give such an item or episode its `problem`.
+    The images of a category are numbered by hash and a draw is a number. The pool is kept once; counts
+    per hash range tell into which range a draw falls, and only ranges that are hit are ranked, for all
+    sides and slots together. Draws from categories without images are not among the result; the
+    callers give such an item or episode its `problem`.
     """
     pool = annotations.select("category_id", "image_id").distinct().join(expired, "image_id", "left_anti")
     pool = pool.select(F.col("category_id").alias("of"), "image_id")
-    hashed = pool.withColumn("_h", order60(seed, F.col("of"), F.col("image_id"), "pool"))
-    ranked = rank_by_hash(hashed, ["of"], ["_h", "image_id"], "_at").drop("_h")
-    sizes = pool.groupBy("of").agg(F.count(F.lit(1)).alias("_size"))
-    at = F.pmod(rank32(seed, epoch, F.col("category_id"), F.col("side"), F.col("slot"), "image"), F.col("_size"))
-    return draws.join(sizes, "of").withColumn("_at", at).join(ranked, ["of", "_at"]).drop("_at", "_size")
+    kept = materialise(pool.withColumn("_h", order60(seed, F.col("of"), F.col("image_id"), "pool")))
+    at = rank32(seed, epoch, F.col("category_id"), F.col("side"), F.col("slot"), "image")
+    drawn = pick_by_rank(draws, kept, ["of"], ["_h", "image_id"], lambda size: F.pmod(at, size), POOL_ROWS)
+    return drawn.where("image_id is not null").drop("_h")
 
 
 def with_boxes(drawn: DataFrame, annotations: DataFrame, images: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:
@@ -151,7 +153,7 @@ def plain_items(
 
     Where it cannot be drawn `item` is null and `problem` says why; `problem` is null elsewhere.
     """
-    chosen = choose_neighbour(categories, annotations, neighbors, seed, epoch)
+    chosen = materialise(choose_neighbour(categories, annotations, neighbors, seed, epoch))
     usable = usable_categories(categories, annotations).select(F.col("id").alias("category_id"))
     positive = chance(0.5, seed, epoch, F.col("category_id"), "positive")
     draws = usable.join(chosen, "category_id", "left").select(
@@ -182,7 +184,8 @@ def episodes(
     `items` is null and `problem` says why.
     """
     key = [seed, epoch, F.col("category_id")]
-    chosen = choose_neighbour(categories, annotations, neighbors, seed, epoch)
+    # One row a category, read by the draws and by the rows with a problem.
+    chosen = materialise(choose_neighbour(categories, annotations, neighbors, seed, epoch))
     kind = F.pmod(rank32(*key, "query"), F.lit(4))
     slots = F.sequence(F.lit(0), F.lit(shot - 1))
     side = lambda name, of: F.transform(slots, lambda s: F.struct(F.lit(name).alias("side"), s.alias("slot"), of.alias("of")))

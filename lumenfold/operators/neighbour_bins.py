@@ -55,6 +55,8 @@ def from_ranking(ranked: DataFrame, neighbours: int, seed: int = 0, n_classes: i
 
 def _numbered(classes: DataFrame, parts: int) -> DataFrame:
     """Adds `_i`, the number of a class in the order of the ids, from counts of id ranges."""
+    if parts == 1:  # one range: few enough for one window
+        return classes.withColumn("_i", (F.row_number().over(Window.orderBy("class_id")) - 1).cast("bigint"))
     cut = materialise(classes.repartitionByRange(parts, "class_id").withColumn("_part", F.spark_partition_id()))
     # One row a range: few enough for one window.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
