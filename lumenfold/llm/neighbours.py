@@ -39,13 +39,16 @@ class Router(NamedTuple):
 
 
 def neighbour_graph(unit: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
-    """Indexes of each row's k nearest others by cosine."""
+    """Indexes of each row's k nearest others by cosine, nearest first."""
     k = min(k, len(unit) - 1)
     out = np.empty((len(unit), k), dtype=np.int64)
     for a in range(0, len(unit), block):
         near = unit[a : a + block] @ unit.T
         near[np.arange(len(near)), np.arange(a, a + len(near))] = -np.inf
-        out[a : a + block] = np.argpartition(-near, k - 1, axis=1)[:, :k] if k else 0
+        if k:
+            some = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            by = np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable")
+            out[a : a + block] = np.take_along_axis(some, by, axis=1)
     return out
 
 
@@ -146,8 +149,9 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _route(rows: DataFrame, shared, probes: int | None) -> DataFrame:
-    """One row for each vector and part: its best part, or its `probes` best."""
+def _route(rows: DataFrame, shared, probes: int | None, sizes: dict[int, int] | None = None, least: int = 0) -> DataFrame:
+    """One row for each vector and part: its best part, or its `probes` best and as many more, by
+    probability, as hold `least` vectors together (all parts, if fewer do)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,10 +161,16 @@ def _route(rows: DataFrame, shared, probes: int | None) -> DataFrame:
             scale = np.abs(x).max(axis=1, keepdims=True)
             unit = x / scale / np.linalg.norm(x / scale, axis=1, keepdims=True)
             s = shared.value.scores(unit.astype(np.float32))
-            best = np.argsort(-s, axis=1, kind="stable")[:, : probes or 1]
-            at = pa.array(np.repeat(np.arange(len(x)), best.shape[1]))
+            best = np.argsort(-s, axis=1, kind="stable")
+            if sizes is None:
+                taken = np.arange(best.shape[1]) < np.full((len(x), 1), probes or 1)
+            else:
+                held = np.array([sizes.get(p, 0) for p in range(best.shape[1])])[best].cumsum(axis=1)
+                taken = np.arange(best.shape[1]) < np.maximum(probes or 1, (held < least).sum(axis=1) + 1)[:, None]
+            row, place = np.nonzero(taken)
+            at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(at), pa.array(best.ravel().astype(np.int32)), batch.column("v").take(at)], ["vec_id", "part", "v"])
+                [batch.column("vec_id").take(at), pa.array(best[row, place].astype(np.int32)), batch.column("v").take(at)], ["vec_id", "part", "v"])
 
     return rows.mapInArrow(run, "vec_id long, part int, v array<double>")
 
@@ -214,9 +224,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.9
     router = learn(x, parts, recall, seed)
     shared = spark.sparkContext.broadcast(router)
     indexed = scratch.keep(_route(valid, shared, None))
-    asked = _route(valid.filter(F.col("vec_id") % every == 0), shared, router.probes)
-    # Counts of at most `parts` rows; cells and blocks follow them.
+    # Counts of at most `parts` rows; cells, blocks and further probes follow them.
     sizes = {r["part"]: r["n"] for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    asked = _route(valid.filter(F.col("vec_id") % every == 0), shared, router.probes, sizes, k + 1)
     blocks = max(1, math.ceil(total / every * router.probes / parts / CELL_QUERIES))
     cells = F.element_at(F.create_map(*[F.lit(e) for p in range(parts) for e in (p, max(1, math.ceil(sizes.get(p, 0) / CELL_VECTORS)))]), F.col("part"))
     stored = indexed.select("part", F.pmod(F.xxhash64("vec_id"), cells).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")

@@ -10,8 +10,11 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import xxhash
 
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+ALL = np.uint64((1 << 64) - 1)
+LONG_WORD = 256
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -49,6 +52,12 @@ def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def packed(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,))
+
+
 class Windows:
     """Hashes of any range of `values` in constant time each."""
 
@@ -102,5 +111,20 @@ class Words:
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
     def hashes(self, seed: int) -> np.ndarray:
-        w = Windows(byte_values(seed)[self.data], seed)
-        return mix(w.ranges(self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64) * np.uint64(seed))
+        """64 bits a word: eight bytes at a time through the finaliser, long words by XXH64.
+
+        A polynomial of the bytes would not do here: modulo 2**64 some long words have one value for any base.
+        """
+        size = self.ends - self.starts
+        h = mix(size.astype(np.uint64) + np.uint64(seed))
+        wide = packed(self.data)
+        left, k = np.flatnonzero(size <= LONG_WORD), 0
+        while len(left):
+            rest = np.minimum(size[left] - 8 * k, 8).astype(np.uint64)
+            chunk = wide[self.starts[left] + 8 * k] & (ALL >> (np.uint64(64) - np.uint64(8) * rest))
+            h[left] = mix(h[left] ^ chunk)
+            k += 1
+            left = left[size[left] > 8 * k]
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            h[i] = xxhash.xxh64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes(), seed=seed)
+        return h

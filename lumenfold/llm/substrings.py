@@ -153,18 +153,18 @@ def _estimated_twice(values: np.ndarray, seen: np.ndarray, bits: int) -> np.ndar
     return out
 
 
-def _runs(doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Consecutive tags of a document as (doc, first tag, number)."""
+def _runs(doc: np.ndarray, tag: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Consecutive tags of a document as (doc, first tag, high, number)."""
     if not len(doc):
-        return doc, tag, tag
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(tag) != 1)]))
-    return doc[cut], tag[cut], np.diff(np.append(cut, len(doc)))
+        return doc, tag, high, tag
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(tag) != 1) | (np.diff(high) != 0)]))
+    return doc[cut], tag[cut], high[cut], np.diff(np.append(cut, len(doc)))
 
 
 def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(_d, _t, spans): for each document, runs of window starts (place, number) that repeat an earlier window.
+    """(_d, _t, _e, spans): for each document, runs of window starts (place, number) that repeat an earlier window.
 
-    `docs` has _d (id), _h (hash of the text) and text. Windows are grouped by 96 bits of hash. Of equal windows in one batch of a task only
+    `docs` has _d (id), _h (hash of the text) and text; _t and _e are the low and the high half of _h. Windows are grouped by 96 bits of hash. Of equal windows in one batch of a task only
     the first can be the earliest of all; the others are known to repeat and travel as runs. So a
     window that a third of all documents share reaches its group once for each batch.
     """
@@ -194,26 +194,27 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
                     text = words.text[at]
                     place = (at - words.first[text]).astype(np.uint64)
                     tag = (hashes[text].view(np.uint64) << np.uint64(32) | place).view(np.int64)
-                    found.append((mix(one.ranges(at, at + window)), mix(two.ranges(at, at + window)), ids[text], tag))
+                    high = (hashes[text] >> 32).astype(np.int32)
+                    found.append((mix(one.ranges(at, at + window)), mix(two.ranges(at, at + window)), ids[text], tag, high))
             if not found:
                 continue
-            w1, w2, doc, tag = (np.concatenate(c) for c in zip(*found))
+            w1, w2, doc, tag, high = (np.concatenate(c) for c in zip(*found))
             _, first, back = np.unique(w1, return_index=True, return_inverse=True)
             again = (first[back] != np.arange(len(w1))) & (w2[first[back]] == w2)
-            d, t, n = _runs(doc[again], tag[again])
+            d, t, e, n = _runs(doc[again], tag[again], high[again])
             go = ~again
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([w1[go].view(np.int64), mix(d.view(np.uint64)).view(np.int64)])),
                  pa.array(np.concatenate([(w2[go] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.zeros(len(d), np.int32)])),
-                 pa.array(np.concatenate([doc[go], d])), pa.array(np.concatenate([tag[go], t])),
+                 pa.array(np.concatenate([doc[go], d])), pa.array(np.concatenate([tag[go], t])), pa.array(np.concatenate([high[go], e])),
                  pa.array(np.concatenate([np.zeros(go.sum(), np.int32), n.astype(np.int32)]))],
-                ["w1", "w2", "doc", "tag", "n"])
+                ["w1", "w2", "doc", "tag", "high", "n"])
 
-    rows = docs.select("_d", "_h", "text").mapInArrow(emit, "w1 long, w2 int, doc long, tag long, n int")
-    me = F.struct("doc", "tag")
+    rows = docs.select("_d", "_h", "text").mapInArrow(emit, "w1 long, w2 int, doc long, tag long, high int, n int")
+    me = F.struct("doc", "tag", "high")
     least = F.min(F.when(F.col("n") == 0, me)).over(Window.partitionBy("w1", "w2"))
     again = rows.withColumn("_first", least).filter((F.col("n") > 0) | (F.col("_first") != me))
-    return again.groupBy(F.col("doc").alias("_d"), F.shiftrightunsigned("tag", 32).alias("_t")).agg(F.collect_list(F.struct(
+    return again.groupBy(F.col("doc").alias("_d"), F.shiftrightunsigned("tag", 32).alias("_t"), F.col("high").alias("_e")).agg(F.collect_list(F.struct(
         F.col("tag").bitwiseAND(F.lit(LOW)).alias("at"), F.greatest("n", F.lit(1)).alias("n"))).alias("spans"))
 
 
@@ -230,7 +231,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"),
         F.xxhash64("text").alias("_h"), "text")
     spans = repeated_windows(rows, window)
-    joined = rows.withColumn("_t", F.col("_h").bitwiseAND(F.lit(LOW))).drop("_h").join(spans, ["_d", "_t"], "left")
+    halves = {"_t": F.col("_h").bitwiseAND(F.lit(LOW)), "_e": F.shiftright("_h", 32).cast("int")}
+    joined = rows.withColumns(halves).drop("_h").join(spans, ["_d", "_t", "_e"], "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scratch.text_slices(batches, limit=2 << 20):

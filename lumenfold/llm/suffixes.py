@@ -21,11 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lumenfold.llm import induced, scratch
-from lumenfold.llm.rolling import SEEDS, Windows, anchors, byte_values, mix
+from lumenfold.llm.rolling import anchors, byte_values, mix, packed, SEEDS, Windows
 
 GRAM = 32
 SHARD_BYTES = 3 << 19
-NO_ID = -(1 << 63)
 LOW = (1 << 32) - 1
 
 
@@ -62,7 +61,9 @@ def _runs(texts: list[bytes], length: int):
     start, number = cut[ok], number[ok]
     text = np.searchsorted(ends, start, side="left")
     size = number - 1 + length
-    content = mix(w.ranges(start, start + size) + size.astype(np.uint64) * np.uint64(SEEDS[1]))
+    # Eight bytes at a time through the finaliser: of single bytes, long runs of two letters can have one sum for any base.
+    wide = Windows(mix(packed(data) ^ np.uint64(SEEDS[1])), SEEDS[1]) if length >= 8 else w
+    content = mix(wide.ranges(start, start + size - 7 * (length >= 8)) + size.astype(np.uint64) * np.uint64(SEEDS[1]))
     return text, start - begins[text], number, least[start], content, np.isin(least[start], twice)
 
 
@@ -216,10 +217,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, carry: tuple[str, ...] =
     if it has `length` bytes. Columns named in `carry` come along in a struct `rest`, others are
     ignored; an empty table gives no rows.
     """
-    # The text's hash tells rows with one doc_id and different texts apart.
+    # A row is known by 96 bits: 64 of id and text (or of the missing id and text), 32 more of the text.
+    ids = F.col("doc_id").cast("long")
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"),
-        F.xxhash64("text").alias("_h"), "text", *([F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []))
+        ids.alias("doc_id"), F.xxhash64(ids.isNull(), ids, "text").alias("_d"), F.xxhash64(F.lit("text"), "text").alias("_h"), "text", *([F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []))
     found = scratch.keep(judge_runs(candidate_runs(rows, length)))
     # Anchors that fill a shard: as many as such shards at most.
     sizes = found.filter("asked").groupBy("anchor").agg(F.sum(F.col("n") + length).alias("b"))
