@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm import scratch
 
 SAMPLE = 6000
+SEEN = 32  # sample vectors whose parts a query is sent to
 GRAPH = 10
 CELL_VECTORS = 4096
 CELL_QUERIES = 1024
@@ -33,10 +34,21 @@ class Router(NamedTuple):
     w2: np.ndarray
     b2: np.ndarray
     probes: int
+    seen: np.ndarray | None = None  # the sample's unit vectors, and the part of each
+    home: np.ndarray | None = None
 
     def scores(self, unit: np.ndarray) -> np.ndarray:
         return np.maximum(unit @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
+    def homes_near(self, unit: np.ndarray, parts: int, m: int = SEEN) -> np.ndarray:
+        """For each row and part whether one of the row's `m` nearest sample vectors lies there."""
+        out = np.zeros((len(unit), parts), dtype=bool)
+        m = min(m, len(self.seen))
+        for a in range(0, len(unit), 256):
+            near = np.argpartition(-(unit[a : a + 256] @ self.seen.T), m - 1, axis=1)[:, :m]
+            out[np.repeat(np.arange(a, a + len(near)), m), self.home[near].ravel()] = True
+        return out
+
 
 def neighbour_graph(unit: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
     """Indexes of each row's k nearest others by cosine, nearest first."""
@@ -134,7 +146,7 @@ def learn(sample: np.ndarray, parts: int, recall: float, seed: int = 0, hidden:
     near = graph[held][:, :5] if graph.shape[1] else graph[held]
     needed = rank[np.flatnonzero(held)[:, None], home[near]] if near.size else np.zeros((1, 1), np.int64)
     found = [(needed < p).mean() for p in range(1, parts + 1)]
-    return router._replace(probes=1 + next((i for i, r in enumerate(found) if r >= recall), parts - 1))
+    return router._replace(seen=unit.astype(np.float32), home=home, probes=1 + next((i for i, r in enumerate(found) if r >= recall), parts - 1))
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
@@ -151,7 +163,8 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 
 def _route(rows: DataFrame, shared, probes: int | None, sizes: dict[int, int] | None = None, least: int = 0) -> DataFrame:
     """One row for each vector and part: its best part, or its `probes` best and as many more, by
-    probability, as hold `least` vectors together (all parts, if fewer do)."""
+    probability, as hold `least` vectors together (all parts, if fewer do), with the parts of its nearest
+    vectors in the sample: those keep the recall of a query that lies apart from what the router learned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,6 +180,7 @@ def _route(rows: DataFrame, shared, probes: int | None, sizes: dict[int, int] |
             else:
                 held = np.array([sizes.get(p, 0) for p in range(best.shape[1])])[best].cumsum(axis=1)
                 taken = np.arange(best.shape[1]) < np.maximum(probes or 1, (held < least).sum(axis=1) + 1)[:, None]
+                taken |= np.take_along_axis(shared.value.homes_near(unit.astype(np.float32), best.shape[1]), best, axis=1)
             row, place = np.nonzero(taken)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
