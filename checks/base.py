@@ -110,7 +110,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     sql = INPUTS[name]
     df = spark.sql(sql, **{t: table(spark, sf, t) for t in _fields(sql)})
-    return df.repartition("row_id") if name in WIDE else df
+    # A number, so that adaptive execution does not join small partitions of rows that are slow to convert.
+    return df.repartition(spark.sparkContext.defaultParallelism, "row_id") if name in WIDE else df
 
 
 def query(ids: str, sql: str | None = None, inputs: Sequence[str] = (), name: str | None = None):

@@ -206,12 +206,15 @@ def pure_vqa(spark, sf):
     return flat_items(convert.pure_vqa(records(spark, sf).select("row_id", F.col("img_path").alias("image_path"), _vq().alias("question")), ASK))
 
 
+def vqa_records(spark, sf):
+    return records(spark, sf).select("row_id", F.col("img_path").alias("image_path"), _vq().alias("question"),
+                                     F.struct(F.col("answer").alias("multiple_choice_answer")).alias("annotation"))
+
+
 for _has in (True, False):
     query("B16", flat_sql("records", JPG, _VQ, "'The answer is '||answer||'.'" if _has else "'The answer is UNKNOWN.'"), ["records"],
           name="vqav2" if _has else "vqav2_unknown")(
-        lambda spark, sf, has=_has: flat_items(convert.vqav2(records(spark, sf).select(
-            "row_id", F.col("img_path").alias("image_path"), _vq().alias("question"),
-            F.struct(F.col("answer").alias("multiple_choice_answer")).alias("annotation")), ASK, has_annotation=has)))
+        lambda spark, sf, has=_has: flat_items(convert.vqav2(vqa_records(spark, sf), ASK, has_annotation=has)))
 
 _SO = "' So the answer is '||answer||'.'"
 for _n, _e, _has, _text in [("vqa_e", True, True, f"'It is '||word||{_SO}"), ("vqa_x", False, True, f"'It is '||word||st||{_SO}"), ("vqa_ex_unknown", True, False, "'UNKNOWN'")]:

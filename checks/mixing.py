@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from checks.base import ORACLES, order60, query, rank32, show_boxes, show_seq, table
 from checks.classes import train_records
-from checks.convert import FIND, records
+from checks.convert import ASK, FIND, NAME, records, vqa_records
 from checks.episodes import QUERIES_TEXT
-from lumenfold.functions.draws import cdf_thresholds
 from lumenfold.operators import convert, mixing
 from lumenfold.operators import episodes as ep
 from lumenfold.operators.ranking import block_range, with_rank
@@ -56,7 +55,7 @@ def interleave_all(spark, sf):
 
 
 P = [0.5, 0.3, 0.2]
-_T1, _T2 = cdf_thresholds(P)
+_T1, _T2 = 2147483648, 3435973836  # 0.5 and 0.8 of 2**32
 
 
 def _chance_sql(rule: str) -> str:
@@ -128,13 +127,55 @@ select s::integer source, case s when 0 then 'conv' when 1 then 'doc' when 2 the
        null::double probability, 42 seed, 'first_exhausted' stopping from n, (values (0),(1),(2),(null)) v(s)"""
 
 
-@query("D12,D11", _SUMMARY)
+@query("D12", _SUMMARY)
 def mixture_summary(spark, sf):
     spec = mixing.Mixture(("conv", "doc", "event"))
     frames = dict(zip(spec.sources, sources(spark, sf)))
     return mixing.summary(spec.build(frames), spec)
 
 
+# Named variants through their converters, one on a twentieth of its records, mixed by chance until one runs out.
+VARIANT_MIX = mixing.Mixture(("rec", "reg", "VQAv2_train", "recvg/20"), (0.4, 0.3, 0.2, 0.1), 42, mixing.FIRST, ())
+TEMPLATE_SETS = {"REC": FIND, "REG": NAME, "VQA": ASK}
+_VARIANTS_SQL = f"""i as (select 0 source, row_id k, * from ({ORACLES['rec']}) t union all select 1, row_id, * from ({ORACLES['reg']}) t
+  union all select 2, row_id, * from ({ORACLES['vqav2']}) t
+  union all select 3, row_number() over (order by row_id)-1, * exclude r from (select t.*, row_number() over (order by {order60(43, 'row_id')}) r from ({ORACLES['rec']}) t)
+            where r<=floor((select count(*) from orders)*0.05)),
+z as (select source, count(*) sz from i group by source),
+dr as (select i mix_id, {rank32(42, 'i', '=source')} u from (select unnest(range(0,(select sum(sz)::bigint from z))) i)),
+ds as (select mix_id, (u>=1717986918)::int+(u>=3006477107)::int+(u>=3865470566)::int source from dr),
+dk as (select *, row_number() over (partition by source order by mix_id)-1 n from ds),
+st as (select min(mix_id) stop from dk join z using (source) where n=sz-1),
+pl as (select mix_id, source, n%sz k from dk join z using (source), st where mix_id<=stop)"""
+
+
+def _variants(spark, sf):
+    """Items of each variant under dense numbers; `record` is the number of the record they come from."""
+    frames = {}
+    rows = records(spark, sf)
+    inputs = {"VQAv2_train": vqa_records(spark, sf)}
+    for name in VARIANT_MIX.sources:
+        variant = corpora.TWENTIETHS.get(name) or corpora.VARIANTS[name]
+        items = variant.items(inputs.get(name, rows), TEMPLATE_SETS).withColumnRenamed("row_id", "record")
+        frames[name] = with_rank(items, [], ["record"], block_range(F.col("record")), out="row_id")
+    return frames
+
+
+@query("D11", f"with {_VARIANTS_SQL} select mix_id, pl.source::integer source, row_id record, image, q, a, boxes from pl join i on i.source=pl.source and i.k=pl.k")
+def mixture_of_variants(spark, sf):
+    mixed = VARIANT_MIX.build(_variants(spark, sf))
+    q, a = F.col("conversations")[0], F.col("conversations")[1]
+    return mixed.select("mix_id", "source", "record", "image", q["value"].alias("q"), a["value"].alias("a"),
+                        show_boxes(F.col("target.boxes")).alias("boxes"))
+
+
+@query("D12", f"""with {_VARIANTS_SQL}, c as (select source, count(*) n from pl group by source)
+select source::integer source, ['rec','reg','VQAv2_train','recvg/20'][source+1] "name", n n_rows, [0.4,0.3,0.2,0.1][source+1]::double probability, 42 seed,
+       'first_exhausted' stopping from c union all select null, null, sum(n)::bigint, null, 42, 'first_exhausted' from c""")
+def mixture_summary_by_chance(spark, sf):
+    return mixing.summary(VARIANT_MIX.build(_variants(spark, sf)), VARIANT_MIX)
+
+
 _SETS_SQL = f"""with r as (select *, {rank32('event_id', '=set')}%10 u from events)
 select case when u<7 then 'train' when u=7 then 'validation' when u=8 then 'test' else 'multitest_hard' end as "set", count(*) n_rows from r group by 1"""
 

@@ -169,7 +169,7 @@ def scrub_text(spark, sf):
 
 
 def _tokens(spark, sf, limit=None):
-    return table(spark, sf, "documents").repartition("doc_id").select("doc_id", F.split("text", " ").alias("tokens"))
+    return table(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id").select("doc_id", F.split("text", " ").alias("tokens"))
 
 
 _TOK = "(select doc_id, unnest(string_split(text,' ')) tok, generate_subscripts(string_split(text,' '),1)-1 i from documents)"
