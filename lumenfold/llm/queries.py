@@ -132,4 +132,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_periodic_runs": op12_periodic_runs,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES: dict[str, str] = {}
+# CRC-32 of an id's decimal digits, bit by bit; prefixes are lists of turns, and each node adds to all its ancestors.
+_CRC32 = """xor(list_reduce([4294967295::ubigint] || list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::ubigint),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, step: case when x % 2 = 1 then xor(x // 2, 3988292384::ubigint) else x // 2 end)),
+  4294967295::ubigint)"""
+_TRIE_SQL = f"""
+with own as (select conv_id, list({{'role': coalesce(role, ''), 'words': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) turns
+             from conversations where conv_id is not null group by conv_id),
+h as (select *, conv_id - conv_id % 20 near, ({_CRC32} % 4)::int h from own),
+r as (select a.conv_id, case when b.conv_id is null then a.turns[h + 1:] else b.turns[1:h] || a.turns[h + 1:] end path from h a left join own b on b.conv_id = near),
+m as (select conv_id, path, unnest(range(0, len(path) + 1)) d from r),
+n as (select path[1:d] node, d, min(conv_id) conv_id, count(*) n_convs,
+             coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (len(path) = d), '') ends from m group by 1, 2),
+c as (select node[1:d - 1] node, count(*) n_children from n where d > 0 group by 1),
+v as (select n.*, coalesce(n_children, 0) n_children, case when d = 0 then 0 else (n_convs - 1) * len(regexp_extract_all(n.node[d].words, '[^\\x20\\x09-\\x0D]+')) end saved
+      from n left join c on c.node = n.node),
+s as (select node[1:k] node, sum(saved) saved, sum((n_children = 0)::int) leaves from (select *, unnest(range(0, d + 1)) k from v) group by 1)
+select v.conv_id, v.d depth, p.conv_id parent_conv_id, v.n_convs, v.n_children, s.leaves::bigint n_leaves, s.saved::bigint saved_tokens, sha256(v.ends) ends_sha256
+from v join s on s.node = v.node left join n p on v.d > 0 and p.node = v.node[1:v.d - 1]"""
+ORACLES: dict[str, str] = {"op13_prefix_trie": _TRIE_SQL}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.session import materialise, scratch_dir
 
-__all__ = ["keep", "positions", "scratch_dir", "spread", "table", "text_slices"]
+__all__ = ["Temporary", "keep", "positions", "scratch_dir", "spread", "table", "text_slices"]
 
 ROWS_PER_RANGE = 5000
 
@@ -26,6 +26,33 @@ def keep(df: DataFrame) -> DataFrame:
     return materialise(df)
 
 
+class Temporary:
+    """Tables that only lead to another one: deleted at the end of the block, when that one is written.
+
+    Nothing that is used later may still read them. Where a block fails, they stay for the folder's owner.
+    """
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Temporary:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = scratch_dir(self.spark)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.parquet(path)
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is not None:
+            return
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        for path in self.paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], rows: int, name: str,
               rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Adds `name`: the gapless position of a row in its group, from 0.
