@@ -105,16 +105,41 @@ def _nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int, rate: flo
     return w
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, least: float = 0.05) -> float:
-    """Share of positives among the unlabelled, from scores of both: the smallest ratio of the shares
-    above a threshold, over thresholds that keep at least `least` of the positives."""
-    cuts = np.quantile(pos, np.linspace(0, 1 - least, 200))
+def prior_cuts(pos: np.ndarray, least: float = 0.05) -> np.ndarray:
+    """Thresholds between scores of positives, rising, that keep at least `least` of them."""
+    return np.unique(np.quantile(pos, np.linspace(0, 1 - least, 200)))
+
+
+def estimate_prior(pos: np.ndarray, cuts: np.ndarray, counts: np.ndarray) -> float:
+    """Share of positives among all documents: the smallest ratio of the shares above a threshold.
+
+    `counts` are of documents by how many of `cuts` their score reaches."""
     above_p = 1 - np.searchsorted(np.sort(pos), cuts) / len(pos)
-    above_u = 1 - np.searchsorted(np.sort(unl), cuts) / len(unl)
-    slack = np.sqrt(1 / len(pos) + 1 / len(unl))
+    total = max(1, int(counts.sum()))
+    above_u = counts[::-1].cumsum()[::-1][1:] / total
+    slack = np.sqrt(1 / len(pos) + 1 / total)
     return float(np.clip(np.min((above_u + slack) / np.maximum(above_p, 1e-9)), 0.01, 0.99))
 
 
+def score_counts(docs: DataFrame, weights: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Documents by how many of `cuts` their score under `weights` reaches: one aggregate over all texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), cuts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, edges = shared.value
+        total = np.zeros(len(edges) + 1, dtype=np.int64)
+        for batch in scratch.text_slices(batches):
+            f = features(batch.column("text").to_pylist()) @ w
+            total += np.bincount(np.searchsorted(edges, f, side="right"), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bin", "n"])
+
+    found = np.zeros(len(cuts) + 1, dtype=np.int64)
+    for r in docs.select("text").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        found[r["bin"]] = r["n"]
+    return found
+
+
 def _calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a rising logistic curve through labelled scores, by Newton steps that are
     halved until they help, with a small ridge."""
@@ -184,9 +209,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_kind: int = 2500, steps: int = 2
         return None
     x, kind = _sampled(docs, docs.sparkSession.createDataFrame(rows, "_i long, kind int"))
     pos, unl = x[kind == 1].astype(np.float32), x[kind == 2].astype(np.float32)
-    # A first model to estimate the prior with, then the model.
+    # A first model, under which every document is scored to estimate the prior; then the model.
     first = _nn_pu(pos, unl, 0.5, steps)
-    prior = estimate_prior(pos @ first, unl @ first)
+    of_pos = pos @ first.astype(np.float32)
+    cuts = prior_cuts(of_pos)
+    prior = estimate_prior(of_pos, cuts, score_counts(docs, first, cuts))
     w = _nn_pu(pos, unl, prior, steps)
     scale = max(1e-9, float(np.std(unl @ w)))
     w = (w / scale).astype(np.float32)

@@ -31,8 +31,11 @@ def op3_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.scratch_dir(spark)
     warc.write_warc(warc.page_records(scratch.table(spark, sf_dir, "pages"), min_bytes=0), path, compress="gzip")
-    columns = ["record_id", "record_type", "refers_to", "payload_digest", "http_length", "payload"]
-    return warc.page_digests(warc.read_warc(spark, path, columns, verify="true"))
+    headers = ["record_id", "record_type", "refers_to", "payload_digest", "http_length"]
+    # Payloads are read, and checked, of responses alone; a revisit has none.
+    whole = warc.read_warc(spark, path, [*headers, "payload"], verify="true").filter("record_type = 'response'")
+    short = warc.read_warc(spark, path, headers).filter("record_type = 'revisit'")
+    return warc.page_digests(whole.unionByName(short, allowMissingColumns=True))
 
 
 def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ HEADERS = {
 }
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "_files.json"
-ROLL_BYTES = 256 << 20
+ROLL_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
 
 
@@ -309,14 +309,14 @@ def page_records(pages: DataFrame, min_bytes: int = 0, warc_date: str = "1970-01
 
     Payloads under `min_bytes` are all responses. A null html is an empty payload. Rows that repeat
     the smallest page_id with the same payload are all responses. A null page_id is larger than any
-    other, and its record has no id. Other columns are ignored.
+    other, and its record's id says null. Other columns are ignored.
     """
     raw = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), raw.alias("payload"))
     rows = rows.withColumns({"http_length": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     same = rows.groupBy("payload_digest", "http_length").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     firsts = same.filter((F.col("_n") > 1) & (F.col("http_length") >= min_bytes)).drop("_n")
-    named = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
+    named = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return rows.join(firsts, ["payload_digest", "http_length"], "left").select(
         named("page_id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri",
