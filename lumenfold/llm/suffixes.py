@@ -133,28 +133,57 @@ def _contexts(joined: DataFrame, length: int, shards: int) -> DataFrame:
 
 
 def _windows(joined: DataFrame, length: int) -> DataFrame:
-    """Every window of the asked runs, with two hashes of its bytes."""
-    schema = "known boolean, _d long, _t long, at long, high long, low long"
+    """Windows of the asked runs by two hashes of their bytes, each once a batch.
+
+    A row with times 1 or 2 tells its group that the window stands in the batch once or more; `open`
+    marks those whose repeat only the group can tell. Windows that a batch holds twice repeat, and go
+    as whole stretches with times 0. So a window that a third of the rows share reaches its group
+    once for each batch.
+    """
+    schema = "high long, low long, times int, open boolean, _d long, _t long, at long, size long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scratch.text_slices(batches, limit=1 << 20):
+        for batch in scratch.text_slices(batches, limit=2 << 20):
+            found: list[tuple[np.ndarray, ...]] = []
             for d, t, text, runs in zip(*(batch.column(c).to_pylist() for c in ("_d", "_t", "text", "runs"))):
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
                 number = np.array([r["n"] for r in runs], dtype=np.int64)
                 begin = np.cumsum(number) - number
                 at = np.arange(number.sum()) - np.repeat(begin, number) + np.repeat([r["at"] for r in runs], number)
                 both = [mix(Windows(byte_values(s & 0xFFFF)[data], s).ranges(at, at + length)).view(np.int64) for s in SEEDS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([r["known"] for r in runs], number)), pa.array(np.full(len(at), d)), pa.array(np.full(len(at), t)), pa.array(at), *map(pa.array, both)],
-                    ["known", "_d", "_t", "at", "high", "low"])
+                found.append((*both, np.repeat([r["known"] for r in runs], number), np.full(len(at), d), np.full(len(at), t), at))
+            if not found:
+                continue
+            high, low, known, d, t, at = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((low, high))
+            new = np.concatenate([[True], (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)])
+            group = np.empty(len(order), np.int64)
+            group[order] = np.cumsum(new) - 1
+            count = np.bincount(group)
+            one = order[new]
+            alone = (count[group[one]] == 1) & ~known[one]
+            twice = np.flatnonzero((count[group] > 1) & ~known)
+            twice = twice[np.lexsort((at[twice], t[twice], d[twice]))]
+            jump = np.concatenate([[True], (np.diff(d[twice]) != 0) | (np.diff(t[twice]) != 0) | (np.diff(at[twice]) != 1)]) if len(twice) else np.zeros(0, bool)
+            head = twice[jump]
+            size = np.diff(np.append(np.flatnonzero(jump), len(twice))) - 1 + length
+            zero = np.zeros(len(head), np.int64)
+            place = lambda c: np.concatenate([np.where(alone, c[one], 0), c[head]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([high[one], zero])), pa.array(np.concatenate([low[one], zero])),
+                 pa.array(np.concatenate([np.minimum(count[group[one]], 2), zero]).astype(np.int32)), pa.array(np.concatenate([alone, zero > 0])),
+                 *(pa.array(place(c)) for c in (d, t, at)), pa.array(np.concatenate([np.full(len(one), length), size]))],
+                ["high", "low", "times", "open", "_d", "_t", "at", "size"])
 
     return joined.select("_d", "_t", "text", "runs").mapInArrow(cut, schema)
 
 
-def _grouped(windows: DataFrame, length: int) -> DataFrame:
+def _grouped(windows: DataFrame) -> DataFrame:
     """(_d, _t, at, size): repeated windows of the runs that are not known as a whole."""
-    often = windows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    return windows.filter("not known").join(often, ["high", "low"]).select("_d", "_t", "at", F.lit(length).cast("long").alias("size"))
+    times = F.sum("times").over(Window.partitionBy("high", "low"))
+    often = windows.filter("times > 0").withColumn("_all", times).filter("open and _all > 1")
+    columns = ["_d", "_t", "at", "size"]
+    return often.select(*columns).union(windows.filter("times = 0").select(*columns))
 
 
 def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
@@ -240,7 +269,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, carry: tuple[str, ...] =
     spans = placed.filter("known").select("_d", "_t", "at", (F.col("n") - 1 + length).cast("long").alias("size")).union(sorted_out)
     if some_hot:
         to_group = runs(to_sort.join(hot, "anchor", "left_semi"))
-        spans = spans.union(_grouped(scratch.keep(_windows(keyed.join(to_group, ["_d", "_t"]), length)), length))
+        spans = spans.union(_grouped(scratch.keep(_windows(keyed.join(to_group, ["_d", "_t"]), length))))
     marks = spans.groupBy("_d", "_t").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
