@@ -96,25 +96,32 @@ def top_n(df: DataFrame, groups: Sequence[str], order: Sequence, n: int) -> Data
 def first_by_hash(df: DataFrame, count: Column, order: str) -> DataFrame:
     """The `count` rows with the smallest 60-bit hashes; `count` is written over the row count `n`.
 
-    Counts per range find the range where the count is reached, that one range is ranked to find
-    the last hash to keep, and the rows are filtered by it: no shuffle of the rows themselves.
+    A histogram of hash ranges says in which range the count is reached, and a second one, of that
+    range alone, narrows it to a few hashes: each is one aggregate that the tasks merge, CUT_RANGES
+    rows at most. The rows themselves are filtered by the last hash to keep, and not shuffled.
     """
-    span = hash_range(F.col(order), CUT_RANGES)
-    hashes = df.select(F.col(order).alias("_hash"), span.alias("_span"))
-    spans = hashes.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"))
-    wanted = spans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).select(count.cast("bigint").alias("_k")).scalar()
-    # At most CUT_RANGES rows: the one unpartitioned window here has a fixed size.
-    upto = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = (
-        spans.select("_span", "_n", F.sum("_n").over(upto).alias("_upto"), wanted.alias("_k"))
-        .where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
-        .select("_span", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_take"))
-    )
-    inside = Window.partitionBy("_span").orderBy("_hash")
-    last = (
-        hashes.join(F.broadcast(edge), "_span")  # a single row
-        .withColumn("_r", F.row_number().over(inside))
-        .where(F.col("_r") == F.col("_take"))
-        .select(F.col("_hash").alias("_last"))
-    )
-    return df.where(F.col(order) <= last.scalar())
+    spark = df.sparkSession
+    hashes = df.select(F.col(order).alias("_hash"))
+    low, width, rank = 0, SPAN60, None
+    while True:
+        part = max(1, width // CUT_RANGES)
+        inside = hashes.where((F.col("_hash") >= F.lit(low)) & (F.col("_hash") < F.lit(low + width)))
+        found = inside.groupBy(F.floor((F.col("_hash") - F.lit(low)) / F.lit(part)).alias("span")).agg(F.count(F.lit(1)).alias("n")).collect()
+        sizes = dict(sorted((r["span"], r["n"]) for r in found))
+        if rank is None:
+            total = spark.createDataFrame([(sum(sizes.values()),)], "n bigint")
+            rank = total.select(count.cast("bigint").alias("k")).first()["k"]
+            if rank <= 0:
+                return df.where(F.lit(False))
+            if rank >= sum(sizes.values()):
+                return df
+        for span, n in sizes.items():
+            if rank <= n:
+                break
+            rank -= n
+        low, width = low + span * part, part
+        if n <= CUT_RANGES or width == 1:
+            break
+    near = hashes.where((F.col("_hash") >= F.lit(low)) & (F.col("_hash") < F.lit(low + width)))
+    last = near.orderBy("_hash").limit(rank).agg(F.max("_hash")).first()[0]
+    return df.where(F.col(order) <= F.lit(last))
