@@ -115,67 +115,76 @@ def judge_runs(runs: DataFrame) -> DataFrame:
     )
 
 
-def _contexts(joined: DataFrame, length: int, shards: int) -> DataFrame:
-    """Text of the asked runs, under the shard of their anchor."""
-    schema = "shard int, known boolean, _d long, _t long, at long, context binary"
+CUT = "shard int, known boolean, _d long, _t long, at long, context binary, high long, low long, times int, open boolean, size long"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scratch.text_slices(batches, limit=2 << 20):
-            rows: list[tuple] = []
-            for d, t, text, runs in zip(*(batch.column(c).to_pylist() for c in ("_d", "_t", "text", "runs"))):
-                data = text.encode("utf-8", "surrogatepass")
-                rows += [(r["anchor"] % shards, r["known"], d, t, r["at"], data[r["at"] : r["at"] + r["n"] - 1 + length]) for r in runs]
-            if rows:
-                kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "known", "_d", "_t", "at", "context"])
 
-    return joined.select("_d", "_t", "text", "runs").mapInArrow(cut, schema)
+def _context_rows(batch: pa.RecordBatch, length: int, shards: int) -> dict[str, pa.Array]:
+    """Text of the asked runs of anchors that fit a shard, under the shard of their anchor."""
+    rows: list[tuple] = []
+    for d, t, text, runs in zip(*(batch.column(c).to_pylist() for c in ("_d", "_t", "text", "runs"))):
+        data = text.encode("utf-8", "surrogatepass")
+        rows += [(r["anchor"] % shards, r["known"], d, t, r["at"], data[r["at"] : r["at"] + r["n"] - 1 + length]) for r in runs if not r["hot"]]
+    kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["shard", "known", "_d", "_t", "at", "context"]
+    return {n: pa.array(c, k) for n, c, k in zip(names, zip(*rows), kinds)} if rows else {}
 
 
-def _windows(joined: DataFrame, length: int) -> DataFrame:
-    """Windows of the asked runs by two hashes of their bytes, each once a batch.
+def _window_rows(batch: pa.RecordBatch, length: int) -> dict[str, pa.Array]:
+    """Windows of the asked runs of hot anchors by two hashes of their bytes, each once a batch.
 
     A row with times 1 or 2 tells its group that the window stands in the batch once or more; `open`
     marks those whose repeat only the group can tell. Windows that a batch holds twice repeat, and go
     as whole stretches with times 0. So a window that a third of the rows share reaches its group
     once for each batch.
     """
-    schema = "high long, low long, times int, open boolean, _d long, _t long, at long, size long"
+    found: list[tuple[np.ndarray, ...]] = []
+    for d, t, text, runs in zip(*(batch.column(c).to_pylist() for c in ("_d", "_t", "text", "runs"))):
+        runs = [r for r in runs if r["hot"]]
+        if not runs:
+            continue
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        number = np.array([r["n"] for r in runs], dtype=np.int64)
+        begin = np.cumsum(number) - number
+        at = np.arange(number.sum()) - np.repeat(begin, number) + np.repeat([r["at"] for r in runs], number)
+        both = [mix(Windows(byte_values(s & 0xFFFF)[data], s).ranges(at, at + length)).view(np.int64) for s in SEEDS]
+        found.append((*both, np.repeat([r["known"] for r in runs], number), np.full(len(at), d), np.full(len(at), t), at))
+    if not found:
+        return {}
+    high, low, known, d, t, at = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((low, high))
+    new = np.concatenate([[True], (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    count = np.bincount(group)
+    one = order[new]
+    alone = (count[group[one]] == 1) & ~known[one]
+    twice = np.flatnonzero((count[group] > 1) & ~known)
+    twice = twice[np.lexsort((at[twice], t[twice], d[twice]))]
+    jump = np.concatenate([[True], (np.diff(d[twice]) != 0) | (np.diff(t[twice]) != 0) | (np.diff(at[twice]) != 1)]) if len(twice) else np.zeros(0, bool)
+    head = twice[jump]
+    size = np.diff(np.append(np.flatnonzero(jump), len(twice))) - 1 + length
+    zero = np.zeros(len(head), np.int64)
+    place = lambda c: pa.array(np.concatenate([np.where(alone, c[one], 0), c[head]]))
+    return {
+        "high": pa.array(np.concatenate([high[one], zero])), "low": pa.array(np.concatenate([low[one], zero])),
+        "times": pa.array(np.concatenate([np.minimum(count[group[one]], 2), zero]).astype(np.int32)),
+        "open": pa.array(np.concatenate([alone, zero > 0])), "_d": place(d), "_t": place(t), "at": place(at),
+        "size": pa.array(np.concatenate([np.full(len(one), length), size]))}
+
+
+def _cut(joined: DataFrame, length: int, shards: int) -> DataFrame:
+    """Contexts and windows in one pass over the texts, so that these are shuffled once."""
+    kinds = {"int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (f.split() for f in CUT.split(", "))])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scratch.text_slices(batches, limit=2 << 20):
-            found: list[tuple[np.ndarray, ...]] = []
-            for d, t, text, runs in zip(*(batch.column(c).to_pylist() for c in ("_d", "_t", "text", "runs"))):
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                number = np.array([r["n"] for r in runs], dtype=np.int64)
-                begin = np.cumsum(number) - number
-                at = np.arange(number.sum()) - np.repeat(begin, number) + np.repeat([r["at"] for r in runs], number)
-                both = [mix(Windows(byte_values(s & 0xFFFF)[data], s).ranges(at, at + length)).view(np.int64) for s in SEEDS]
-                found.append((*both, np.repeat([r["known"] for r in runs], number), np.full(len(at), d), np.full(len(at), t), at))
-            if not found:
-                continue
-            high, low, known, d, t, at = (np.concatenate(c) for c in zip(*found))
-            order = np.lexsort((low, high))
-            new = np.concatenate([[True], (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)])
-            group = np.empty(len(order), np.int64)
-            group[order] = np.cumsum(new) - 1
-            count = np.bincount(group)
-            one = order[new]
-            alone = (count[group[one]] == 1) & ~known[one]
-            twice = np.flatnonzero((count[group] > 1) & ~known)
-            twice = twice[np.lexsort((at[twice], t[twice], d[twice]))]
-            jump = np.concatenate([[True], (np.diff(d[twice]) != 0) | (np.diff(t[twice]) != 0) | (np.diff(at[twice]) != 1)]) if len(twice) else np.zeros(0, bool)
-            head = twice[jump]
-            size = np.diff(np.append(np.flatnonzero(jump), len(twice))) - 1 + length
-            zero = np.zeros(len(head), np.int64)
-            place = lambda c: np.concatenate([np.where(alone, c[one], 0), c[head]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([high[one], zero])), pa.array(np.concatenate([low[one], zero])),
-                 pa.array(np.concatenate([np.minimum(count[group[one]], 2), zero]).astype(np.int32)), pa.array(np.concatenate([alone, zero > 0])),
-                 *(pa.array(place(c)) for c in (d, t, at)), pa.array(np.concatenate([np.full(len(one), length), size]))],
-                ["high", "low", "times", "open", "_d", "_t", "at", "size"])
+            for rows in (_context_rows(batch, length, shards), _window_rows(batch, length)):
+                if rows:
+                    n = len(next(iter(rows.values())))
+                    yield pa.RecordBatch.from_arrays([rows.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
-    return joined.select("_d", "_t", "text", "runs").mapInArrow(cut, schema)
+    return joined.select("_d", "_t", "text", "runs").mapInArrow(run, CUT)
 
 
 def _grouped(windows: DataFrame) -> DataFrame:
@@ -262,14 +271,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, carry: tuple[str, ...] =
     placed = found.select(
         "anchor", F.col("doc").alias("_d"), F.shiftrightunsigned("tag", 32).alias("_t"), F.col("tag").bitwiseAND(F.lit(LOW)).alias("at"), "n", "known", "asked")
     to_sort = placed.filter("asked")
-    runs = lambda df: df.groupBy("_d", "_t").agg(F.collect_list(F.struct("anchor", "at", "n", "known")).alias("runs"))
-    asked = runs(to_sort.join(hot, "anchor", "left_anti") if some_hot else to_sort)
+    flagged = to_sort.join(hot, "anchor", "left") if some_hot else to_sort.withColumn("hot", F.lit(False))
+    asked = flagged.groupBy("_d", "_t").agg(
+        F.collect_list(F.struct("anchor", "at", "n", "known", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
     # One row stands for all that repeat doc_id and text: their runs are known, whichever it is.
-    sorted_out = _search(_contexts(keyed.join(asked, ["_d", "_t"]), length, shards), length, shards)
-    spans = placed.filter("known").select("_d", "_t", "at", (F.col("n") - 1 + length).cast("long").alias("size")).union(sorted_out)
-    if some_hot:
-        to_group = runs(to_sort.join(hot, "anchor", "left_semi"))
-        spans = spans.union(_grouped(scratch.keep(_windows(keyed.join(to_group, ["_d", "_t"]), length))))
+    cut = scratch.keep(_cut(keyed.join(asked, ["_d", "_t"]), length, shards))
+    contexts = cut.filter("context is not null").select("shard", "known", "_d", "_t", "at", "context")
+    spans = placed.filter("known").select("_d", "_t", "at", (F.col("n") - 1 + length).cast("long").alias("size"))
+    spans = spans.union(_search(contexts, length, shards)).union(_grouped(cut.filter("times is not null")))
     marks = spans.groupBy("_d", "_t").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
