@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from checks.base import load, query, show_boxes, show_seq, table
@@ -269,3 +272,7 @@ def image_size_join(spark, sf):
     return out.join(read, "image").select(
         "image", "width", "height", F.col("size_problem").isNotNull().alias("unsized"),
         readers.image_path("folder/", F.col("image")).alias("path"), "few_bytes", "problem")
+
+
+# The tasks that write images need no copy of this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

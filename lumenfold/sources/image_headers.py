@@ -7,9 +7,11 @@ Paths are local, shared or of any store that pyarrow opens (file, hdfs, s3, gs).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -163,3 +165,7 @@ def read_headers(spark: SparkSession, path: str, files_per_task: int = FILES_PER
     """`path, format, width, height, bytes_read, problem`, one row a file; an unreadable one says why."""
     spark.dataSource.register(ImageHeaders)
     return spark.read.format("image_headers").option("path", path).option("files_per_task", files_per_task).load()
+
+
+# Tasks need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
