@@ -1,11 +1,15 @@
-"""Near copies by the share of common five-word shingles, for the pipeline.
-
-At a similarity of 0.8 two SimHash fingerprints differ in some 15 % of their bits, whatever their
-length, so a ring wide enough for it has keys of a few bits. Candidates come from MinHash bands
-instead, and each is checked against the shingles themselves. Documents with equal shingles are one
-node. A band with few nodes is paired; in a fuller one every node is held against a few chosen
-members, and where that leaves more than one component, the nodes are joined exactly by the rarest
-of their shingles (two sets this similar share one of the first n - ceil(0.8 n) + 1 in any order).
+"""Near copies by the share of common five-word shingles, for the pipeline: SimHash under pigeonring filtering.
+
+At a similarity of 0.8 two SimHash fingerprints differ in some 15 % of their bits, whatever their length,
+so the 64 bits and 2 differences of `simhash` cannot tell. A fingerprint here has 3,840 bits, a ring of 192
+segments of 20, and a budget of 20 %: a tight bound for so many bits. The ring's principle leaves the first
+segment of a chain 4 differences; a pair is looked for where it has none, which fails at all 192 starts for
+about 0.07 % of the pairs at 0.8 and fewer above (by arithmetic). Each start's segment is a join key; the
+chain's next three segments travel with it and are held against their budgets, then the whole fingerprint
+against its own, and what is left against the shingles themselves.
+
+Documents with equal shingles are one node. A key with few nodes is paired. In a fuller one every node is
+held against a few chosen members, and then against those that are not in its component after that.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm import components, scratch
@@ -24,13 +28,19 @@ from lumenfold.llm.simhash import shingle_hashes
 
 WORDS = 5
 ABOVE, BELOW = 4, 5  # similarity of 4/5 or more
-ROWS, BANDS = 6, 28  # at 0.8 a pair shares no band with a chance of 0.0002
+SEGMENTS, WIDTH = 192, 20
+BITS = SEGMENTS * WIDTH
+FURTHER = 3  # segments that travel with a key
+SHARE = 5  # a budget is a fifth of the bits
+MOST = BITS // SHARE
+FEWEST = ABOVE  # smaller sets are alike only if they are equal
 BUCKET = 32
 CHOSEN = 4
-BLOCK = 4096
+BLOCK = 255  # rows that a byte can count
 BATCH = 256
-FACTORS = np.random.default_rng(11).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MIXERS = np.random.default_rng(12).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ROWS_PER_TASK = 1 << 20  # keys
+FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MIXER = np.uint64(0xD6E8FEB86659FD93)
 
 
 @contextmanager
@@ -50,13 +60,37 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, WORDS) if text else [], dtype=np.uint64))
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """One key for each band, of all the set's shingles."""
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def fingerprint_of(shingles: np.ndarray) -> bytes:
+    """BITS bits; one is set if it is set in over half of the shingles' hashes."""
+    ones = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(shingles), BLOCK):
-        np.minimum(least, (shingles[start : start + BLOCK, None] * FACTORS).min(axis=0), out=least)
-    least ^= least >> np.uint64(29)
-    return ((least.reshape(BANDS, ROWS) * MIXERS).sum(axis=1, dtype=np.uint64) ^ MIXERS[:, 0]).view(np.int64)
+        each = shingles[start : start + BLOCK, None] * FACTORS
+        each ^= each >> np.uint64(32)
+        each *= MIXER
+        each ^= each >> np.uint64(32)
+        ones += np.add.reduce(np.unpackbits(each.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
+
+
+def ring_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint and start (rows of bytes to rows of SEGMENTS): the key, and the segments that follow on the ring."""
+    bits = np.unpackbits(fingerprints, axis=1, bitorder="little").reshape(-1, SEGMENTS, WIDTH)
+    segment = bits @ (np.int64(1) << np.arange(WIDTH, dtype=np.int64))
+    key = segment + (np.arange(SEGMENTS, dtype=np.int64) << WIDTH)
+    after = np.zeros_like(segment)
+    for k in range(FURTHER):
+        after |= np.roll(segment, -1 - k, axis=1) << (k * WIDTH)
+    return key, after
+
+
+def chain_holds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether every prefix of the chain stays in its budget; the first segment is equal, `a` and `b` hold the others."""
+    xor = a ^ b
+    out = np.ones(len(xor), dtype=bool)
+    for k in range(1, FURTHER + 1):
+        differ = np.bitwise_count(xor & np.int64((1 << (k * WIDTH)) - 1))
+        out &= differ <= (k + 1) * WIDTH // SHARE
+    return out
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -70,10 +104,25 @@ def _marks(rows: DataFrame) -> DataFrame:
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_row"), batch.column("_id"), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()),
-                 pa.array([bands_of(s) for s in sets], pa.list_(pa.int64()))],
-                ["_row", "_id", "content", "bands"])
+                 pa.array([fingerprint_of(s) if len(s) >= FEWEST else None for s in sets], pa.binary())],
+                ["_row", "_id", "content", "fp"])
 
-    return rows.select("_row", F.col("doc_id").cast("long").alias("_id"), "text").mapInArrow(run, "_row long, _id long, content binary, bands array<long>")
+    return rows.select("_row", F.col("doc_id").cast("long").alias("_id"), "text").mapInArrow(run, "_row long, _id long, content binary, fp binary")
+
+
+def _keys(heads: DataFrame) -> DataFrame:
+    """(key, after, node): a row for each start of each fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                fps = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+                key, after = ring_keys(fps)
+                node = np.repeat(part.column("node").to_numpy(), SEGMENTS)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.ravel(), after.ravel(), node)], ["key", "after", "node"])
+
+    return heads.filter("fp is not null").select("node", "fp").mapInArrow(run, "key long, after long, node long")
 
 
 def _checked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -97,50 +146,104 @@ def _checked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         return scratch.keep(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"))
 
 
-def _by_rarest(nodes: DataFrame, rows: DataFrame, only: scratch.Temporary) -> DataFrame:
-    """All pairs (a, b) of `nodes` (node, root) with different roots that can be alike."""
+def _near(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, whose whole fingerprints stay in their budget."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scratch.text_slices(batches, limit=1 << 20):
-            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-            each = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("_row", "root")] + [pa.array(each.view(np.int64))], ["node", "root", "key"])
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("left", "right"))
+            differ = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(differ <= MOST))
+
+    asked = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    fps = heads.select("node", "fp")
+    both = asked.join(fps.toDF("a", "left"), "a").join(fps.toDF("b", "right"), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def _paired(keyed: DataFrame, bucket: int) -> DataFrame:
+    """Pairs (a, b) of each key with `bucket` nodes or fewer that pass the chain; of fuller ones the rows, with a null `b`.
+
+    Rows of a key stand together; at most `bucket` rows of the last one are held back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key", "after", "node")
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            full = batch.column("n").to_numpy() > bucket
+            rows = [batch.column(c).to_numpy() for c in names]
+            if full.any():
+                key, after, node = (x[full] for x in rows)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, after, node)] + [pa.nulls(len(key), pa.int64())], ["key", "after", "a", "b"])
+            key, after, node = held = [np.concatenate([x, y[~full]]) for x, y in zip(held, rows)]
+            for d in range(1, bucket):
+                at = np.flatnonzero(key[d:] == key[:-d])
+                # Rows held back were paired with each other already.
+                at = at[at + d >= len(key) - int((~full).sum())]
+                if not len(at) and not (key[d:] == key[:-d]).any():
+                    break
+                at = at[chain_holds(after[at], after[at + d])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at], after[at], node[at], node[at + d])], ["key", "after", "a", "b"])
+            if len(key):
+                held = [x[np.searchsorted(key, key[-1]) :] for x in held]
+
+    counted = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    # The window leaves its rows sorted by key.
+    return counted.select("key", "after", "node", "n").mapInArrow(run, "key long, after long, a long, b long")
+
+
+def _across(named: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one key (key, after, node, root) that have different roots and pass the chain."""
+
+    def compared(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _, after, node, root = rows
+        roots, of, sizes = np.unique(root, return_inverse=True, return_counts=True)
+        # All but the largest component are held against everything.
+        largest = int(np.argmax(sizes))
+        asked = np.flatnonzero(of != largest)
+        for k in asked.tolist():
+            other = np.flatnonzero((of != of[k]) & ((of == largest) | (np.arange(len(of)) > k)))
+            other = other[chain_holds(after[other], np.full(len(other), after[k]))]
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), node[k])), pa.array(node[other])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in ("key", "after", "node", "root")]
+            edges = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if held and held[0][0][0] != rows[0][a]:
+                    yield from compared([np.concatenate(x) for x in zip(*held)])
+                    held = []
+                held.append([x[a:b] for x in rows])
+        if held:
+            yield from compared([np.concatenate(x) for x in zip(*held)])
 
-    texts = rows.join(nodes.withColumnRenamed("node", "_row"), "_row").select("_row", "root", "text")
-    each = only.keep(texts.mapInArrow(run, "node long, root long, key long"))
-    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    order = each.join(often, "key").groupBy("node", "root").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
-    first = F.size("keys") - F.ceil(F.size("keys") * ABOVE / BELOW).cast("int") + 1
-    keyed = order.select("node", "root", F.inline(F.slice("keys", F.lit(1), first))).filter("n > 1").select("node", "root", "key")
-    keyed = only.keep(keyed)
-    other = keyed.toDF("b", "root_b", "key")
-    return keyed.withColumnRenamed("node", "a").join(other, "key").filter("a < b and root <> root_b").select("a", "b")
+    return named.select("key", "after", "node", "root").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def _links(heads: DataFrame, rows: DataFrame) -> DataFrame:
-    keys = heads.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = scratch.keep(keys.join(shared, "key"))
-    few = found.filter(F.col("n") <= BUCKET).select("key", F.col("node").alias("a"))
-    pairs = few.join(few.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b")
-    full = found.filter(F.col("n") > BUCKET).select("key", "node")
-    # The members in most full bands are closest to what the others were copied from.
-    degree = full.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    chosen = full.join(degree, "node").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(CHOSEN)).alias("part")).agg(
-        F.max(F.struct("d", F.xxhash64("node"), "node"))["node"].alias("a"))
-    pairs = pairs.union(full.join(chosen, "key").select("a", F.col("node").alias("b")))
-    links = _checked(pairs, rows)
-    if full.isEmpty():
-        return links
-    roots = scratch.keep(components.smallest_reachable(links))
-    named = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    left = scratch.keep(named.join(split, "key", "left_semi").select("node", "root").distinct())
-    if left.isEmpty():
-        return links
     with scratch.Temporary(rows.sparkSession) as only:
-        return links.union(_checked(_by_rarest(left, rows, only), rows))
+        keyed = scratch.spread(_keys(heads), heads.count() * SEGMENTS, ROWS_PER_TASK, "key")
+        found = only.keep(_paired(keyed, BUCKET))
+        pairs = found.filter("b is not null").select("a", "b")
+        full = found.filter("b is null").select("key", "after", F.col("a").alias("node"))
+        # The members in most full keys are closest to what the others were copied from.
+        degree = full.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+        chosen = full.join(degree, "node").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(CHOSEN)).alias("part")).agg(
+            F.max(F.struct("d", F.xxhash64("node"), "node"))["node"].alias("a"))
+        pairs = pairs.union(full.join(chosen, "key").select("a", F.col("node").alias("b")))
+        links = _checked(_near(pairs, heads), rows)
+        if full.isEmpty():
+            return links
+        roots = only.keep(components.smallest_reachable(links))
+        named = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        return links.union(_checked(_near(_across(named.join(split, "key", "left_semi")), heads), rows))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -153,7 +256,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     with _small_batches(docs.sparkSession):
-        heads = scratch.keep(_marks(rows).groupBy("content").agg(F.min("_row").alias("node"), first.alias("best"), F.first("bands").alias("bands")))
+        heads = scratch.keep(_marks(rows).groupBy("content").agg(F.min("_row").alias("node"), first.alias("best"), F.first("fp").alias("fp")))
     roots = components.smallest_reachable(_links(heads, rows)).withColumnRenamed("root", "_root")
     best = heads.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("_root", "node")).agg(F.min("best").alias("best"))
     return rows.join(best.select(F.col("best.row").alias("_row")), "_row", "left_semi").drop("_row")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenfold.llm import simhash, similar
@@ -77,3 +80,42 @@ def test_contamination_is_judged_by_row(spark, tmp_path):
     rows = [(None, f"so {item} it is"), (None, "a clean text"), (7, item), (7, "another clean text"), (8, None)]
     got = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
     assert {tuple(r) for r in got} == {(None, "a clean text"), (7, "another clean text"), (8, None)}
+
+
+def test_near_copies_come_from_simhash_rings(spark):
+    """Pairs by ring keys and chain budgets are those of all pairs that share a segment and stay within the budgets."""
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in range(150)]
+    sets = [similar.shingle_set(" ".join(_edited(base, int(k) % 5 + 1, rng))) for k in range(60)]
+    sets += [similar.shingle_set(" ".join(f"v{k}-{x}" for x in range(90))) for k in range(40)]
+    fps = [similar.fingerprint_of(s) for s in sets]
+    key, after = similar.ring_keys(np.frombuffer(b"".join(fps), np.uint8).reshape(-1, similar.BITS // 8))
+    want = {(a, b) for a in range(100) for b in range(a + 1, 100)
+            if any(key[a, s] == key[b, s] and similar.chain_holds(after[a, s : s + 1], after[b, s : s + 1])[0] for s in range(similar.SEGMENTS))}
+    heads = spark.createDataFrame(list(enumerate(fps)), "node long, fp binary")
+    found = similar._paired(similar._keys(heads).repartition(3, "key"), 100).collect()
+    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in found} == want and len(want) > 500
+    full = similar._paired(similar._keys(heads).repartition(3, "key"), 2).filter("b is null").select("key", "after", F.col("a").alias("node"))
+    across = similar._across(full.withColumn("root", F.col("node"))).collect()
+    sizes = Counter(key.ravel().tolist())
+    want = {(a, b) for a, b in want if any(key[a, s] == key[b, s] and sizes[key[a, s]] > 2 and similar.chain_holds(after[a, s : s + 1], after[b, s : s + 1])[0]
+                                           for s in range(similar.SEGMENTS))}
+    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in across} == want
+    alike = [(a, b) for a in range(60) for b in range(a) if similar.alike(sets[a], sets[b])]
+    near = similar._near(spark.createDataFrame(alike, "a long, b long"), heads).collect()
+    assert len(near) == len(alike) > 50
+
+
+def test_recall_of_the_rings_from_0_8_on():
+    rng = np.random.default_rng(4)
+    found = asked = 0
+    for k in range(300):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, 200)]
+        a, b = (similar.shingle_set(" ".join(w)) for w in (base, _edited(base, 4, rng)))
+        if similar.alike(a, b):
+            fps = np.frombuffer(similar.fingerprint_of(a) + similar.fingerprint_of(b), np.uint8).reshape(2, -1)
+            key, after = similar.ring_keys(fps)
+            chain = (key[0] == key[1]) & similar.chain_holds(after[0], after[1])
+            found += bool(chain.any() and np.bitwise_count(fps[0] ^ fps[1]).sum() <= similar.MOST)
+            asked += 1
+    assert asked > 200 and found >= 0.98 * asked
