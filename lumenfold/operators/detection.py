@@ -36,8 +36,11 @@ NO_IMAGE = "no image left for a drawn category"
 
 
 def usable_categories(categories: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Categories with at least one image."""
-    return categories.join(annotations.select(F.col("category_id").alias("id")), "id", "left_semi")
+    """Categories with at least one image.
+
+    Each task hands on a category's id once: few categories can have all annotations of a large set.
+    """
+    return categories.join(annotations.select(F.col("category_id").alias("id")).distinct(), "id", "left_semi")
 
 
 def choose_neighbour(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from checks import compare
 from checks.catalog import OPERATORS, ORACLES, QUERIES
-from lumenfold.operators import classes, metrics, mixing
+from lumenfold.operators import classes, detection, metrics, mixing
 from lumenfold.operators.ranking import top_n
 
 SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
@@ -86,3 +86,10 @@ def test_chance_mixture_ranks_once(spark):
 def test_only_used_columns_are_read(spark):
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan(QUERIES["repeat_item"](spark, SF)))
     assert schema and "o_totalprice" not in schema.group(1)
+
+
+def test_annotations_are_cut_to_categories_before_they_are_shuffled(spark):
+    cats = spark.range(3).select("id", F.lit("n").alias("name"))
+    ann = spark.range(10).select((F.col("id") % 2).alias("category_id"))
+    found = detection.usable_categories(cats, ann)
+    assert "HashAggregate" in plan(found) and sorted(r["id"] for r in found.collect()) == [0, 1]
