@@ -90,3 +90,15 @@ def test_detection_tables_of_one_object(spark, tmp_path):
     assert sorted(r.image_id for r in got["expired"].collect()) == [7, 9]
     with pytest.raises(FileNotFoundError):
         readers.detection_tables(spark, str(tmp_path / "none.json"))
+
+
+def test_a_task_reads_many_short_ranges(spark, tmp_path):
+    rows = [{"id": i, "text": 'a "b" { [' * (i % 5)} for i in range(4000)]
+    for n in range(2):
+        with open(f"{tmp_path}/{n}.json", "w") as f:
+            json.dump({"first": rows, "second": {str(i): i for i in range(2000)}}, f)
+    found = jo.read_members(spark, str(tmp_path), range_bytes=1 << 10)
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    got = found.collect()
+    assert sorted(json.loads(r["record"])["id"] for r in got if r["tbl"] == "first") == sorted([*range(4000)] * 2)
+    assert sorted(int(r["key"]) for r in got if r["tbl"] == "second") == sorted([*range(2000)] * 2)
