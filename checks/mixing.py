@@ -10,7 +10,7 @@ from checks.convert import ASK, FIND, NAME, records, vqa_records
 from checks.episodes import QUERIES_TEXT
 from lumenfold.operators import convert, mixing
 from lumenfold.operators import episodes as ep
-from lumenfold.operators.ranking import block_range, with_rank
+from lumenfold.operators.ranking import block_range, number_rows, with_rank
 from lumenfold.plans import corpora
 
 _SRC = """
@@ -157,7 +157,7 @@ def _variants(spark, sf):
     for name in VARIANT_MIX.sources:
         variant = corpora.TWENTIETHS.get(name) or corpora.VARIANTS[name]
         items = variant.items(inputs.get(name, rows), TEMPLATE_SETS).withColumnRenamed("row_id", "record")
-        frames[name] = with_rank(items, [], ["record"], block_range(F.col("record")), out="row_id")
+        frames[name] = number_rows(items, "record")
     return frames
 
 

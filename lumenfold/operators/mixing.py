@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, LongType, StructType
 
 from lumenfold.functions.draws import cdf_thresholds, order60, rank32
-from lumenfold.operators.ranking import block_range, first_by_hash, with_rank
+from lumenfold.operators.ranking import block_range, first_by_hash, task_count, with_rank
 
 FIRST = "first_exhausted"
 ALL = "all_exhausted"
 TURNS = 4096  # copies of one row that one task makes at a time
 DRAWS = 1 << 14  # steps of a block, of a mixture of up to DRAWS * MOST_BLOCKS steps
 MOST_BLOCKS = 1 << 16
+PLACED = 1 << 16  # rows that one task places, about
 
 
 def stack(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -202,7 +203,9 @@ def _placed(dfs: Sequence[DataFrame], sizes: Sequence[int], steps: int, probabil
     rows = stack([_copies(d, s, x[-1]) for d, s, x in zip(dfs, sizes, upto)])
     widths = F.array(*[F.lit(w) for w in near])
     key = F.floor(F.col("_k") / F.get(widths, F.col("source")))
-    dealt = rows.withColumn("_key", key).repartition("source", "_key").sortWithinPartitions("source", "_k").drop("_key")
+    # A number, so that adaptive execution does not join partitions of wide rows by their compressed size.
+    tasks = task_count(spark, math.ceil(steps / PLACED))
+    dealt = rows.withColumn("_key", key).repartition(tasks, "source", "_key").sortWithinPartitions("source", "_k").drop("_key")
     schema = StructType([f for f in rows.schema if f.name != "_k"]).add("mix_id", LongType())
     return dealt.mapInArrow(_steps_of(spark.sparkContext.broadcast(upto), block, steps, cdf_thresholds(probabilities), seed), schema)
 

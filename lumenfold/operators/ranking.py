@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.draws import SPAN60
 
 RANGE_ROWS = 65536  # rows that one range of the largest group holds, about
 CUT_RANGES = 1 << 16  # over a whole table
+UNSORTED = 200  # spark.shuffle.sort.bypassMergeThreshold
 
 
 def hash_range(order: Column, ranges: Column | int) -> Column:
@@ -40,19 +41,36 @@ def block_range(row_id: Column, block: int = 65536) -> Column:
 
 
 def with_rank(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], span: Column, out: str = "rank"
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], span: Column, out: str = "rank", tasks: int | None = None
 ) -> DataFrame:
-    """0-based rank of each row in its group by `order`; `span` must be monotone in the first order column."""
+    """0-based rank of each row in its group by `order`; `span` must be monotone in the first order column.
+
+    `tasks` deals the ranges out to that many tasks, which adaptive execution leaves alone: wide rows
+    that compress well make large tasks where it joins partitions by their compressed size.
+    """
     df = df.withColumn("_span", span)
     keys = [*groups, "_span"]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys).orderBy(*order)
+    if tasks is not None:
+        df = df.repartition(tasks, *keys)
     joined = df.join(offsets, keys) if not groups else _null_safe(df, offsets, keys)
     return joined.withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1).drop("_span", "_offset")
 
 
+def task_count(spark: SparkSession, wanted: int) -> int:
+    """Tasks of a shuffle of wide rows, UNSORTED at most: up to there the writing side keeps no rows to sort."""
+    return max(spark.sparkContext.defaultParallelism, min(UNSORTED, wanted))
+
+
+def number_rows(df: DataFrame, order: str, out: str = "row_id", rows: int = RANGE_ROWS) -> DataFrame:
+    """Dense 0-based numbers of wide rows by an id."""
+    tasks = task_count(df.sparkSession, 2 * (df.count() // rows + 1))
+    return with_rank(df, [], [order], block_range(F.col(order), rows), out, tasks)
+
+
 def pick_by_rank(
     draws: DataFrame, pool: DataFrame, groups: Sequence[str], order: Sequence[str], at: Callable[[Column], Column],
     rows: int = RANGE_ROWS,

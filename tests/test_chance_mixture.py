@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.operators import mixing
+from lumenfold.operators.ranking import number_rows
 
 
 def _sets(spark, sizes):
@@ -41,3 +42,16 @@ def test_other_columns_are_kept(spark):
     b = spark.range(5).select(F.col("id").alias("row_id"), F.lit("t").alias("only"))
     got = mixing.interleave_by_chance([a, b], [0.5, 0.5], 1).collect()
     assert all((r.deep[0].x == r.row_id) if r.source == 0 else (r.only == "t" and r.deep is None) for r in got)
+
+
+def test_tasks_follow_the_rows_not_their_compressed_size(spark, monkeypatch):
+    """Rows that compress to next to nothing are not joined to a few large partitions."""
+    monkeypatch.setattr(mixing, "PLACED", 500)
+    monkeypatch.setattr(mixing, "DRAWS", 128)
+    wide = [d.withColumn("pad", F.repeat(F.lit("x"), 200)) for d in _sets(spark, (20000, 20000))]
+    ranked = number_rows(wide[0].withColumnRenamed("row_id", "record").repartition(3), "record", rows=1000)
+    assert ranked.rdd.getNumPartitions() >= 40
+    assert [r["row_id"] == r["record"] for r in ranked.select("row_id", "record").collect()] == [True] * 20000
+    mixed = mixing.interleave_by_chance(wide, (0.5, 0.5), 3)
+    sizes = mixed.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 40 and max(r["count"] for r in sizes) < 4000
