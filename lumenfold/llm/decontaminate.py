@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Training documents are indexed in segments of a few MB: sorted terms, and for each term the places
+Training documents are indexed in segments of 2 MB of text: sorted terms, and for each term the places
 where it stands. A segment answers a phrase by intersecting the places of its words, each less the
 word's offset, from the word that is rarest in the segment on. Segments hold whole documents, so
 hits of a document are complete where they are found.
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from lumenfold.llm import scratch
 from lumenfold.llm.rolling import SEEDS, Words
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 BLOCK_WINDOWS = 500_000
-CANDIDATES = 2_000_000
+CANDIDATES = 500_000
 # Bytes that are no word characters, in lower-cased text.
 BETWEEN = np.zeros(256, dtype=bool)
 BETWEEN[0x00:0x30] = BETWEEN[0x3A:0x61] = BETWEEN[0x7B:0x80] = True
@@ -254,7 +254,9 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int =
     words. Every row is a document of its own, whatever its doc_id; repeated item ids count once; a
     null item id is called null. Other columns are ignored. Without items nothing is contaminated.
     """
-    found = search(scratch.keep(build_index(docs)), benchmark, window)
+    with scratch.short_batches(docs.sparkSession):
+        index = scratch.keep(build_index(docs))
+    found = search(index, benchmark, window)
     hits = F.aggregate(
         F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
         lambda acc, s: F.struct(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  binds pa.compute
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from lumenfold.session import materialise, scratch_dir
 
-__all__ = ["Temporary", "keep", "positions", "scratch_dir", "spread", "table", "text_slices"]
+__all__ = ["Temporary", "keep", "positions", "scratch_dir", "short_batches", "spread", "table", "text_slices"]
 
 ROWS_PER_RANGE = 5000
+BATCH_BYTES = 8 << 20
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,18 @@ class Temporary:
             where.getFileSystem(conf).delete(where, True)
 
 
+@contextmanager
+def short_batches(spark, limit: int = BATCH_BYTES):
+    """What is written inside goes to Python in Arrow batches of about `limit` bytes, not of 10,000 texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], rows: int, name: str,
               rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Adds `name`: the gapless position of a row in its group, from 0.

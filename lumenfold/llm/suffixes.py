@@ -25,6 +25,8 @@ from lumenfold.llm.rolling import anchors, byte_values, mix, packed, SEEDS, Wind
 
 GRAM = 32
 SHARD_BYTES = 3 << 19
+SORTS = 4  # shards a task sorts one by one: a sort takes some hundred bytes for each of text
+SLICE_BYTES = 1 << 18  # each byte takes some hundred in the arrays of `_runs`
 LOW = (1 << 32) - 1
 
 
@@ -75,7 +77,7 @@ def candidate_runs(docs: DataFrame, length: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[np.ndarray, ...]] = []
-            for part in scratch.text_slices(iter([batch])):
+            for part in scratch.text_slices(iter([batch]), limit=SLICE_BYTES):
                 ids, hashes = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_d", "_h"))
                 text, at, number, anchor, content, own = _runs([(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()], length)
                 if len(text):
@@ -214,8 +216,8 @@ def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
     return [start[a:b] - begins[k] for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
-def _search(contexts: DataFrame, length: int, shards: int) -> DataFrame:
-    """(_d, _t, at, size): repeated stretches of the runs that are not known as a whole."""
+def _search(contexts: DataFrame, length: int, tasks: int) -> DataFrame:
+    """(_d, _t, at, size): repeated stretches of the runs that are not known as a whole. A task sorts its shards one by one."""
     schema = "_d long, _t long, at long, size long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +245,7 @@ def _search(contexts: DataFrame, length: int, shards: int) -> DataFrame:
         if held:
             yield sort()
 
-    return contexts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    return contexts.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -259,13 +261,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, carry: tuple[str, ...] =
     ids = F.col("doc_id").cast("long")
     rows = docs.select(
         ids.alias("doc_id"), F.xxhash64(ids.isNull(), ids, "text").alias("_d"), F.xxhash64(F.lit("text"), "text").alias("_h"), "text", *([F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []))
-    found = scratch.keep(judge_runs(candidate_runs(rows, length)))
+    with scratch.short_batches(docs.sparkSession):
+        found = scratch.keep(judge_runs(candidate_runs(rows, length)))
     # Anchors that fill a shard: as many as such shards at most.
     sizes = found.filter("asked").groupBy("anchor").agg(F.sum(F.col("n") + length).alias("b"))
     hot = scratch.keep(sizes.filter(F.col("b") > SHARD_BYTES).select("anchor", F.lit(True).alias("hot")))
     some_hot = not hot.isEmpty()
     total = sizes.filter(F.col("b") <= SHARD_BYTES).agg(F.sum("b").alias("b")).first()["b"] or 0
-    shards = max(1, math.ceil(total / SHARD_BYTES))
+    tasks, shards = (max(1, math.ceil(k * total / SHARD_BYTES)) for k in (1, SORTS))
     rest = ["rest"] if carry else []
     keyed = rows.select("doc_id", "_d", *rest, F.col("_h").bitwiseAND(F.lit(LOW)).alias("_t"), "text")
     placed = found.select(
@@ -275,10 +278,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, carry: tuple[str, ...] =
     asked = flagged.groupBy("_d", "_t").agg(
         F.collect_list(F.struct("anchor", "at", "n", "known", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
     # One row stands for all that repeat doc_id and text: their runs are known, whichever it is.
-    cut = scratch.keep(_cut(keyed.join(asked, ["_d", "_t"]), length, shards))
+    with scratch.short_batches(docs.sparkSession):
+        cut = scratch.keep(_cut(keyed.join(asked, ["_d", "_t"]), length, shards))
     contexts = cut.filter("context is not null").select("shard", "known", "_d", "_t", "at", "context")
     spans = placed.filter("known").select("_d", "_t", "at", (F.col("n") - 1 + length).cast("long").alias("size"))
-    spans = spans.union(_search(contexts, length, shards)).union(_grouped(cut.filter("times is not null")))
+    spans = spans.union(_search(contexts, length, tasks)).union(_grouped(cut.filter("times is not null")))
     marks = spans.groupBy("_d", "_t").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
