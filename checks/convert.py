@@ -291,7 +291,9 @@ def _vcr_sql(version: str, predict: bool = False) -> str:
 def _long_items(items):
     from checks.base import show_boxes, show_seq
 
-    return items.select("row_id", "image", show_boxes(F.col("target.boxes")).alias("boxes"), explode_items(F.col("conversations"), "turn", "t")).select(
+    # Boxes are written once an item, below the explode.
+    shown = items.select("row_id", "image", show_boxes(F.col("target.boxes")).alias("boxes"), "conversations")
+    return shown.select("row_id", "image", "boxes", explode_items(F.col("conversations"), "turn", "t")).select(
         "row_id", "image", "boxes", "turn", F.col("t.from").alias("speaker"), F.col("t.value").alias("said"), show_seq(F.col("t.boxes_seq")).alias("seq"))
 
 

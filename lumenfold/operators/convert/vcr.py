@@ -117,10 +117,12 @@ def _parse(df: DataFrame) -> DataFrame:
 
 
 def _render(parsed: DataFrame, version: str, templates: Sequence[str], seed: int, note: str = "") -> DataFrame:
+    # Where a record becomes several rows, its choices were listed before.
+    listed = lambda name, packs: F.col(name) if name in parsed.columns else _choices(F.col(packs))
     part = {
         "question": F.col("_q"),
-        "answers": _choices(F.col("_as")),
-        "rationales": _choices(F.col("_rs")),
+        "answers": listed("_answers", "_as"),
+        "rationales": listed("_rationales", "_rs"),
         "answer": F.col("_as")[F.col("_a")],
         "rationale": F.col("_rs")[F.col("_r")],
         "answer_letter": _letter(F.col("_a")),
@@ -156,6 +158,7 @@ def vcr_pred(df: DataFrame, version: str, templates: Sequence[str], seed: int =
         raise ValueError(f"version must be one of {PREDICTION_VERSIONS}: {version}")
     parsed = _parse(df).withColumns({"_a": F.lit(0), "_r": F.lit(0)})
     if version in RATIONALE_VERSIONS:
+        parsed = parsed.withColumns({"_answers": _choices(F.col("_as")), "_rationales": _choices(F.col("_rs"))})
         parsed = parsed.drop("_a").select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_a"))
         parsed = parsed.withColumn("row_id", F.col("row_id") * 4 + F.col("_a"))
     return _render(parsed, version, templates, seed, PREDICTION_NOTE)
