@@ -8,8 +8,10 @@ about 0.07 % of the pairs at 0.8 and fewer above (by arithmetic). Each start's s
 chain's next three segments travel with it and are held against their budgets, then the whole fingerprint
 against its own, and what is left against the shingles themselves.
 
-Documents with equal shingles are one node. A key with few nodes is paired. In a fuller one every node is
-held against a few chosen members, and then against those that are not in its component after that.
+Documents with equal shingles are one node. A key of two nodes is a pair. In a fuller one every node is
+held against the few that lead its keys, and then, inside the task of a key, against those that are not in its
+component after that. Those are compared by counts of their shingles' hashes, which prove most of the unlike
+ones unlike, so few pairs of them become rows: pairs follow the size of a family, not the square of it.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ SHARE = 5  # a budget is a fifth of the bits
 MOST = BITS // SHARE
 FEWEST = ABOVE  # smaller sets are alike only if they are equal
 BUCKET = 32
+FEW = 2  # fuller keys are not paired
+BINS = 512
 CHOSEN = 4
 BLOCK = 255  # rows that a byte can count
 BATCH = 256
@@ -98,16 +102,32 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return BELOW * common >= ABOVE * (len(a) + len(b) - common)
 
 
+def bins_of(shingles: np.ndarray) -> bytes:
+    """How many of the shingles fall into each of BINS shares of the hashes, up to 255."""
+    return np.minimum(np.bincount((shingles % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def can_be_alike(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bins (rows of `a`) leave room for a similarity of 4/5; `sizes` are those of both sets together.
+
+    Sets differ in at least as many shingles as their bins do, also where a bin holds more than it can count, so no
+    alike pair is left out.
+    """
+    differ = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+    return (ABOVE + BELOW) * (sizes - differ) >= 2 * ABOVE * sizes
+
+
 def _marks(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scratch.text_slices(batches, limit=2 << 20):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_row"), batch.column("_id"), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()),
-                 pa.array([fingerprint_of(s) if len(s) >= FEWEST else None for s in sets], pa.binary())],
-                ["_row", "_id", "content", "fp"])
+                 pa.array([fingerprint_of(s) if len(s) >= FEWEST else None for s in sets], pa.binary()),
+                 pa.array([bins_of(s) if len(s) >= FEWEST else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())],
+                ["_row", "_id", "content", "fp", "bins", "size"])
 
-    return rows.select("_row", F.col("doc_id").cast("long").alias("_id"), "text").mapInArrow(run, "_row long, _id long, content binary, fp binary")
+    return rows.select("_row", F.col("doc_id").cast("long").alias("_id"), "text").mapInArrow(run, "_row long, _id long, content binary, fp binary, bins binary, size long")
 
 
 def _keys(heads: DataFrame) -> DataFrame:
@@ -161,89 +181,134 @@ def _near(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _paired(keyed: DataFrame, bucket: int) -> DataFrame:
-    """Pairs (a, b) of each key with `bucket` nodes or fewer that pass the chain; of fuller ones the rows, with a null `b`.
+def _paired(keyed: DataFrame, bucket: int, few: int | None = None) -> DataFrame:
+    """Pairs (a, b) of each key with `few` nodes or fewer (`bucket` if not given) that pass the chain; of fuller ones
+    the rows, with a null `b`: up to `bucket` nodes those that are in such a pair, beyond it all.
 
     Rows of a key stand together; at most `bucket` rows of the last one are held back.
     """
+    few = bucket if few is None else min(few, bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "after", "node")
-        held = [np.zeros(0, np.int64)] * 3
+        names = ("key", "after", "node", "n")
+        held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
-            full = batch.column("n").to_numpy() > bucket
             rows = [batch.column(c).to_numpy() for c in names]
+            full = rows[3] > bucket
             if full.any():
-                key, after, node = (x[full] for x in rows)
+                key, after, node, _ = (x[full] for x in rows)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, after, node)] + [pa.nulls(len(key), pa.int64())], ["key", "after", "a", "b"])
-            key, after, node = held = [np.concatenate([x, y[~full]]) for x, y in zip(held, rows)]
+            rows = [np.concatenate([x, y[~full]]) for x, y in zip(held, rows)]
+            # The last key waits for the rows that it still lacks.
+            last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            end = last if len(rows[0]) - last < (rows[3][-1] if len(rows[0]) else 0) else len(rows[0])
+            held = [x[end:] for x in rows]
+            key, after, node, n = (x[:end] for x in rows)
+            paired = np.zeros(end, dtype=bool)
             for d in range(1, bucket):
                 at = np.flatnonzero(key[d:] == key[:-d])
-                # Rows held back were paired with each other already.
-                at = at[at + d >= len(key) - int((~full).sum())]
-                if not len(at) and not (key[d:] == key[:-d]).any():
+                if not len(at):
                     break
                 at = at[chain_holds(after[at], after[at + d])]
+                more = n[at] > few
+                paired[at[more]] = paired[at[more] + d] = True
+                at = at[~more]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at], after[at], node[at], node[at + d])], ["key", "after", "a", "b"])
-            if len(key):
-                held = [x[np.searchsorted(key, key[-1]) :] for x in held]
+            if paired.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[paired]) for x in (key, after, node)] + [pa.nulls(int(paired.sum()), pa.int64())], ["key", "after", "a", "b"])
 
     counted = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
     # The window leaves its rows sorted by key.
     return counted.select("key", "after", "node", "n").mapInArrow(run, "key long, after long, a long, b long")
 
 
-def _across(named: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one key (key, after, node, root) that have different roots and pass the chain."""
-
-    def compared(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, after, node, root = rows
-        roots, of, sizes = np.unique(root, return_inverse=True, return_counts=True)
-        # All but the largest component are held against everything.
-        largest = int(np.argmax(sizes))
-        asked = np.flatnonzero(of != largest)
-        for k in asked.tolist():
-            other = np.flatnonzero((of != of[k]) & ((of == largest) | (np.arange(len(of)) > k)))
-            other = other[chain_holds(after[other], np.full(len(other), after[k]))]
-            if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), node[k])), pa.array(node[other])], ["a", "b"])
+def _by_key(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("key", *columns).repartition("key").sortWithinPartitions("key")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of one key after the other, of batches in which they stand together."""
+
+    def joined(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        whole = pa.Table.from_batches(parts)
+        return {f.name: np.frombuffer(b"".join(whole.column(f.name).to_pylist()), np.uint8).reshape(whole.num_rows, -1) if pa.types.is_binary(f.type)
+                else whole.column(f.name).to_numpy() for f in whole.schema}
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column("key").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if held and held[0].column("key")[0].as_py() != key[a]:
+                yield joined(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield joined(held)
+
+
+def _starred(full: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, at: their keys) with the CHOSEN first that stand in most full keys of those that lead one of theirs.
+
+    A key is led by the node with most keys: it is closest to what the others were copied from.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in ("key", "after", "node", "root")]
-            edges = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist(), batch.num_rows]
-            for a, b in zip(edges, edges[1:]):
-                if a == b:
-                    continue
-                if held and held[0][0][0] != rows[0][a]:
-                    yield from compared([np.concatenate(x) for x in zip(*held)])
-                    held = []
-                held.append([x[a:b] for x in rows])
-        if held:
-            yield from compared([np.concatenate(x) for x in zip(*held)])
+        for of in _groups(batches):
+            node, d, h = of["node"], of["d"], of["h"]
+            first = np.lexsort((node, h, d))[-1]
+            other = node[node != node[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), x)) for x in (d[first], h[first], node[first])] + [pa.array(other)], ["d", "h", "a", "b"])
+
+    rows = full.select("node", F.size("at").cast("long").alias("d"), F.xxhash64("node").alias("h"), F.inline("at"))
+    led = _by_key(rows, "node", "d", "h").mapInArrow(run, "d long, h long, a long, b long")
+    # A node has SEGMENTS leaders at most.
+    best = F.slice(F.sort_array(F.collect_set(F.struct("d", "h", "a")), asc=False), 1, CHOSEN)
+    return led.groupBy("b").agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b")
+
 
-    return named.select("key", "after", "node", "root").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+def _across(named: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one key (key, after, node, root) that have different roots and pass the chain.
+
+    With columns `fp`, `bins` and `size`, only those whose whole fingerprints stay in their budget and whose bins let them be alike.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            after, node = rows["after"], rows["node"]
+            _, of, sizes = np.unique(rows["root"], return_inverse=True, return_counts=True)
+            # All but the largest component are held against everything.
+            largest = int(np.argmax(sizes))
+            asked = np.flatnonzero(of != largest)
+            for k in asked.tolist():
+                other = np.flatnonzero((of != of[k]) & ((of == largest) | (np.arange(len(of)) > k)))
+                other = other[chain_holds(after[other], np.full(len(other), after[k]))]
+                if "fp" in rows:
+                    other = other[can_be_alike(rows["bins"][other], rows["bins"][k], rows["size"][other] + rows["size"][k])]
+                    other = other[np.bitwise_count(rows["fp"][other] ^ rows["fp"][k]).sum(axis=1, dtype=np.int64) <= MOST]
+                if len(other):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), node[k])), pa.array(node[other])], ["a", "b"])
+
+    given = [c for c in ("fp", "bins", "size") if c in named.columns]
+    return _by_key(named, "after", "node", "root", *given).mapInArrow(run, "a long, b long")
 
 
 def _links(heads: DataFrame, rows: DataFrame) -> DataFrame:
     with scratch.Temporary(rows.sparkSession) as only:
         keyed = scratch.spread(_keys(heads), heads.count() * SEGMENTS, ROWS_PER_TASK, "key")
-        found = only.keep(_paired(keyed, BUCKET))
+        found = only.keep(_paired(keyed, BUCKET, FEW))
         pairs = found.filter("b is not null").select("a", "b")
-        full = found.filter("b is null").select("key", "after", F.col("a").alias("node"))
-        # The members in most full keys are closest to what the others were copied from.
-        degree = full.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-        chosen = full.join(degree, "node").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(CHOSEN)).alias("part")).agg(
-            F.max(F.struct("d", F.xxhash64("node"), "node"))["node"].alias("a"))
-        pairs = pairs.union(full.join(chosen, "key").select("a", F.col("node").alias("b")))
-        links = _checked(_near(pairs, heads), rows)
+        # A node's rows stand together, SEGMENTS at most, so that joins have a row for each node.
+        full = only.keep(found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.collect_list(F.struct("key", "after")).alias("at")))
+        links = _checked(_near(pairs.union(_starred(full)), heads), rows)
         if full.isEmpty():
             return links
         roots = only.keep(components.smallest_reachable(links))
-        named = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        return links.union(_checked(_near(_across(named.join(split, "key", "left_semi")), heads), rows))
+        named = full.join(roots, "node", "left").join(heads.select("node", "fp", "bins", "size"), "node")
+        named = named.select("node", F.coalesce("root", "node").alias("root"), "fp", "bins", "size", F.inline("at"))
+        return links.union(_checked(_across(named), rows))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -256,7 +321,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     with _small_batches(docs.sparkSession):
-        heads = scratch.keep(_marks(rows).groupBy("content").agg(F.min("_row").alias("node"), first.alias("best"), F.first("fp").alias("fp")))
+        heads = scratch.keep(_marks(rows).groupBy("content").agg(F.min("_row").alias("node"), first.alias("best"), *[F.first(c).alias(c) for c in ("fp", "bins", "size")]))
     roots = components.smallest_reachable(_links(heads, rows)).withColumnRenamed("root", "_root")
     best = heads.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("_root", "node")).agg(F.min("best").alias("best"))
     return rows.join(best.select(F.col("best.row").alias("_row")), "_row", "left_semi").drop("_row")

@@ -119,3 +119,45 @@ def test_recall_of_the_rings_from_0_8_on():
             found += bool(chain.any() and np.bitwise_count(fps[0] ^ fps[1]).sum() <= similar.MOST)
             asked += 1
     assert asked > 200 and found >= 0.98 * asked
+
+
+def test_bins_leave_out_no_alike_pair():
+    rng = np.random.default_rng(8)
+    kept = Counter()
+    for k in range(400):
+        n = int(rng.integers(10, 3000)) if k % 2 else 200
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, n)] * (1 + k % 3)
+        a, b = (similar.shingle_set(" ".join(_edited(base, int(n * rng.uniform(0, 0.03)), rng))) for _ in range(2))
+        bins = np.frombuffer(similar.bins_of(a) + similar.bins_of(b), np.uint8).reshape(2, -1)
+        kept[similar.alike(a, b), bool(similar.can_be_alike(bins[:1], bins[1], np.array([len(a) + len(b)]))[0])] += 1
+    assert not kept[True, False] and kept[True, True] > 50 and kept[False, False] > kept[False, True]
+    # A bin that overflows makes sets look closer, not further.
+    big = np.arange(0, 400 * similar.BINS, similar.BINS, dtype=np.uint64)
+    full = np.frombuffer(similar.bins_of(big), np.uint8)
+    assert full[0] == 255 and similar.can_be_alike(full[None, :], full, np.array([2 * len(big)]))[0]
+
+
+@pytest.mark.parametrize("bucket", [32, 4])
+def test_pairs_of_a_family_follow_its_size(spark, monkeypatch, bucket):
+    """Near copies of one text, some of them too far from all others: brute force's rows, from few pairs."""
+    monkeypatch.setattr(similar, "BUCKET", bucket)
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in range(200)]
+    rows = [(i, " ".join(_edited(base, 2 if i % 3 else 5, rng))) for i in range(240)]
+    sets = [similar.shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if similar.alike(sets[a], sets[b])]
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    asked = []
+    checked = similar._checked
+
+    def counted(pairs, of):
+        asked.append(pairs.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count())
+        return checked(pairs, of)
+
+    monkeypatch.setattr(similar, "_checked", counted)
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert got == {d for d, _ in rows if root[d] == d} and len(links) > 8000 and 5 < len(got) < 120
+    assert sum(asked) < 15 * len(rows)
