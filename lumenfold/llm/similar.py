@@ -11,7 +11,8 @@ against its own, and what is left against the shingles themselves.
 Documents with equal shingles are one node. A key of two nodes is a pair. In a fuller one every node is
 held against the few that lead its keys, and then, inside the task of a key, against those that are not in its
 component after that. Those are compared by counts of their shingles' hashes, which prove most of the unlike
-ones unlike, so few pairs of them become rows: pairs follow the size of a family, not the square of it.
+ones unlike, so few pairs of them become rows. The first pairs follow the size of a family, not the square of it;
+of the last, those near the threshold still follow the square.
 """
 
 from __future__ import annotations
