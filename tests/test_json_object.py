@@ -5,9 +5,13 @@ from __future__ import annotations
 import io
 import json
 import random
+from pathlib import Path
 
+import duckdb
 import pytest
 
+import checks.catalog  # noqa: F401
+from checks import compare
 from lumenfold.sources import json_object as jo
 from lumenfold.sources import readers
 
@@ -102,3 +106,25 @@ def test_a_task_reads_many_short_ranges(spark, tmp_path):
     got = found.collect()
     assert sorted(json.loads(r["record"])["id"] for r in got if r["tbl"] == "first") == sorted([*range(4000)] * 2)
     assert sorted(int(r["key"]) for r in got if r["tbl"] == "second") == sorted([*range(2000)] * 2)
+
+
+def test_an_object_is_written_row_by_row(spark, tmp_path, monkeypatch):
+    """However many annotations an object has, no row of the tasks that write it has more than one."""
+    tables = {
+        "orders": ([(k * 11, k, "PO"[k % 2]) for k in range(3000)], "o_orderkey long, o_custkey long, o_orderstatus string"),
+        "part": ([(k, f"Brand#{k % 25}") for k in range(200)], "p_partkey long, p_brand string"),
+        # Most lie on one image, some on images without a row of their own.
+        "lineitem": ([(77 if k % 3 else k * 13, k % 200, k % 10, k % 7) for k in range(7000)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+    }
+    con, paths, read = duckdb.connect(), [], readers.detection_tables
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    monkeypatch.setattr(readers, "detection_tables", lambda spark, path, **k: (paths.append(path), read(spark, path, **k))[1])
+    assert compare.compare(spark, con, str(tmp_path), "detection_json") is None
+    texts = [f.read_text() for f in Path(paths[0]).rglob("part-*")]
+    objects = sorted((json.loads(t) for t in texts), key=lambda o: min(a["image_id"] for a in o["annotations"]))
+    few = ["annotations", "expired_imgs"]
+    assert [sorted(o) for o in objects] == [["annotations", "categories", "expired_imgs", "images", "neighbors"], [*few, "images"], few, few, few]
+    assert len(objects[0]["annotations"]) > 5000 and sum(len(o["annotations"]) for o in objects) == 7000
+    assert max(len(line) for t in texts for line in t.splitlines()) < 500
